@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +14,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-WORDS = re.compile(WORD)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,42 +42,42 @@ def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def lower_ascii(text: str) -> str:
-    return text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
 def with_columns_of_text(
     df: DataFrame,
     fields: T.StructType,
-    make: Callable[[], Callable[[list[str | None]], list[list]]],
-    text: str = "text",
+    make: Callable[[], Callable[..., list]],
+    inputs: tuple[str, ...] = ("text",),
     slice_chars: int = 8_000_000,
 ) -> DataFrame:
     """df with the columns of fields, computed from whole texts in Arrow batches.
 
-    make() runs once in each task and returns a function from a list of texts (None for null) to one list per field.
-    A column of df with the name of a field is replaced. Batches are cut so that one call sees slice_chars characters or one text.
+    make() runs once in each task and returns a function from a list of values of each input (the first is the text, None for
+    null) to one list or array per field. A column of df with the name of a field is replaced.
+    Batches are cut so that one call sees slice_chars characters or one text.
     """
     new = {f.name.lower() for f in fields}
     keep = [c for c in df.columns if c.lower() not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in keep])
-    schema = T.StructType([*source.schema.fields, *fields.fields])
+    read = [c for c in inputs if c not in keep]
+    source = df.select(*[F.col(f"`{c}`") for c in [*keep, *read]])
+    schema = T.StructType([*source.schema.fields[: len(keep)], *fields.fields])
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in slices(texts, slice_chars):
-                made = [pa.array(x, k) for x, k in zip(work(texts[a:b]), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *made], [*keep, *fields.names])
+            values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
+            for a, b in slices(values[0], slice_chars):
+                made = [pa.array(x, k) for x, k in zip(work(*[v[a:b] for v in values]), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(keep)], *made], [*keep, *fields.names])
 
     return source.mapInArrow(run, schema)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8. bytes.split() parts at exactly the six ASCII white-space characters."""
+    return (text or "").encode().split()
+
+
 def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts with at most so many characters, or one text."""
     a = n = 0
@@ -93,15 +91,16 @@ def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
 
 
 class WordCache(dict):
-    """Values of words: missing() computes those of a list of new words; emptied when it holds over `most`."""
+    """Values of words: missing() computes those of a list of new words; emptied, with a call of emptied(), before it would hold over `most`."""
 
-    def __init__(self, missing: Callable[[list[str]], list], most: int = 400_000):
+    def __init__(self, missing: Callable[[list], list], most: int = 400_000, emptied: Callable[[], None] = lambda: None):
         super().__init__()
-        self.missing_values, self.most = missing, most
+        self.missing_values, self.most, self.emptied = missing, most, emptied
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set) -> None:
         if new := [w for w in words if w not in self]:
             if len(self) + len(new) > self.most:
                 self.clear()
+                self.emptied()
                 new = list(words)
             self.update(zip(new, self.missing_values(new), strict=True))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from tieweave.llm import chat, mixing
+from tieweave.llm import chat, decontaminate, langid, mixing, quality, secrets
 
 
 def queries() -> dict:
-    return {"op5_mixing": mixing.op5_mixing, "op6_chat": chat.op6_chat}
+    return {
+        "op2_langid": langid.op2_langid,
+        "op5_mixing": mixing.op5_mixing,
+        "op6_chat": chat.op6_chat,
+        "op8_quality": quality.op8_quality,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_secrets": secrets.op10_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
