@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tieweave.llm import chat, decontaminate, langid, mixing, quality, secrets
+from tieweave.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op2_langid": langid.op2_langid,
+        "op3_tokens": tokens.op3_tokens,
         "op5_mixing": mixing.op5_mixing,
         "op6_chat": chat.op6_chat,
+        "op7_simhash": simhash.op7_simhash,
         "op8_quality": quality.op8_quality,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secrets": secrets.op10_secrets,
