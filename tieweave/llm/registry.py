@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tieweave.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, tokens
+from tieweave.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, tokens, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_langid": langid.op2_langid,
         "op3_tokens": tokens.op3_tokens,
         "op5_mixing": mixing.op5_mixing,
