@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieweave.llm.common import WordCache, read, saved, shared_folder, with_columns_of_text
+from tieweave.llm.common import read, saved, shared_folder, with_columns_of_text
 
 # Fixed values of the file format.
 MAGIC = b"TWRANS01"
@@ -23,35 +28,86 @@ BLOCK = 1 << 17  # tokens after which a block is closed at the end of a document
 U32 = np.uint64(32)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """docs with ids (little-endian unsigned 32-bit, the end id last) and n_tokens.
+#: Pieces that the model can be given as they are: letters of Latin-1, perhaps with one full stop or comma behind.
+SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 
-    tokenizer: the path of a tokenizers file, on every executor; it must drop white space, so that the pieces between spaces and line ends can be
-    encoded one by one and each distinct piece is encoded once. A null text has the end id alone.
-    """
+#: Tokens of pieces, kept by the worker over its tasks: tokenizer -> Pieces.
+KEPT: dict = {}
 
-    def make() -> Callable:
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+class Pieces(dict):
+    """Piece -> its ids as bytes. Once `most` are held, further ones are encoded each time; the frequent ones came early."""
+
+    def __init__(self, tokenizer: str, kind: str, most: int = 500_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.kind, self.most, self.model = kind, most, Tokenizer.from_file(tokenizer)
+        self.parts = self.model.model.tokenize
+        spelled = {b: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        two = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.spelling = str.maketrans({chr(k): v for k, v in (spelled | two).items()} | {chr(c): two[c + 32] for c in range(0xC0, 0xDF) if c != 0xD7})
+        self.stops = {c: self.encoded(c) for c in ".,"} | {"": b""}
+
+    def encoded(self, piece: str) -> bytes:
+        return array(self.kind, self.model.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        simple = SIMPLE.fullmatch(piece)
+        if simple:
+            out = array(self.kind, [t.id for t in self.parts(simple[1].translate(self.spelling))]).tobytes() + self.stops[simple[2]]
+        else:
+            out = self.encoded(piece)
+        if len(self) < self.most:
+            self[piece] = out
+        return out
+
+
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """docs with ids (little-endian unsigned, the end id last; 16 bits each if the vocabulary allows it, else 32), width (bytes of an id) and n_tokens.
 
-        model = Tokenizer.from_file(tokenizer)
+    tokenizer: the path of a tokenizers file, on every executor. It must lower-case and drop white space as its first steps, so that the pieces
+    between spaces and line ends can be lower-cased (A-Z) and encoded one by one; each distinct piece of a block of texts is looked up
+    once, and the ids are put together in numpy. A null text has the end id alone.
+    """
 
-        def missing(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)]
+    def make() -> Callable:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if tokenizer not in KEPT:
+            from tokenizers import Tokenizer
 
-        cache, end = WordCache(missing), np.array([end_id], "<u4").tobytes()
+            small = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16
+            KEPT[tokenizer] = Pieces(tokenizer, "H" if small else "I")
+        pieces = KEPT[tokenizer]
+        kind = np.dtype("<u2" if pieces.kind == "H" else "<u4")
 
         def work(texts: list[str | None]) -> list:
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-            cache.learn(set().union(*split))
-            raw = [b"".join([cache[w] for w in words]) + end for words in split]
-            return [raw, [len(x) // 4 for x in raw]]
+            lines = pc.replace_substring(pc.ascii_lower(pa.array([t or "" for t in texts], pa.string())), "\n", " ")
+            split = pc.split_pattern(lines, " ")
+            words = pc.dictionary_encode(split.flatten())
+            known = [pieces[w] for w in words.dictionary.to_pylist()]
+            size = np.fromiter(map(len, known), np.int64, len(known)) // kind.itemsize
+            ids = np.frombuffer(b"".join(known), kind)
+            which = words.indices.to_numpy(zero_copy_only=False)
+            n, start = size[which], (np.cumsum(size) - size)[which]
+            ends = np.cumsum(n)
+            tokens = ids[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+            counts = np.diff(bounds)
+            tokens = np.insert(tokens, bounds[1:], end_id).astype(kind)
+            at = np.concatenate([[0], np.cumsum(counts + 1)]) * kind.itemsize
+            raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(tokens.tobytes())])
+            return [raw, np.full(len(texts), kind.itemsize), counts + 1]
 
         return work
 
-    return with_columns_of_text(docs, T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]), make)
+    fields = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("width", T.IntegerType()), T.StructField("n_tokens", T.LongType())])
+    return with_columns_of_text(docs, fields, make)
+
+
+def ids_of(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{width}")
 
 
 def frequencies(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +119,15 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            part = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=len(total))
-            part[: len(total)] += total
-            total = part
+            for width in set(batch.column(1).to_pylist()):
+                rows = [x for x, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w == width]
+                part = np.bincount(ids_of(b"".join(rows), width), minlength=len(total))
+                part[: len(total)] += total
+                total = part
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     rows.sort(key=lambda r: r["id"])
     ids, n = np.array([r["id"] for r in rows], np.uint32), np.array([r["n"] for r in rows], np.float64)
     room = (1 << SCALE) - len(ids)
@@ -90,7 +148,7 @@ class Coder:
         self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64) if len(freq) else freq
         self.number = np.zeros(int(ids[-1]) + 1 if len(ids) else 1, np.int64)
         self.number[ids] = np.arange(len(ids))
-        self.slots = np.repeat(np.arange(len(ids), dtype=np.int32), freq.astype(np.int64))
+        self.slots = np.repeat(np.arange(len(ids), dtype=np.uint16 if len(ids) <= 1 << 16 else np.int32), freq.astype(np.int64))
 
     def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
         """One payload per block of ids: u32 number of tokens, u32 number of checkpoints, u32 crc32 of what follows; per checkpoint u32 the
@@ -116,9 +174,12 @@ class Coder:
             if not full:
                 out &= filled[t]
             words[t], sent[t] = state, out
-            x = np.where(out, state >> U32, state)
+            x = state >> (U32 * out)
             q = x // f
-            x = (q << scale) + (x - q * f) + self.start[s]
+            x -= q * f
+            q <<= scale
+            x += q
+            x += self.start[s]
             state = x if full else np.where(filled[t], x, state)
             if t % CHECKPOINT == 0:
                 marks[t] = state
@@ -158,24 +219,29 @@ class Coder:
         state = np.array([x[4] for x in parts], np.uint64)
         at = np.array([x[3] for x in parts], np.int64)
         steps = -(-int(left[0]) // LANES)
-        found = np.zeros((steps, len(parts), LANES), np.int32)
+        found = np.zeros((steps, len(parts), LANES), self.slots.dtype)
         mask, scale = np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
         for t in range(steps):
             live = int(np.searchsorted(-left, -t * LANES, side="left"))
             x = state[:live]
             slot = x & mask
-            s = self.slots[slot]
+            s = self.slots[slot.view(np.int64)]
             found[t, :live] = s
-            y = self.freq[s] * (x >> scale) + slot - self.start[s]
-            short = left[:live] < (t + 1) * LANES
+            slot -= self.start[s]
+            y = x >> scale
+            y *= self.freq[s]
+            y += slot
             need = y < LOW
-            if short.any():
+            if left[live - 1] < (t + 1) * LANES:
                 inside = np.arange(LANES)[None, :] < (left[:live] - t * LANES)[:, None]
                 y, need = np.where(inside, y, x), need & inside
-            rank = np.cumsum(need, axis=1)
-            take = words[at[:live, None] + rank - 1] if live else words[:0]
-            state[:live] = np.where(need, (y << U32) | take, y)
-            at[:live] += rank[:, -1]
+            row = np.flatnonzero(need)
+            count = need.sum(axis=1)
+            flat = y.reshape(-1)
+            where = np.repeat(at[:live] - (np.cumsum(count) - count), count) + np.arange(len(row))
+            flat[row] = (flat[row] << U32) | words[where]
+            state[:live] = y
+            at[:live] += count
         for i, (k, j, n, _, _) in enumerate(parts):
             a = j * CHECKPOINT * LANES
             result[k][a : a + n] = self.ids[found[:, i].reshape(-1)[:n]]
@@ -190,13 +256,13 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
 
     A row of blocks is one independent block: part and block give its place, doc_ids (i64) and doc_tokens (u32) its documents, payload its tokens;
     first_token counts within the part. The container is Parquet, so that Spark commits, retries and splits the files on any store.
-    Documents with the same doc_id come in the order of their ids; a null doc_id comes first, as the least 64-bit number.
+    Documents with the same doc_id come in the order of their lengths, then ids; a null doc_id comes first, as the least 64-bit number.
     """
     spark = tokens.sparkSession
     ids, freq = frequencies(tokens)
     shared = spark.sparkContext.broadcast((ids, freq))
     least = F.lit(-(1 << 63)).cast("long")
-    ordered = tokens.select(F.coalesce("doc_id", least).alias("doc_id"), "ids").repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
+    ordered = tokens.select(F.coalesce("doc_id", least).alias("doc_id"), "n_tokens", "ids", "width").repartitionByRange("doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "ids")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -220,10 +286,10 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in FILE.split(", ")])
 
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.append(np.frombuffer(raw, "<u4"))
-                docs.append((doc, len(raw) // 4))
-                n += len(raw) // 4
+            for doc, count, raw, width in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows.append(ids_of(raw, width))
+                docs.append((doc, count))
+                n += count
                 if n >= BLOCK:
                     waiting.append((docs, np.concatenate(rows)))
                     docs, rows, n = [], [], 0
@@ -279,8 +345,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, tokenizer: str |
 
     Repeated rows are written as often as they are there; an empty table gives empty files and no row.
     """
-    import uuid
-
     if tokenizer is None:
         import public_tokenizers
 
