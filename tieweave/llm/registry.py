@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tieweave.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, tokens, toxicity
+from tieweave.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, suffix, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_langid": langid.op2_langid,
         "op3_tokens": tokens.op3_tokens,
+        "op4_suffix": suffix.op4_suffix,
         "op5_mixing": mixing.op5_mixing,
         "op6_chat": chat.op6_chat,
         "op7_simhash": simhash.op7_simhash,

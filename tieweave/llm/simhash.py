@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = 4, sh
     """
     prints = saved(with_fingerprint(docs.select(F.col(id_col), "text"), shingle).drop("text"))
     nodes = saved(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")))
-    classes = components(fingerprint_links(nodes.select("fingerprint"), radius))
+    classes = components(saved(fingerprint_links(nodes.select("fingerprint"), radius)))
     member = nodes.join(classes, F.col("fingerprint") == F.col("node"))
     lowest = member.groupBy("component").agg(F.min("least").alias("component_id"))
     named = member.join(lowest, "component").select(F.col("fingerprint").alias("_print"), F.col("component_id").alias("_class"))

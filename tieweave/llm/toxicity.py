@@ -203,8 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     spark = docs.sparkSession
     marked = labels.where("toxic is not null").groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     size = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    blank = Model((), np.zeros(0), 1.0, -4.0)
     if not size.get(0) or not size.get(1):
-        return Model((), np.zeros(0), 1.0, -4.0)
+        return blank
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / size[1])).otherwise(min(1.0, per_class / size[0]))
     few = marked.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_003)) < share * 1_000_003)
     # few has about 2 * per_class rows, whatever the size of the tables
@@ -219,7 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *[pa.array([v[k] for v in found.values()], pa.int64()) for k in (0, 1)]], ["word", "clean", "bad"])
 
     words = sample.mapInArrow(count, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where("length(word) between 3 and 40").persist()
-    n0, n1 = (max(1, r) for r in sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first())
+    n0, n1 = sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    if not n0 or not n1:
+        return blank
     gain = F.col("bad") / n1 - F.col("clean") / n0 * 3
     worst = [r["word"] for r in words.where("bad > 1").orderBy(gain.desc(), "word").limit(4000).collect()]
     first = diverse(worst, n_landmarks // 2, 0.85)
@@ -232,13 +235,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
             yield pa.RecordBatch.from_arrays([pa.array([some[i] for i in at], pa.string()), pa.array(rows.max(axis=1, initial=0).tolist(), pa.float64())], ["word", "like"])
 
     like = words.where("bad = 0").select("word").mapInArrow(likeness, "word string, like double").orderBy(F.desc("like"), "word").limit(2000).collect()
+    if not first:
+        return blank
     marks = Landmarks(first + diverse([r["word"] for r in like], n_landmarks - len(first), 0.85))
     shared = spark.sparkContext.broadcast(marks)
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Sentences(shared.value)
         for batch in batches:
-            rows = [r[np.argsort(-r.max(axis=1), kind="stable")[:40]] for r in work.rows(batch.column(0).to_pylist())]
+            rows = [r[np.argsort(-r.max(axis=1, initial=0), kind="stable")[:40]] for r in work.rows(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary()), batch.column(1)], ["rows", "toxic"])
 
     got = sample.mapInArrow(kernels, "rows binary, toxic int").collect()
