@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from tieweave.plans import base
+
+# Each module registers its queries when it is imported.
+from tieweave.plans import documents, graph, joins, metrics, resolve, scores  # noqa: F401  isort: skip
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
