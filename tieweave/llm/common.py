@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,9 +75,23 @@ def with_columns_of_text(
     return source.mapInArrow(run, schema)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text as UTF-8. bytes.split() parts at exactly the six ASCII white-space characters."""
-    return (text or "").encode().split()
+def block_words(texts: list[str | None], line_end: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words of the texts, the number of each word in order, where each text's words start and the last one's end).
+
+    line_end: what a line end is read as, for callers that need to see it as a word.
+    """
+    lines = pa.array([t or "" for t in texts], pa.string())
+    if line_end:
+        lines = pc.replace_substring(lines, "\n", line_end)
+    split = pc.ascii_split_whitespace(lines)
+    coded = pc.dictionary_encode(split.flatten())
+    words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    starts = split.offsets.to_numpy()
+    if "" in words:  # before leading and after trailing white space
+        real = which != words.index("")
+        starts = np.concatenate([[0], np.cumsum(real)])[starts]
+        which = which[real]
+    return words, which, starts
 
 
 def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
@@ -97,7 +113,7 @@ class WordCache(dict):
         super().__init__()
         self.missing_values, self.most, self.emptied = missing, most, emptied
 
-    def learn(self, words: set) -> None:
+    def learn(self, words: set | list) -> None:
         if new := [w for w in words if w not in self]:
             if len(self) + len(new) > self.most:
                 self.clear()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieweave.llm.common import WordCache, crc_mod, read, with_columns_of_text, words_of
+from tieweave.llm.common import WordCache, block_words, crc_mod, read, with_columns_of_text
 
 LONGEST = 4  # characters of the longest n-gram
 
@@ -40,7 +40,7 @@ class Model:
 
 
 def letters(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalpha())
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word.lower()))
 
 
 def fit(docs: DataFrame, train_docs: int = 4000, words_per_lang: int = 30_000, grams_per_lang: int = 20_000) -> Model:
@@ -96,10 +96,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         rows: list[np.ndarray] = []
 
-        def missing(words: list[bytes]) -> list[int]:
+        def missing(words: list[str]) -> list[int]:
             out = []
             for w in words:
-                word = letters(w.decode())
+                word = letters(w)
                 rows.append(m.word(word) if word and m.langs else np.full(len(m.langs), np.nan))
                 out.append(len(rows) - 1)
             return out
@@ -107,12 +107,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         cache = WordCache(missing, emptied=rows.clear)
 
         def work(texts: list[str | None]) -> list:
-            split = [words_of(t) for t in texts]
-            cache.learn(set().union(*split))
-            table = np.array(rows).reshape(len(rows), len(m.langs))
+            words, which, starts = block_words(texts)
+            cache.learn(words)
+            number = np.fromiter((cache[w] for w in words), np.int64, len(words))
+            table = np.array(rows).reshape(len(rows), len(m.langs))[number][which]
             langs, scores = [], []
-            for words in split:
-                each = table[np.fromiter((cache[w] for w in words), np.int64, len(words))]
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                each = table[a:b]
                 each = each[~np.isnan(each).any(axis=1)] if each.size else each
                 if not each.size:
                     langs.append("und")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieweave.llm.common import WordCache, read, saved, with_columns_of_text, words_of
+from tieweave.llm.common import WordCache, block_words, read, saved, with_columns_of_text
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
@@ -56,35 +56,29 @@ def measure(docs: DataFrame, vocabulary: str) -> DataFrame:
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
 
-        numbers: dict[bytes, int] = {}
+        cache = WordCache(lambda words: [np.array(ids, np.int32).tobytes() for ids in model.encode(words, num_threads=1)])
 
-        def missing(words: list[bytes]) -> list:
-            out = []
-            for w, ids in zip(words, model.encode([w.decode() for w in words], num_threads=1), strict=True):
-                out.append((numbers.setdefault(w, len(numbers)), np.array(ids, np.int32).tobytes()))
-            return out
-
-        cache = WordCache(missing, emptied=numbers.clear)
-
-        def one(text: str | None, words: list[bytes]) -> tuple:
-            text = text or ""
-            known = [cache[w] for w in words]
-            tokens = np.frombuffer(b"".join([x[1] for x in known]), np.int32)
-            n = len(tokens)
+        def one(text: str | None, words: np.ndarray, tokens: np.ndarray) -> tuple:
+            text, n = text or "", len(tokens)
             chars = len(text) - sum(text.count(c) for c in " \t\n\v\f\r")
-            base = (
-                len(words), chars, sum(text.count(c) for c in SYMBOLS), duplicate_lines(text),
-                repeated_words(np.fromiter((x[0] for x in known), np.int64, len(known))), n,
-            )
+            base = (len(words), chars, sum(text.count(c) for c in SYMBOLS), duplicate_lines(text), repeated_words(words), n)
             if not n:
                 return (*base, None, None, None)
             share = np.unique(tokens, return_counts=True)[1] / n
             return (*base, chars / n, float(is_byte[tokens].mean()), float(-(share * np.log2(share)).sum() / max(1.0, math.log2(n))))
 
         def work(texts: list[str | None]) -> list:
-            split = [words_of(t) for t in texts]
-            cache.learn(set().union(*split))
-            return list(zip(*[one(t, w) for t, w in zip(texts, split, strict=True)], strict=True))
+            words, which, starts = block_words(texts)
+            cache.learn(words)
+            known = [cache[w] for w in words]
+            size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            ids, first = np.frombuffer(b"".join(known), np.int32), np.cumsum(size) - size
+            n = size[which]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            tokens = ids[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+            which = which.astype(np.int64)
+            out = [one(t, which[a:b], tokens[ends[a] : ends[b]]) for t, a, b in zip(texts, starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            return list(zip(*out, strict=True))
 
         return work
 

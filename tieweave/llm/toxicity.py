@@ -11,20 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieweave.llm.common import WordCache, crc_mod, read, with_columns_of_text
+from tieweave.llm.common import WordCache, block_words, crc_mod, read, with_columns_of_text
 
 DECAY = 0.6  # of a subsequence's weight, for each character that it skips
 REACH = 5  # from the first to the last of a subsequence's three characters
 PAIRS = [(a, b) for b in range(2, REACH + 1) for a in range(1, b)]
 
 
-def letters(word: bytes) -> str:
-    return "".join(c for c in word.decode().lower() if c.isalpha())
+LINE_END = " . "  # a line end ends a sentence too
 
 
-def text_words(text: str | None) -> list[bytes]:
-    """White-space words; a line end ends a sentence too."""
-    return (text or "").encode().replace(b"\n", b" . ").split()
+def letters(word: str) -> str:
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word.lower()))
 
 
 def codes(words: list[str]) -> np.ndarray:
@@ -116,7 +114,7 @@ class Sentences:
         self.kept: dict[int, np.ndarray] = {}
         self.n = 0
 
-        def missing(words: list[bytes]) -> list[tuple[int, bool, bool]]:
+        def missing(words: list[str]) -> list[int]:
             plain = [letters(w) for w in words]
             some = [i for i, w in enumerate(plain) if len(w) > 2]
             at, rows = landmarks.kernel([plain[i] for i in some]) if some else ([], [])
@@ -128,19 +126,19 @@ class Sentences:
                     self.n += 1
                     number = self.n
                     self.kept[number] = mine[i]
-                out.append(number << 2 | (len(plain[i]) == 1) << 1 | (w[-1:] in b".!?"))
+                out.append(number << 2 | (len(plain[i]) == 1) << 1 | (w[-1:] in (".", "!", "?")))
             return out
 
         self.cache = WordCache(missing, emptied=self.kept.clear)
 
     def rows(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text the kernel rows of those of its sentences that have one."""
-        split = [text_words(t) for t in texts]
-        self.cache.learn(set().union(*split))
-        return [self.one(w) for w in split]
+        words, which, starts = block_words(texts, LINE_END)
+        self.cache.learn(words)
+        each = np.fromiter((self.cache[w] for w in words), np.int64, len(words))[which]
+        return [self.one(words, which[a:b], each[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
-    def one(self, words: list[bytes]) -> np.ndarray:
-        each = np.fromiter((self.cache[w] for w in words), np.int64, len(words))
+    def one(self, words: list[str], which: np.ndarray, each: np.ndarray) -> np.ndarray:
         number = each >> 2
         at = np.flatnonzero(number)
         pairs = [(int(i), self.kept[int(number[i])]) for i in at]
@@ -148,7 +146,7 @@ class Sentences:
         if len(single) > 2:
             for run in np.split(single, np.flatnonzero(np.diff(single) > 1) + 1):
                 if len(run) > 2:
-                    _, rows = self.landmarks.kernel([letters(b"".join(words[run[0] : run[-1] + 1]))])
+                    _, rows = self.landmarks.kernel([letters("".join(words[i] for i in which[run[0] : run[-1] + 1]))])
                     pairs += [(int(run[0]), r) for r in rows]
         if not pairs:
             return np.empty((0, len(self.landmarks.words)), np.float32)
@@ -192,10 +190,10 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = 3000, n_landmarks: int = 160, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = 2000, n_landmarks: int = 160, sentences: int = 12, seed: int = 5) -> Model:
     """Learns from about per_class labelled documents of each class (fewer where there are fewer), chosen by the hash of their id, whole texts.
 
-    That bound, and at most n_landmarks kernel values for 40 sentences of a document, is what comes to the driver. Landmarks are the words that
+    That bound, and at most n_landmarks kernel values for the `sentences` of a document that are most like a landmark, is what comes to the driver. Landmarks are the words that
     part the classes best, each unlike those before it, and as many words of clean documents that are most like them. Sentences of clean
     documents are labelled clean. Of a toxic document all count as toxic at first, then only the one that scores highest.
     A document with several labels counts as toxic if one of them is 1. Without both classes the model scores every text 0.
@@ -215,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
         found: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in {letters(x) for x in text_words(text)}:
+                for w in {letters(x) for x in block_words([text], LINE_END)[0]}:
                     found.setdefault(w, [0, 0])[toxic] += 1
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *[pa.array([v[k] for v in found.values()], pa.int64()) for k in (0, 1)]], ["word", "clean", "bad"])
 
@@ -243,18 +241,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Sentences(shared.value)
         for batch in batches:
-            rows = [r[np.argsort(-r.max(axis=1, initial=0), kind="stable")[:40]] for r in work.rows(batch.column(0).to_pylist())]
+            rows = [r[np.argsort(-r.max(axis=1, initial=0), kind="stable")[:sentences]] for r in work.rows(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary()), batch.column(1)], ["rows", "toxic"])
 
     got = sample.mapInArrow(kernels, "rows binary, toxic int").collect()
     sample.unpersist()
     words.unpersist()
     m = len(marks.words)
-    rows = [np.frombuffer(r["rows"], np.float16).reshape(-1, m).astype(np.float64) for r in got]
+    rows = [np.frombuffer(r["rows"], np.float16).reshape(-1, m).astype(np.float32) for r in got]
     toxic = np.array([r["toxic"] for r in got])
     own, feature, value = sparse(marks.words)
-    dense = np.zeros((m, 1 << 18), np.float32)
-    dense[own, feature] = value
+    used, column = np.unique(feature, return_inverse=True)
+    dense = np.zeros((m, len(used)), np.float32)
+    dense[own, column] = value
     values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
     nystrom = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
     doc = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
