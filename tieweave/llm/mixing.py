@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tieweave.llm.common import WORD, read
+from tieweave.llm.common import WORD, read, saved
 
 #: Hash buckets in which a source's documents are laid out for the fractional repetition. Only the bucket where the fraction ends is sorted.
 BUCKETS = 4096
+#: Rows of the plan (one per source) up to which it is broadcast.
+MOST_SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -51,12 +53,13 @@ def plan_mix(docs: DataFrame, seed: int = 17, max_epochs: int = 3, weight_cycle:
     the target ends. So a source's taken words are its target rounded down, and a rerun gives the same rows.
 
     The order is that of md5(seed:doc_id): its first three hex digits give a bucket, buckets are summed, and only the one bucket
-    in which the fraction ends is put into a window; so a hot source never meets in one task.
+    in which the fraction ends (a four-thousandth of the source) is put into a window; so a hot source never meets in one task,
+    and texts of the other buckets aren't shuffled. The plan has one row per source.
     Sources weigh 1, 2, ... weight_cycle and again, by code point, null last. Null texts and texts without words have size 0
     and are taken 0 times. Rows with the same doc_id are told apart by size, then by text; equal rows may swap places.
     An empty table gives an empty result. Columns of docs named like the new ones are replaced.
     """
-    own = {"size", "source_size", "target", "taken", "_whole", "_rest", "_bucket", "_key", "_start", "_src", "_in"}
+    own = {"size", "source_size", "target", "taken", "_whole", "_bucket", "_key", "_src", "_edge", "_room", "_extra"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
     sized = base.withColumn("size", size_of(F.col("text"))).withColumn(
         "_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -71,21 +74,22 @@ def plan_mix(docs: DataFrame, seed: int = 17, max_epochs: int = 3, weight_cycle:
         (F.floor("target") - whole * F.col("source_size")).cast("long").alias("_rest"),
     )
     order = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = light.withColumn("_start", F.coalesce(F.sum("_in").over(order), F.lit(0)))
-    plan = buckets.join(targets, buckets["_src"].eqNullSafe(targets["_src"])).select(
-        buckets["_src"], F.col("_bucket").alias("_b"), "_start", "_in", "source_size", "target", "_whole", "_rest"
-    )
-    # At most BUCKETS rows per source: a size that the number of sources bounds; Spark broadcasts it while it is small.
-    rows = sized.join(plan, sized["source"].eqNullSafe(plan["_src"]) & (sized["_bucket"] == plan["_b"])).drop("_src", "_b")
-    split = (F.col("_start") < F.col("_rest")) & (F.col("_start") + F.col("_in") > F.col("_rest"))
-    flat = rows.where(~split).withColumn("_extra", F.when(F.col("_start") + F.col("_in") <= F.col("_rest"), F.col("size")).otherwise(0))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "size", "text").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.col("_rest") - F.col("_start") - F.coalesce(F.sum("size").over(inside), F.lit(0))
-    cut = rows.where(split).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), room)))
+    start = light.withColumn("_start", F.coalesce(F.sum("_in").over(order), F.lit(0)))
+    laid = start.withColumnRenamed("_src", "_s").join(targets, F.col("_s").eqNullSafe(targets["_src"]))
+    ends = F.min(F.when(F.col("_start") + F.col("_in") > F.col("_rest"), F.struct("_bucket", "_start"))).alias("_at")
+    plan = saved(laid.groupBy("_src", "source_size", "target", "_whole", "_rest").agg(ends).select(
+        "_src", "source_size", "target", "_whole", (F.col("_rest") - F.col("_at._start")).alias("_room"), F.coalesce("_at._bucket", F.lit(-1)).alias("_edge")
+    ))
+    few = plan.count() <= MOST_SOURCES
+    rows = sized.join(F.broadcast(plan) if few else plan, sized["source"].eqNullSafe(plan["_src"])).drop("_src")
+    flat = rows.where("_bucket <> _edge").withColumn("_extra", F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).otherwise(0))
+    inside = Window.partitionBy("source").orderBy("_key", "size", "text").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("_room") - F.coalesce(F.sum("size").over(inside), F.lit(0))
+    cut = rows.where("_bucket = _edge").withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), room)))
     return (
         flat.unionByName(cut)
         .withColumn("taken", (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long"))
-        .drop("_key", "_bucket", "_start", "_in", "_whole", "_rest", "_extra")
+        .drop("_key", "_bucket", "_edge", "_room", "_whole", "_extra")
     )
 
 
