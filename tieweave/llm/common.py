@@ -50,12 +50,13 @@ def with_columns_of_text(
     make: Callable[[], Callable[..., list]],
     inputs: tuple[str, ...] = ("text",),
     slice_chars: int = 8_000_000,
+    arrow: bool = False,
 ) -> DataFrame:
     """df with the columns of fields, computed from whole texts in Arrow batches.
 
     make() runs once in each task and returns a function from a list of values of each input (the first is the text, None for
     null) to one list or array per field. A column of df with the name of a field is replaced.
-    Batches are cut so that one call sees slice_chars characters or one text.
+    With arrow, the values come as Arrow arrays instead. Batches are cut so that one call sees slice_chars characters or one text.
     """
     new = {f.name.lower() for f in fields}
     keep = [c for c in df.columns if c.lower() not in new]
@@ -67,7 +68,9 @@ def with_columns_of_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
+            values = [batch.column(batch.schema.get_field_index(c)) for c in inputs]
+            if not arrow:
+                values = [v.to_pylist() for v in values]
             for a, b in slices(values[0], slice_chars):
                 made = [pa.array(x, k) for x, k in zip(work(*[v[a:b] for v in values]), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(keep)], *made], [*keep, *fields.names])
@@ -75,12 +78,13 @@ def with_columns_of_text(
     return source.mapInArrow(run, schema)
 
 
-def block_words(texts: list[str | None], line_end: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+def block_words(texts: list[str | None] | pa.Array, line_end: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words of the texts, the number of each word in order, where each text's words start and the last one's end).
 
     line_end: what a line end is read as, for callers that need to see it as a word.
     """
-    lines = pa.array([t or "" for t in texts], pa.string())
+    lines = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    lines = pc.fill_null(lines, "")
     if line_end:
         lines = pc.replace_substring(lines, "\n", line_end)
     split = pc.ascii_split_whitespace(lines)
@@ -94,14 +98,15 @@ def block_words(texts: list[str | None], line_end: str | None = None) -> tuple[l
     return words, which, starts
 
 
-def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with at most so many characters, or one text."""
+def slices(texts: list[str | None] | pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most so many characters (bytes, of an Arrow array), or one text."""
     a = n = 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
+    for i, size in enumerate(sizes):
+        n += size
         if n > most and i > a:
             yield a, i
-            a, n = i, len(t or "")
+            a, n = i, size
     if a < len(texts):
         yield a, len(texts)
 

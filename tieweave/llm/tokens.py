@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import uuid
 import zlib
 from array import array
@@ -74,16 +75,17 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def make() -> Callable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer not in KEPT:
+        kept = sys.modules[Pieces.__module__].KEPT  # the worker's own, not a copy that came with the task
+        if tokenizer not in kept:
             from tokenizers import Tokenizer
 
             small = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16
-            KEPT[tokenizer] = Pieces(tokenizer, "H" if small else "I")
-        pieces = KEPT[tokenizer]
+            kept[tokenizer] = Pieces(tokenizer, "H" if small else "I")
+        pieces = kept[tokenizer]
         kind = np.dtype("<u2" if pieces.kind == "H" else "<u4")
 
-        def work(texts: list[str | None]) -> list:
-            lines = pc.replace_substring(pc.ascii_lower(pa.array([t or "" for t in texts], pa.string())), "\n", " ")
+        def work(texts: pa.Array) -> list:
+            lines = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
             split = pc.split_pattern(lines, " ")
             words = pc.dictionary_encode(split.flatten())
             known = [pieces[w] for w in words.dictionary.to_pylist()]
@@ -103,7 +105,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         return work
 
     fields = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("width", T.IntegerType()), T.StructField("n_tokens", T.LongType())])
-    return with_columns_of_text(docs, fields, make)
+    return with_columns_of_text(docs, fields, make, arrow=True)
 
 
 def ids_of(raw: bytes, width: int) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,82 +27,92 @@ def letters(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word.lower()))
 
 
-def codes(words: list[str]) -> np.ndarray:
-    """Characters as numbers below 64: a-z keep their own, others share the rest; zero-padded, with marks for the word's start and end."""
-    width = max(map(len, words)) + 2
-    raw = np.frombuffer("".join(f"^{w}$".ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), width)
-    return np.where(raw == 0, 0, np.where((raw >= 97) & (raw <= 122), raw - 96, np.where(raw == 94, 27, np.where(raw == 36, 28, 29 + raw % 35)))).astype(np.int32)
+#: Characters below 128 as numbers below 64; a-z keep their own, the marks of a word's start and end too, others share the rest. 0 parts words.
+CODES = np.array([0 if c == 0 else c - 96 if 97 <= c <= 122 else {94: 27, 36: 28}.get(c, 29 + c % 35) for c in range(128)], np.int32)
 
 
-def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each way to choose three characters: (row of the word, number of the subsequence, weight); as flat arrays, without the padding."""
-    c = codes(words)
+def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of all words as numbers, REACH zeros between two words; where each word starts)."""
+    joined = ("\0" * REACH).join([f"^{w}$" for w in words]) + "\0" * REACH
+    raw = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    code = np.where(raw < 128, CODES[np.minimum(raw, 127)], 29 + (raw % 35).astype(np.int32))
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2 + REACH
+    return code, np.cumsum(size) - size
+
+
+def subsequences(code: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """For each way to choose three characters: (number of the subsequence that begins at each place, weight). One that leaves its word has a zero in it."""
     for a, b in PAIRS:
-        if c.shape[1] > b:
-            x, y, z = c[:, : c.shape[1] - b], c[:, a : c.shape[1] - b + a], c[:, b:]
-            row, at = np.nonzero(z)
-            yield row, x[row, at] * 4096 + y[row, at] * 64 + z[row, at], DECAY ** (b - 2)
+        n = len(code) - b
+        yield (code[:n] << 12) | (code[a : n + a] << 6) | code[b:], DECAY ** (b - 2)
 
 
 def sparse(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, subsequence, value) with each pair once: the gap-weighted subsequence features of the words, of length 1 each."""
-    parts = list(subsequences(words))
-    row = np.concatenate([p[0] for p in parts]).astype(np.int64)
-    key, where = np.unique(row << 18 | np.concatenate([p[1] for p in parts]), return_inverse=True)
-    value = np.bincount(where, np.concatenate([np.full(len(p[0]), p[2]) for p in parts]))
+    code, starts = codes(words)
+    row = np.zeros(len(code), np.int64)
+    row[starts[1:]] = 1
+    row = np.cumsum(row)
+    rows, features, weights = [], [], []
+    for key, weight in subsequences(code):
+        ok = np.flatnonzero((code[: len(key)] > 0) & ((key & 63) > 0))
+        rows.append(row[ok])
+        features.append(key[ok])
+        weights.append(np.full(len(ok), weight))
+    key, where = np.unique(np.concatenate(rows) << 18 | np.concatenate(features), return_inverse=True)
+    value = np.bincount(where, np.concatenate(weights))
     row = key >> 18
     norm = np.sqrt(np.bincount(row, value**2, len(words)))
     return row, key & 0x3FFFF, value / norm[row]
 
 
 class Landmarks:
-    """Kernel values of words against landmark words, each between 0 and 1."""
+    """Kernel values of words against landmark words, each between 0 and 1. The first `n_first` (all, if None) decide which words are in reach."""
 
-    def __init__(self, words: list[str], least: float = 0.45):
-        self.words, self.least = words, least
+    def __init__(self, words: list[str], n_first: int | None = None, least: float = 0.5):
+        self.words, self.least, self.n_first = words, least, len(words) if n_first is None else n_first
         row, feature, value = sparse(words) if words else (np.empty(0, np.int64),) * 3
         used, column = np.unique(feature, return_inverse=True)
         self.table = np.zeros(1 << 18, np.int32)
         self.table[used] = np.arange(1, len(used) + 1)
         self.matrix = np.zeros((len(used) + 1, len(words)), np.float32)
         self.matrix[column + 1, row] = value
-        self.top = self.matrix.max(axis=1, initial=0.0)
+        self.top = self.matrix[:, : self.n_first].max(axis=1, initial=0.0)[self.table]
 
     def kernel(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(positions of the words with a kernel value of at least `least`, their kernel rows).
+        """(positions of the words with a kernel value of at least `least` to one of the first landmarks, their kernel rows).
 
         A bound comes first: the sum over a word's subsequences of their greatest value in a landmark, over a norm that counts no repeats.
         """
-        bound, norm = np.zeros(len(words)), np.zeros(len(words))
-        if not self.words:
-            return np.empty(0, np.int64), np.empty((0, 0), np.float32)
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for part in self.parts(order, words):
-            some = [words[i] for i in part]
-            for row, feature, weight in subsequences(some):
-                bound[part] += np.bincount(row, weight * self.top[self.table[feature]], len(some))
-                norm[part] += np.bincount(row, minlength=len(some)) * weight**2
-        maybe = np.flatnonzero(bound >= self.least * np.sqrt(norm) - 1e-6)
-        rows = np.zeros((len(maybe), len(self.words)), np.float32)
-        by = maybe[np.argsort([len(words[i]) for i in maybe], kind="stable")] if len(maybe) else maybe
-        for part in self.parts(by, words):
-            row, feature, value = sparse([words[i] for i in part])
-            column = self.table[feature]
-            hit = column > 0
-            dense = np.zeros((len(part), len(self.matrix)), np.float32)
-            dense[row[hit], column[hit]] = value[hit]
-            rows[np.searchsorted(maybe, part)] = dense @ self.matrix
-        keep = rows.max(axis=1, initial=0.0) >= self.least
-        return maybe[keep], rows[keep]
-
-    @staticmethod
-    def parts(order: np.ndarray, words: list[str], most: int = 60_000) -> Iterator[np.ndarray]:
-        """Runs of words of like length, so that padding stays small and memory bounded by the longest word."""
-        a = 0
-        while a < len(order):
-            b = a + max(1, most // (len(words[order[min(a + 4000, len(order) - 1)]]) + 2))
-            yield order[a:b]
-            a = b
+        if not self.words or not words:
+            return np.empty(0, np.int64), np.empty((0, len(self.words)), np.float32)
+        found, rows = [], []
+        for a in range(0, len(words), 50_000):
+            part = words[a : a + 50_000]
+            code, starts = codes(part)
+            total, size = np.zeros(len(code), np.float32), np.fromiter(map(len, part), np.int64, len(part)) + 2
+            norm = np.zeros(len(part))
+            for (_, b), (key, weight) in zip(PAIRS, subsequences(code), strict=True):
+                total[: len(key)] += weight * self.top[key]
+                norm += weight**2 * np.maximum(size - b, 0)
+            maybe = np.flatnonzero(np.add.reduceat(total, starts) >= self.least * np.sqrt(norm) - 1e-4)
+            for b in range(0, len(maybe), 2000):
+                some = maybe[b : b + 2000]
+                got = self.exact([part[i] for i in some])
+                keep = got[:, : self.n_first].max(axis=1, initial=0.0) >= self.least
+                found.append(a + some[keep])
+                rows.append(got[keep])
+        return (np.concatenate(found), np.concatenate(rows)) if found else (np.empty(0, np.int64), np.empty((0, len(self.words)), np.float32))
+
+    def exact(self, words: list[str]) -> np.ndarray:
+        row, feature, value = sparse(words)
+        column = self.table[feature]
+        hit = np.flatnonzero(column)
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        if len(hit):
+            first = np.flatnonzero(np.concatenate([[True], np.diff(row[hit]) > 0]))
+            out[row[hit][first]] = np.add.reduceat(self.matrix[column[hit]] * value[hit, None].astype(np.float32), first, axis=0)
+        return out
 
 
 class Sentences:
@@ -131,7 +143,7 @@ class Sentences:
 
         self.cache = WordCache(missing, emptied=self.kept.clear)
 
-    def rows(self, texts: list[str | None]) -> list[np.ndarray]:
+    def rows(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """For each text the kernel rows of those of its sentences that have one."""
         words, which, starts = block_words(texts, LINE_END)
         self.cache.learn(words)
@@ -159,6 +171,7 @@ class Sentences:
 @dataclass(frozen=True)
 class Model:
     landmarks: tuple[str, ...]
+    n_first: int  # of them, those that part the classes
     weights: np.ndarray  # of a sentence's kernel values: the Nyström map and the machine's plane in one
     slope: float
     shift: float  # a text's score: 1 / (1 + exp(-(slope * best sentence + shift))); a text without a sentence in reach has 0 as its best
@@ -190,7 +203,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = 2000, n_landmarks: int = 160, sentences: int = 12, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = 2000, n_landmarks: int = 120, sentences: int = 12, seed: int = 5) -> Model:
     """Learns from about per_class labelled documents of each class (fewer where there are fewer), chosen by the hash of their id, whole texts.
 
     That bound, and at most n_landmarks kernel values for the `sentences` of a document that are most like a landmark, is what comes to the driver. Landmarks are the words that
@@ -201,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     spark = docs.sparkSession
     marked = labels.where("toxic is not null").groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     size = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    blank = Model((), np.zeros(0), 1.0, -4.0)
+    blank = Model((), 0, np.zeros(0), 1.0, -4.0)
     if not size.get(0) or not size.get(1):
         return blank
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / size[1])).otherwise(min(1.0, per_class / size[0]))
@@ -223,8 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
         return blank
     gain = F.col("bad") / n1 - F.col("clean") / n0 * 3
     worst = [r["word"] for r in words.where("bad > 1").orderBy(gain.desc(), "word").limit(4000).collect()]
-    first = diverse(worst, n_landmarks // 2, 0.85)
-    reach = spark.sparkContext.broadcast(Landmarks(first, 0.3))
+    first = diverse(worst, n_landmarks * 2 // 3, 0.85)
+    reach = spark.sparkContext.broadcast(Landmarks(first, least=0.3))
 
     def likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     like = words.where("bad = 0").select("word").mapInArrow(likeness, "word string, like double").orderBy(F.desc("like"), "word").limit(2000).collect()
     if not first:
         return blank
-    marks = Landmarks(first + diverse([r["word"] for r in like], n_landmarks - len(first), 0.85))
+    marks = Landmarks(first + diverse([r["word"] for r in like], n_landmarks - len(first), 0.85), len(first))
     shared = spark.sparkContext.broadcast(marks)
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     weights = nystrom @ plane[:-1]
     best = np.array([(r @ weights).max(initial=0.0) for r in rows])
     slope, shift = logistic(best, toxic.astype(float))
-    return Model(tuple(marks.words), weights, slope, shift)
+    return Model(tuple(marks.words), marks.n_first, weights, slope, shift)
 
 
 def diverse(words: list[str], most: int, alike: float) -> list[str]:
@@ -297,17 +310,24 @@ def diverse(words: list[str], most: int, alike: float) -> list[str]:
 FIELDS = T.StructType([T.StructField("toxic_score", T.DoubleType())])
 
 
+#: The words that a worker has met stay for its next tasks with the same model.
+KEPT: dict = {}
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with toxic_score from 0 to 1, for whole texts: that of the worst sentence.
 
     Null, empty and wordless texts get the score of a text in which no word is like a landmark. Repeated rows score alike; a
     column named toxic_score is replaced; an empty table stays empty. The model is broadcast; fit()'s parameters bound its size.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make() -> Callable:
         m = shared.value
-        work = Sentences(Landmarks(list(m.landmarks)))
+        kept = sys.modules[Landmarks.__module__].KEPT  # the worker's own, not a copy that came with the task
+        if kept.get("key") != key:
+            kept.update(key=key, work=Sentences(Landmarks(list(m.landmarks), m.n_first)))
+        work = kept["work"]
 
         def run(texts: list[str | None]) -> list:
             best = np.array([(r @ m.weights).max(initial=0.0) if len(r) else 0.0 for r in work.rows(texts)])
@@ -315,7 +335,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         return run
 
-    return with_columns_of_text(docs, FIELDS, make)
+    return with_columns_of_text(docs, FIELDS, make, arrow=True)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
