@@ -49,7 +49,7 @@ def with_columns_of_text(
     fields: T.StructType,
     make: Callable[[], Callable[..., list]],
     inputs: tuple[str, ...] = ("text",),
-    slice_chars: int = 8_000_000,
+    slice_chars: int = 4_000_000,
     arrow: bool = False,
 ) -> DataFrame:
     """df with the columns of fields, computed from whole texts in Arrow batches.
@@ -66,6 +66,7 @@ def with_columns_of_text(
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives back what a batch has used
         work = make()
         for batch in batches:
             values = [batch.column(batch.schema.get_field_index(c)) for c in inputs]
@@ -78,6 +79,18 @@ def with_columns_of_text(
     return source.mapInArrow(run, schema)
 
 
+#: What a worker keeps over its tasks: one thing at a time, so that the operators of a pipeline don't add up.
+KEPT: dict = {}
+
+
+def kept(key: str, build: Callable):
+    """What build() gave when this worker last asked for key; anything else that was kept goes."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = build()
+    return KEPT[key]
+
+
 def block_words(texts: list[str | None] | pa.Array, line_end: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words of the texts, the number of each word in order, where each text's words start and the last one's end).
 
@@ -114,7 +127,7 @@ def slices(texts: list[str | None] | pa.Array, most: int) -> Iterator[tuple[int,
 class WordCache(dict):
     """Values of words: missing() computes those of a list of new words; emptied, with a call of emptied(), before it would hold over `most`."""
 
-    def __init__(self, missing: Callable[[list], list], most: int = 400_000, emptied: Callable[[], None] = lambda: None):
+    def __init__(self, missing: Callable[[list], list], most: int = 200_000, emptied: Callable[[], None] = lambda: None):
         super().__init__()
         self.missing_values, self.most, self.emptied = missing, most, emptied
 

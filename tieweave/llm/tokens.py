@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import uuid
 import zlib
 from array import array
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieweave.llm.common import read, saved, shared_folder, with_columns_of_text
+from tieweave.llm.common import kept, read, saved, shared_folder, with_columns_of_text
 
 # Fixed values of the file format.
 MAGIC = b"TWRANS01"
@@ -32,14 +31,11 @@ U32 = np.uint64(32)
 #: Pieces that the model can be given as they are: letters of Latin-1, perhaps with one full stop or comma behind.
 SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 
-#: Tokens of pieces, kept by the worker over its tasks: tokenizer -> Pieces.
-KEPT: dict = {}
-
 
 class Pieces(dict):
     """Piece -> its ids as bytes. Once `most` are held, further ones are encoded each time; the frequent ones came early."""
 
-    def __init__(self, tokenizer: str, kind: str, most: int = 500_000):
+    def __init__(self, tokenizer: str, kind: str, most: int = 300_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -75,13 +71,14 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def make() -> Callable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        kept = sys.modules[Pieces.__module__].KEPT  # the worker's own, not a copy that came with the task
-        if tokenizer not in kept:
+
+        def load() -> Pieces:
             from tokenizers import Tokenizer
 
             small = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16
-            kept[tokenizer] = Pieces(tokenizer, "H" if small else "I")
-        pieces = kept[tokenizer]
+            return Pieces(tokenizer, "H" if small else "I")
+
+        pieces = kept(f"pieces of {tokenizer}", load)
         kind = np.dtype("<u2" if pieces.kind == "H" else "<u4")
 
         def work(texts: pa.Array) -> list:
@@ -274,7 +271,7 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal block, waiting, first
-            if not waiting or len(waiting) < 32 and not last:
+            if not waiting or len(waiting) < 16 and not last:
                 return
             done = coder.encode([w[1] for w in waiting])
             cols = [[], [], [], [], [], []]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieweave.llm.common import WordCache, block_words, crc_mod, read, with_columns_of_text
+from tieweave.llm.common import WordCache, block_words, crc_mod, kept, read, with_columns_of_text
 
 DECAY = 0.6  # of a subsequence's weight, for each character that it skips
 REACH = 5  # from the first to the last of a subsequence's three characters
@@ -310,10 +309,6 @@ def diverse(words: list[str], most: int, alike: float) -> list[str]:
 FIELDS = T.StructType([T.StructField("toxic_score", T.DoubleType())])
 
 
-#: The words that a worker has met stay for its next tasks with the same model.
-KEPT: dict = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with toxic_score from 0 to 1, for whole texts: that of the worst sentence.
 
@@ -324,10 +319,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def make() -> Callable:
         m = shared.value
-        kept = sys.modules[Landmarks.__module__].KEPT  # the worker's own, not a copy that came with the task
-        if kept.get("key") != key:
-            kept.update(key=key, work=Sentences(Landmarks(list(m.landmarks), m.n_first)))
-        work = kept["work"]
+        work = kept(key, lambda: Sentences(Landmarks(list(m.landmarks), m.n_first)))
 
         def run(texts: list[str | None]) -> list:
             best = np.array([(r @ m.weights).max(initial=0.0) if len(r) else 0.0 for r in work.rows(texts)])
