@@ -229,3 +229,66 @@ def F6_prune_paths(spark, d):
         bad = gone.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
         paths = paths.join(bad, (F.least(u, v) == F.col("_a")) & (F.greatest(u, v) == F.col("_b")), "left_anti")
     return paths
+
+
+@query(f"""
+WITH paths AS (SELECT seed, first_via, score, row_number() OVER (PARTITION BY seed, first_via, mid ORDER BY score DESC, candidate) AS r FROM (
+  SELECT x.a AS seed, x.b AS mid, y.b AS candidate, (SELECT min(company) FROM memberships m WHERE m.person = x.b) AS first_via, CAST(substr(y.b, 3) AS BIGINT) % 100 AS score
+  FROM sym x JOIN sym y ON x.b = y.a AND x.a <> y.b JOIN (SELECT person FROM people WHERE supporter ORDER BY 1 LIMIT 5) s ON s.person = x.a))
+SELECT seed, coalesce(first_via, 'Direct relationship') AS institution, count(*) AS paths, CAST(max(score) AS BIGINT) AS best FROM paths WHERE r = 1 GROUP BY 1, 2""")
+def G23_paths_by_institution(spark, d):
+    sym = saved(G.both_ways(pairs(spark, d)))
+    via = X.memberships(spark, d).groupBy(F.col("person").alias("b")).agg(F.min("company").alias("first_via"))
+    one = sym.join(seeds(spark, d, 5).select(F.col("node").alias("a")), "a").join(via, "b", "left").select(F.col("a").alias("seed"), F.col("b").alias("mid"), "first_via")
+    two = one.join(sym, F.col("mid") == F.col("a")).where("b <> seed").withColumn("score", F.expr("cast(substr(b, 3) as bigint) % 100"))
+    best = G.top_of_each(two, ["seed", "first_via", "mid"], [F.desc("score"), F.col("b")])
+    return best.groupBy("seed", F.coalesce("first_via", F.lit("Direct relationship")).alias("institution")).agg(F.count("*").alias("paths"), F.max("score").alias("best"))
+
+
+@query("""
+WITH zero AS (SELECT person FROM people WHERE supporter), one AS (SELECT DISTINCT s.b AS person FROM sym s JOIN zero z ON z.person = s.a WHERE s.b NOT IN (SELECT person FROM zero)),
+two AS (SELECT DISTINCT s.b AS person FROM sym s JOIN one o ON o.person = s.a WHERE s.b NOT IN (SELECT person FROM zero) AND s.b NOT IN (SELECT person FROM one))
+SELECT 1 AS hop, count(*) AS people, count(*) FILTER (band = '100m_plus') AS targets FROM one JOIN people USING (person) UNION ALL SELECT 2, count(*), count(*) FILTER (band = '100m_plus') FROM two JOIN people USING (person)""")
+def G18_reach_counts(spark, d):
+    who = X.people(spark, d)
+    met = G.reach_from(saved(pairs(spark, d)), who.where("supporter").select(F.col("person").alias("node"))).where("hop > 0")
+    rows = met.join(who.select(F.col("person").alias("node"), "band"), "node")
+    return rows.groupBy("hop").agg(F.count("*").alias("people"), F.count_if(F.col("band") == "100m_plus").alias("targets"))
+
+
+@query("""
+SELECT mention, array_to_string(list_filter([CASE WHEN kind NOT IN ('person', 'address') THEN 'kind' END, CASE WHEN confidence < 0.05 OR confidence > 0.95 THEN 'confidence_range' END, CASE WHEN span_end < span_start + 3 THEN 'offsets' END], lambda z: z IS NOT NULL), ',') AS errors FROM mentions""")
+def V10_V14_contract(spark, d):
+    from tieweave.operators.match import contract_errors
+
+    rules = {"kind": lambda: ~F.col("kind").isin("person", "address"), "confidence_range": lambda: ~F.col("confidence").between(0.05, 0.95), "offsets": lambda: F.col("span_end") < F.col("span_start") + 3}
+    return contract_errors(X.mentions(spark, d), rules).select("mention", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""
+WITH e AS (SELECT mention AS entity, n, list_distinct(list_filter(string_split(value, ' '), lambda x: x <> '')) AS w FROM mentions WHERE kind = 'person' AND n % 20 = 2), r AS (SELECT company AS record, CAST(substr(company, 3) AS BIGINT) AS k, list_distinct(list_filter(string_split(lower(name), ' '), lambda x: x <> '')) AS w FROM companies WHERE CAST(substr(company, 3) AS BIGINT) % 7 = 0)
+SELECT entity, record, round(0.50 * len(list_intersect(e.w, r.w)) / CAST(len(e.w) + len(r.w) - len(list_intersect(e.w, r.w)) AS DOUBLE) + 0.30 * CASE WHEN (n + k) % 2 = 0 THEN 1 ELSE 0 END + 0.20 * 0.3, 6) AS confidence FROM e JOIN r ON len(list_intersect(e.w, r.w)) > 0""")
+def R26_R27_registry(spark, d):
+    from tieweave.operators.match import registry_match
+
+    entities = X.mentions(spark, d).where("kind = 'person' and n % 20 = 2").select(F.col("mention").alias("entity"), F.col("value").alias("name"), "n")
+    records = X.companies(spark, d).withColumn("k", F.expr("cast(substr(company, 3) as bigint)")).where("k % 7 = 0").select(F.col("company").alias("record"), F.col("name").alias("title"), "k")
+    return registry_match(entities, records, ((F.col("n") + F.col("k")) % 2 == 0).cast("double"), F.lit(0.3))
+
+
+@query()
+def R15_R16_R17_R18_list_match(spark, d):
+    from tieweave.operators.match import list_match
+
+    names = X.mentions(spark, d).where("kind = 'person'").select(F.col("mention").alias("id"), F.col("value").alias("name"), "n")
+    return list_match(names.where("n % 10 = 1"), names.where("n % 10 <> 1"), F.lit(0.05), 0.95, 0.60)
+
+
+@query()
+def R11_replay(spark, d):
+    from tieweave.operators.match import replay
+
+    m = X.mentions(spark, d).where("kind = 'person'")
+    both = m.select(F.col("mention").alias("a"), "n", "org").join(m.select(F.col("mention").alias("b"), F.col("n").alias("n2"), F.col("org").alias("o2")), (F.col("n2") == F.col("n") + 4))
+    said = both.withColumn("decision", F.when(F.col("org") == F.col("o2"), "not_same_person").when(F.col("n") % 3 == 0, "same_person")).where("decision is not null")
+    return replay(m.select("mention", F.col("org").alias("cluster")), said.select("a", "b", "decision")).select("mention", "final")
