@@ -292,3 +292,79 @@ def R11_replay(spark, d):
     both = m.select(F.col("mention").alias("a"), "n", "org").join(m.select(F.col("mention").alias("b"), F.col("n").alias("n2"), F.col("org").alias("o2")), (F.col("n2") == F.col("n") + 4))
     said = both.withColumn("decision", F.when(F.col("org") == F.col("o2"), "not_same_person").when(F.col("n") % 3 == 0, "same_person")).where("decision is not null")
     return replay(m.select("mention", F.col("org").alias("cluster")), said.select("a", "b", "decision")).select("mention", "final")
+
+
+@query("""
+WITH f AS (SELECT event_id, 'p:' || user_id AS person, event_type, json_extract_string(props, '$.k') AS k, value FROM events)
+SELECT event_id, person FROM f WHERE value < 5 OR event_type = 'purchase' AND value < 10""")
+def F11_second_pass(spark, d):
+    rows = X.table(spark, d, "events").select("event_id", F.concat(F.lit("p:"), F.col("user_id").cast("string")).alias("person"), "event_type", "value")
+    return rows.where((F.col("value") < 5) | ((F.col("event_type") == "purchase") & (F.col("value") < 10))).select("event_id", "person")
+
+
+def route_scores(routes, people, proofs):
+    """routes(target, introducer, kind, tier) with score, confidence, sources and rank within the introducer: warmth by tier, affinity by the target's sector, capacity by band, corroboration by distinct sources."""
+    warm = F.when(F.col("tier") == 1, 0.95).when(F.col("tier") == 2, 0.75).when(F.col("tier") == 3, 0.55).otherwise(0.35)
+    sources = proofs.groupBy("person").agg(F.count_distinct("source").alias("sources"))
+    who = people.select(F.col("person").alias("target"), "sector", "band").join(sources.withColumnRenamed("person", "target"), "target", "left").fillna(0, ["sources"])
+    rows = routes.join(who, "target")
+    parts = {"introability": warm, "affinity": F.when(F.col("sector").isin("BUILDING", "FURNITURE"), 0.6).otherwise(0.2), "capacity": C.lookup({"100m_plus": 1.0, "25m_100m": 0.8, "5m_25m": 0.6, "1m_5m": 0.4}, F.col("band"), 0.0), "influence": F.lit(0.3), "fit": F.lit(0.3)}
+    sure = F.when(F.col("sources") >= 3, 1.0).when(F.col("sources") == 2, 0.7).when(F.col("sources") == 1, 0.4).otherwise(0.1)
+    out = rows.withColumn("score", F.round(C.weighted(C.PRIORITY_WEIGHTS, parts), 6)).withColumn("confidence", F.round(0.7 * F.when(F.col("kind") == "declared", 0.9).otherwise(0.6) + 0.3 * sure, 6))
+    order = Window.partitionBy("introducer").orderBy(F.desc("score"), F.desc("confidence"), "target")
+    return out.withColumn("rank", F.row_number().over(order))
+
+
+@query("""
+WITH routes AS (SELECT s.b AS target, s.a AS introducer, CASE WHEN CAST(substr(s.b, 3) AS BIGINT) % 2 = 0 THEN 'declared' ELSE 'derived' END AS kind, CAST(substr(s.b, 3) AS BIGINT) % 4 + 1 AS tier FROM sym s WHERE s.a IN (SELECT person FROM people WHERE supporter)),
+src AS (SELECT person, count(DISTINCT source) AS sources FROM evidence GROUP BY 1),
+x AS (SELECT r.*, round(0.30 * CASE tier WHEN 1 THEN 0.95 WHEN 2 THEN 0.75 WHEN 3 THEN 0.55 ELSE 0.35 END + 0.25 * CASE WHEN sector IN ('BUILDING', 'FURNITURE') THEN 0.6 ELSE 0.2 END
+  + 0.20 * CASE band WHEN '100m_plus' THEN 1.0 WHEN '25m_100m' THEN 0.8 WHEN '5m_25m' THEN 0.6 WHEN '1m_5m' THEN 0.4 ELSE 0 END + 0.15 * 0.3 + 0.10 * 0.3, 6) AS score,
+  round(0.7 * CASE kind WHEN 'declared' THEN 0.9 ELSE 0.6 END + 0.3 * CASE WHEN sources >= 3 THEN 1.0 WHEN sources = 2 THEN 0.7 WHEN sources = 1 THEN 0.4 ELSE 0.1 END, 6) AS confidence FROM routes r JOIN people p ON p.person = r.target LEFT JOIN src ON src.person = r.target)
+SELECT introducer, target, score, confidence, row_number() OVER (PARTITION BY introducer ORDER BY score DESC, confidence DESC, target) AS rank FROM x""")
+def S12_route_scores(spark, d):
+    n = F.expr("cast(substr(b, 3) as bigint)")
+    sup = X.people(spark, d).where("supporter").select(F.col("person").alias("a"))
+    routes = G.both_ways(pairs(spark, d)).join(sup, "a").select(F.col("b").alias("target"), F.col("a").alias("introducer"), F.when(n % 2 == 0, "declared").otherwise("derived").alias("kind"), (n % 4 + 1).alias("tier"))
+    return route_scores(routes, X.people(spark, d), X.evidence(spark, d)).select("introducer", "target", "score", "confidence", "rank")
+
+
+@query("""
+WITH b AS (SELECT person, count(*) AS dirs FROM memberships GROUP BY 1), g AS (SELECT donor AS person, count(*) AS gifts FROM donations GROUP BY 1), c AS (SELECT person, count(*) AS cos FROM codirectors GROUP BY 1),
+s AS (SELECT p.person, round(least(coalesce(dirs, 0) * 0.015, 0.15) + CASE WHEN coalesce(cos, 0) >= 5 THEN least(cos * 0.005, 0.10) ELSE 0 END + least(coalesce(gifts, 0) * 0.025, 0.10) + CASE WHEN p.worth > 150e6 THEN 0.25 ELSE 0 END, 6) AS score,
+  (coalesce(dirs, 0) > 0)::INT + (coalesce(cos, 0) >= 5)::INT + (coalesce(gifts, 0) > 0)::INT + (p.worth > 150e6)::INT AS k FROM people p LEFT JOIN b USING (person) LEFT JOIN g USING (person) LEFT JOIN c USING (person))
+SELECT person, score, round(least(0.90, 0.4 + 0.08 * k), 6) AS confidence FROM s""")
+def S15_wealth_from_signals(spark, d):
+    n = lambda df, key, name: df.groupBy(F.col(key).alias("person")).agg(F.count("*").alias(name))
+    out = X.people(spark, d).select("person", "worth")
+    for part in (n(X.memberships(spark, d), "person", "dirs"), n(X.donations(spark, d), "donor", "gifts"), n(X.codirectors(spark, d), "person", "cos")):
+        out = out.join(part, "person", "left")
+    out = out.fillna(0, ["dirs", "gifts", "cos"])
+    signals = [
+        (F.col("dirs") > 0, F.least(F.col("dirs") * 0.015, F.lit(0.15))), (F.col("cos") >= 5, F.least(F.col("cos") * 0.005, F.lit(0.10))),
+        (F.col("gifts") > 0, F.least(F.col("gifts") * 0.025, F.lit(0.10))), (F.col("worth") > 150e6, F.lit(0.25)),
+    ]
+    score = sum((F.when(c, v).otherwise(0.0) for c, v in signals), F.lit(0.0))
+    k = sum((c.cast("int") for c, _ in signals), F.lit(0))
+    return out.select("person", F.round(score, 6).alias("score"), F.round(F.least(F.lit(0.90), 0.4 + 0.08 * k), 6).alias("confidence"))
+
+
+@query("""
+WITH latest AS (SELECT seed, decision_id, reason, score, row_number() OVER (PARTITION BY seed, run_id ORDER BY decided_on DESC, decision_id DESC) AS r, run_id FROM decisions)
+SELECT seed, run_id, decision_id, CASE WHEN regexp_matches(reason, '^[=+@-]') THEN '''' || reason ELSE reason END AS reason, score, row_number() OVER (ORDER BY score DESC, decision_id) AS rank FROM latest WHERE r = 1""")
+def IO11_candidate_export(spark, d):
+    from tieweave.sources.io import safe_cell
+
+    one = G.top_of_each(X.decisions(spark, d), ["seed", "run_id"], [F.desc("decided_on"), F.desc("decision_id")])
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "decision_id"))  # a row per seed and run
+    return one.select("seed", "run_id", "decision_id", safe_cell(F.col("reason")).alias("reason"), "score", rank.cast("long").alias("rank"))
+
+
+@query("""
+SELECT person, source, max(created_at) AS newest, max(confidence) >= 0.75 AS accepted, max(created_at) + CASE WHEN source = 'purchase' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END AS expires,
+  CASE WHEN source = 'purchase' THEN 'A' WHEN source IN ('click', 'view') THEN 'B' ELSE 'C' END AS layer FROM evidence GROUP BY 1, 2""")
+def IO9_sweep_rows(spark, d):
+    best = X.evidence(spark, d).groupBy("person", "source").agg(F.max("created_at").alias("newest"), F.max("confidence").alias("c"))
+    ttl = F.when(F.col("source") == "purchase", F.expr("interval 7 days")).otherwise(F.expr("interval 30 days"))
+    layer = F.when(F.col("source") == "purchase", "A").when(F.col("source").isin("click", "view"), "B").otherwise("C")
+    return best.select("person", "source", "newest", (F.col("c") >= 0.75).alias("accepted"), (F.col("newest") + ttl).alias("expires"), layer.alias("layer"))
