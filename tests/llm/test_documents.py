@@ -166,7 +166,7 @@ def test_quality_measures(spark, odd):
         assert r["n_tokens"] == len(ids)
         if ids:
             n = Counter(ids)
-            h = -sum(c / len(ids) * math.log2(c / len(ids)) for c in n.values()) / max(1, math.log2(len(ids)))
+            h = -sum(c / len(ids) * math.log2(c / len(ids)) for c in n.values())
             want = (r["word_chars"] / len(ids), sum(map(model.is_byte, ids)) / len(ids), h)
             assert (r["chars_per_token"], r["byte_share"], r["token_entropy"]) == pytest.approx(want)
     assert quality.judge(odd, path).count() == 9 and quality.judge(odd.limit(0), path).count() == 0

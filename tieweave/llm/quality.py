@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,7 +64,7 @@ def measure(docs: DataFrame, vocabulary: str) -> DataFrame:
             if not n:
                 return (*base, None, None, None)
             share = np.unique(tokens, return_counts=True)[1] / n
-            return (*base, chars / n, float(is_byte[tokens].mean()), float(-(share * np.log2(share)).sum() / max(1.0, math.log2(n))))
+            return (*base, chars / n, float(is_byte[tokens].mean()), float(-(share * np.log2(share)).sum()))
 
         def work(texts: list[str | None]) -> list:
             words, which, starts = block_words(texts)
@@ -89,24 +88,34 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(measured: DataFrame, group: str = "lang", reach: float = 4.0, slack: float = 0.1) -> DataFrame:
-    """One row per group: the least and the greatest accepted value of each measure.
+#: Per measure: how many times the distance of the quartiles a band reaches beyond them, and the least widening.
+REACH = {"chars_per_token": (4.5, 0.05), "byte_share": (4.5, 0.02), "token_entropy": (3.5, 0.05)}
 
-    A band is the range between the quartiles of the group's documents that pass the base rules, widened on both sides by reach times their
-    distance and by slack times the median. All documents count; the quartile summaries merge before the shuffle.
+
+def size_class() -> Column:
+    """Texts are compared with those of like length, because entropy depends on it: the binary logarithm of the number of tokens, rounded down."""
+    return F.floor(F.log2(F.greatest(F.lit(1), F.col("n_tokens")))).cast("int")
+
+
+def bands(measured: DataFrame, group: str = "lang", least_docs: int = 30) -> DataFrame:
+    """One row per group and size class with least_docs or more: the least and the greatest accepted value of each measure.
+
+    A band is the range between the quartiles of the documents that pass the base rules, widened on both sides by REACH. All
+    documents count; the quartile summaries merge before the shuffle.
     """
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in MEASURES]
-    found = measured.where(~base_failed()).groupBy(F.col(group).alias("_group")).agg(*quartiles)
-    wide = lambda m: reach * (F.col(m)[2] - F.col(m)[0]) + slack * F.greatest(F.col(m)[1], F.lit(0.05))
-    return found.select("_group", *[x for m in MEASURES for x in ((F.col(m)[0] - wide(m)).alias(f"{m}_least"), (F.col(m)[2] + wide(m)).alias(f"{m}_most"))])
+    quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in MEASURES]
+    rows = measured.where(~base_failed()).groupBy(F.col(group).alias("_group"), size_class().alias("_size"))
+    found = rows.agg(F.count("*").alias("_n"), *quartiles).where(F.col("_n") >= least_docs)
+    wide = lambda m: F.greatest(REACH[m][0] * (F.col(m)[1] - F.col(m)[0]), F.lit(REACH[m][1]))
+    return found.select("_group", "_size", *[x for m in MEASURES for x in ((F.col(m)[0] - wide(m)).alias(f"{m}_least"), (F.col(m)[1] + wide(m)).alias(f"{m}_most"))])
 
 
 def judge(docs: DataFrame, vocabulary: str, group: str = "lang") -> DataFrame:
     """docs(text, <group>) with the measures, base_failed and kept.
 
-    kept is false where base_failed, or where characters per token, byte-fallback share or token entropy (as a share of the most that so many
-    tokens can have) lies outside the band of the document's group; a null group is a group of its own. A group in which every
-    document fails the base rules has no band and keeps nothing, as all its rows have failed already.
+    kept is false where base_failed, or where characters per token, byte-fallback share or token entropy (bits) lies
+    outside the band of the document's group and size class; a null group is a group of its own. Where too few
+    documents pass the base rules for a band, those that pass are kept.
     Null and empty texts fail. Repeated rows are judged alike; columns with the names of new ones are replaced. An empty table stays empty.
     """
     measured = saved(measure(docs, vocabulary))
@@ -114,9 +123,9 @@ def judge(docs: DataFrame, vocabulary: str, group: str = "lang") -> DataFrame:
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & F.col(m).between(F.col(f"{m}_least"), F.col(f"{m}_most"))
-    joined = measured.join(limits, measured[group].eqNullSafe(limits["_group"]), "left")
+    joined = measured.join(limits, measured[group].eqNullSafe(limits["_group"]) & (size_class() == F.col("_size")), "left")
     failed = base_failed()
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(False))).drop(*limits.columns)
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(True))).drop(*limits.columns)
 
 
 def op8_quality(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
