@@ -118,7 +118,11 @@ def judge(docs: DataFrame, vocabulary: str, group: str = "lang") -> DataFrame:
     documents pass the base rules for a band, those that pass are kept.
     Null and empty texts fail. Repeated rows are judged alike; columns with the names of new ones are replaced. An empty table stays empty.
     """
-    measured = saved(measure(docs, vocabulary))
+    return verdict(saved(measure(docs, vocabulary)), group)
+
+
+def verdict(measured: DataFrame, group: str = "lang") -> DataFrame:
+    """measured (written rows of measure(), with or without their text) with base_failed and kept."""
     limits = bands(measured, group)
     inside = F.lit(True)
     for m in MEASURES:
@@ -134,5 +138,5 @@ def op8_quality(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
 
         vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    out = judge(docs.withColumn("lang", F.coalesce("lang", F.lit("und"))), vocabulary)
+    out = verdict(saved(measure(docs, vocabulary).drop("text")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *MEASURES)
