@@ -123,7 +123,7 @@ def reach_from(pairs: DataFrame, sources: DataFrame, hops: int = 2) -> DataFrame
     return met
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, dangling: str = "uniform", save_every: int = 5) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, dangling: str = "uniform", check_every: int = 5) -> DataFrame:
     """(seed, node, rank): personalised PageRank over weighted edges(src, dst, weight), for all seeds(seed) in one pass.
 
     A node's rank goes out in proportion to the weights; the rank of nodes without an edge out goes to all nodes alike ("uniform") or to the seed
@@ -144,27 +144,24 @@ def page_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: i
             rank.join(moved, (F.col("seed") == F.col("_s")) & (F.col("node") == F.col("dst")), "left").join(F.broadcast(lost), F.col("seed") == F.col("_t"))
             .select("seed", "node", "sink", F.col("rank").alias("old"), (alpha * (F.coalesce("got", F.lit(0.0)) + spread) + (1 - alpha) * home).alias("rank"))
         )
-        if i % save_every and i < rounds:
-            rank = new.drop("old")
+        new = saved(new)  # each round reads the one before three times
+        rank = new.drop("old")
+        if i % check_every and i < rounds:
             continue
-        new = saved(new)
         change = new.groupBy("seed").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("c")).agg(F.max("c")).first()[0]
-        rank = new.drop("old")
         if change is None or change < tolerance:
             break
     return rank.drop("sink")
 
 
-def eigenvector(pairs: DataFrame, rounds: int = 50, save_every: int = 5) -> DataFrame:
+def eigenvector(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """(person, score): power iteration from a uniform start, L2 norm at each step, over the greatest at the end."""
     sym = saved(both_ways(pairs))
     score = sym.select(F.col("a").alias("person")).distinct().withColumn("x", F.lit(1.0))
-    for i in range(1, rounds + 1):
-        raw = sym.join(score, F.col("b") == F.col("person")).groupBy("a").agg(F.sum("x").alias("y"))
+    for _ in range(rounds):
+        raw = saved(sym.join(score, F.col("b") == F.col("person")).groupBy("a").agg(F.sum("x").alias("y")))
         norm = raw.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
         score = raw.join(F.broadcast(norm)).select(F.col("a").alias("person"), (F.col("y") / F.col("norm")).alias("x"))  # norm is one row
-        if i % save_every == 0 or i == rounds:
-            score = saved(score)
     top = score.agg(F.max("x").alias("top"))
     return score.join(F.broadcast(top)).select("person", (F.col("x") / F.col("top")).alias("score"))
 
