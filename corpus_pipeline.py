@@ -31,13 +31,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows with the same doc_id are one document, of which the one with the smallest text stays; rows without an id stay once for each text
     unless all of them are linked to documents with one.
     """
-    classes = simhash.near_duplicates(docs.select("doc_id", "text"))
-    keep = saved(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct())
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    classes = saved(simhash.near_duplicates(docs.select("doc_id", "text")))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # The ids grow with the corpus, so the join is a sort-merge join at every size; texts are shuffled once.
+    keep = classes.where(stays & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_keep")).distinct().hint("merge")
+    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    odd = saved(classes.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(stays).alias("_stays")).where("doc_id is null or _n > 1").select(F.col("doc_id").alias("_odd"), "_stays"))
+    if odd.isEmpty():
+        return kept.select(*docs.columns)
     rest = [c for c in docs.columns if c != "text"]
     same = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    one = kept.groupBy("doc_id", same.alias("_same")).agg(F.min(F.struct("text", *[F.col(f"`{c}`") for c in rest])).alias("_row"))
-    return one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    several = docs.join(odd.where("_stays"), F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi")
+    one = several.groupBy("doc_id", same.alias("_same")).agg(F.min(F.struct("text", *[F.col(f"`{c}`") for c in rest])).alias("_row"))
+    single = kept.join(odd, F.col("doc_id") == F.col("_odd"), "left_anti")
+    return single.select(*docs.columns).unionByName(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,11 @@ def test_run_and_odd_tables(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.saved(stage(spark, docs, sf))
         assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark, sf):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, long), (5, long), (6, long), (7, "quite another text that shares nothing with it at all here"), (None, "zz yy xx ww vv uu"), (None, "zz yy xx ww vv uu"), (8, "a b c d e f g h")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 5, 7, 8] and out.columns == docs.columns
