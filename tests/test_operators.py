@@ -178,3 +178,28 @@ def test_sources(spark, tmp_path):
     good, bad = io.import_people(sheet, {"first_name": ["first name"], "last_name": ["last name", "surname"]})
     assert [r["row_number"] for r in good.collect()] == [1]
     assert {r["row_number"]: r["reason"] for r in bad.collect()} == {2: "duplicate_in_import", 3: "missing_name"}
+
+
+def test_eigenvector(spark, graph):
+    import numpy as np
+
+    edges, frame = graph
+    near = neighbours(edges)
+    names = sorted(near)
+    m = np.array([[float(b in near[a]) for b in names] for a in names])
+    x = np.ones(len(names))
+    for _ in range(12):
+        x = m @ x
+        x /= np.sqrt((x * x).sum())
+    got = {r["person"]: r["score"] for r in G.eigenvector(frame, rounds=12).collect()}
+    assert [got[n] for n in names] == pytest.approx(list(x / x.max()))
+
+
+def test_constraint_and_links(spark):
+    frame = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("b", "d")], "a string, b string")
+    got = {r["person"]: r["constraint"] for r in G.burt_constraint(frame).collect()}
+    half, third = 1 / 2, 1 / 3
+    assert got["a"] == pytest.approx((half + half * third) ** 2 * 2)
+    links = [tuple(r) for r in G.link_prediction(frame).select("a", "b", "common").collect()]
+    assert links == [("a", "d", 2)]
+    assert G.link_prediction(frame, decided=spark.createDataFrame([("d", "a")], "a string, b string")).count() == 0
