@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieweave.llm import decontaminate, mixing, simhash, tokens, toxicity
+from tieweave.llm import decontaminate, mixing, nearcopies, tokens, toxicity
 from tieweave.llm.common import crc_mod, read, saved
 
 #: SQL can't express a trained classifier, fingerprints' components or a tokenizer; tests/llm/test_pipeline.py holds the stages against brute force.
@@ -26,12 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates.
+    """The document with the smallest doc_id of each group of near duplicates: texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles.
 
     Rows with the same doc_id are one document, of which the one with the smallest text stays; rows without an id stay once for each text
     unless all of them are linked to documents with one.
     """
-    classes = saved(simhash.near_duplicates(docs.select("doc_id", "text")))
+    classes = saved(nearcopies.near_copies(docs.select("doc_id", "text"), shingle=5, least=0.8))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # The ids grow with the corpus, so the join is a sort-merge join at every size; texts are shuffled once.
     keep = classes.where(stays & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_keep")).distinct().hint("merge")
