@@ -97,39 +97,53 @@ def size_class() -> Column:
     return F.floor(F.log2(F.greatest(F.lit(1), F.col("n_tokens")))).cast("int")
 
 
+#: Accepted where the whole table has too few different texts for a band. Entropy in bits.
+FIXED = {"chars_per_token": (1.0, 10.0), "byte_share": (0.0, 0.5), "token_entropy": (3.0, 16.0)}
+
+
 def bands(measured: DataFrame, group: str = "lang", least_docs: int = 30) -> DataFrame:
-    """One row per group and size class with least_docs or more: the least and the greatest accepted value of each measure.
+    """One row per group and size class of measured: the least and the greatest accepted value of each measure.
 
-    A band is the range between the quartiles of the documents that pass the base rules, widened on both sides by REACH. All
-    documents count; the quartile summaries merge before the shuffle.
+    A band is the range between the quartiles of the different texts (by _copy, so copies have one vote) that pass the base rules, widened on
+    both sides by REACH. They are those of the group and size class; where these are under least_docs, of the neighbouring classes too, then of the
+    group, then of the table; where that has too few, the band is FIXED. The quartile summaries merge before the shuffle.
     """
+    level = lambda n, g, s: F.struct(F.lit(n).alias("n"), g.cast("string").alias("g"), s.cast("int").alias("s"))
+    g, s, none = F.col("_group"), F.col("_size"), F.lit(None)
     quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in MEASURES]
-    rows = measured.where(~base_failed()).groupBy(F.col(group).alias("_group"), size_class().alias("_size"))
-    found = rows.agg(F.count("*").alias("_n"), *quartiles).where(F.col("_n") >= least_docs)
+    voters = measured.where(~base_failed()).select(F.col(group).alias("_group"), size_class().alias("_size"), "_copy", *MEASURES).dropDuplicates(["_group", "_copy"])
+    counted = voters.withColumn("_at", F.explode(F.array(level(1, g, s), *[level(2, g, s + k) for k in (-1, 0, 1)], level(3, g, none), level(4, none, none))))
+    found = counted.groupBy("_at.n", "_at.g", "_at.s").agg(F.count("*").alias("_n"), *quartiles).where(F.col("_n") >= least_docs)
     wide = lambda m: F.greatest(REACH[m][0] * (F.col(m)[1] - F.col(m)[0]), F.lit(REACH[m][1]))
-    return found.select("_group", "_size", *[x for m in MEASURES for x in ((F.col(m)[0] - wide(m)).alias(f"{m}_least"), (F.col(m)[1] + wide(m)).alias(f"{m}_most"))])
+    ends = F.struct(*[x for m in MEASURES for x in ((F.col(m)[0] - wide(m)).alias(f"{m}_least"), (F.col(m)[1] + wide(m)).alias(f"{m}_most"))])
+    found = found.select("n", "g", "s", ends.alias("_ends"))
+    cells = measured.select(F.col(group).alias("_group"), size_class().alias("_size")).distinct()
+    asked = cells.withColumn("_ask", F.explode(F.array(level(1, g, s), level(2, g, s), level(3, g, none), level(4, none, none))))
+    same = (F.col("_ask.n") == F.col("n")) & F.col("_ask.g").eqNullSafe(F.col("g")) & F.col("_ask.s").eqNullSafe(F.col("s"))
+    best = asked.join(found, same, "left").where("n is not null or _ask.n = 4").groupBy("_group", "_size").agg(F.min_by("_ends", F.col("_ask.n")).alias("_ends"))
+    fixed = {f"{m}_{end}": FIXED[m][k] for m in MEASURES for k, end in enumerate(("least", "most"))}
+    return best.select("_group", "_size", *[F.coalesce(F.col("_ends").getField(c), F.lit(x)).alias(c) for c, x in fixed.items()])
 
 
 def judge(docs: DataFrame, vocabulary: str, group: str = "lang") -> DataFrame:
     """docs(text, <group>) with the measures, base_failed and kept.
 
     kept is false where base_failed, or where characters per token, byte-fallback share or token entropy (bits) lies
-    outside the band of the document's group and size class; a null group is a group of its own. Where too few
-    documents pass the base rules for a band, those that pass are kept.
+    outside the band of the document's group and size class; a null group is a group of its own. Every document has a band: see bands().
     Null and empty texts fail. Repeated rows are judged alike; columns with the names of new ones are replaced. An empty table stays empty.
     """
-    return verdict(saved(measure(docs, vocabulary)), group)
+    return verdict(saved(measure(docs.withColumn("_copy", F.xxhash64("text")), vocabulary)), group)
 
 
 def verdict(measured: DataFrame, group: str = "lang") -> DataFrame:
-    """measured (written rows of measure(), with or without their text) with base_failed and kept."""
+    """measured (written rows of measure(), with or without their text, and _copy, the text's hash) with base_failed and kept, without _copy."""
     limits = bands(measured, group)
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & F.col(m).between(F.col(f"{m}_least"), F.col(f"{m}_most"))
     joined = measured.join(limits, measured[group].eqNullSafe(limits["_group"]) & (size_class() == F.col("_size")), "left")
     failed = base_failed()
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(True))).drop(*limits.columns)
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(False))).drop(*limits.columns, "_copy")
 
 
 def op8_quality(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -137,6 +151,6 @@ def op8_quality(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("piece_bpe_32k.model")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.xxhash64("text").alias("_copy"))
     out = verdict(saved(measure(docs, vocabulary).drop("text")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *MEASURES)
