@@ -37,8 +37,8 @@ def similarity_join(left: DataFrame, right: DataFrame, least: float = 0.5, left_
     return full.where(F.col("similarity") >= least - 1e-12).select(F.col("l").alias("left"), F.col("r").alias("right"), "similarity")
 
 
-def candidate_pairs(mentions: DataFrame, keys: dict[str, Column], most_block: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(pairs, large): pairs (a, b) of mentions of one kind that share a key, and the blocks of more than most_block rows, which make no pairs but are reported.
+def candidate_pairs(mentions: DataFrame, keys: dict[str, Column], most_block: int | None = 1000) -> tuple[DataFrame, DataFrame]:
+    """(pairs, large): pairs (a, b) of mentions of one kind that share a key, and the blocks of more than most_block rows, which make no pairs but are reported; with None all blocks make pairs.
 
     keys: name -> Column of an array of keys, or of one key. The block size is counted first, so a hot key costs one grouped count.
     """
@@ -47,10 +47,11 @@ def candidate_pairs(mentions: DataFrame, keys: dict[str, Column], most_block: in
         one = mentions.select("mention", "kind", F.lit(name).alias("by"), (F.explode(key) if "array" in str(mentions.select(key.alias("k")).schema["k"].dataType.typeName()) else key).alias("key")).where("key is not null")
         each = one if each is None else each.unionByName(one)
     size = each.groupBy("kind", "by", "key").agg(F.count("*").alias("n"))
-    rows = each.join(size.where(F.col("n").between(2, most_block)).select("kind", "by", "key"), ["kind", "by", "key"], "left_semi")
+    within = F.lit(True) if most_block is None else F.col("n") <= most_block
+    rows = each.join(size.where((F.col("n") >= 2) & within).select("kind", "by", "key"), ["kind", "by", "key"], "left_semi")
     other = rows.select(F.col("kind").alias("k2"), F.col("by").alias("y2"), F.col("key").alias("x2"), F.col("mention").alias("b"))
     pairs = rows.join(other, (F.col("kind") == F.col("k2")) & (F.col("by") == F.col("y2")) & (F.col("key") == F.col("x2")) & (F.col("mention") < F.col("b")))
-    return pairs.select(F.col("mention").alias("a"), "b").distinct(), size.where(F.col("n") > most_block)
+    return pairs.select(F.col("mention").alias("a"), "b").distinct(), size.where(~within)
 
 
 def match_confidence(name: Column, embedding: Column, org: Column, address: Column, role: Column, weights: dict[str, float] | None = None) -> Column:

@@ -49,7 +49,7 @@ def R2_R5_cosine(spark, d):
 def scored(spark, d):
     """Pairs of person mentions that share an org and a role, with the match score."""
     rows = X.mentions(spark, d).where("kind = 'person'")
-    pairs, _ = R.candidate_pairs(rows, {"org_role": F.concat_ws("|", "org", "role")})
+    pairs, _ = R.candidate_pairs(rows, {"org_role": F.concat_ws("|", "org", "role")}, most_block=None)
     pairs = saved(pairs)
     a = rows.select(F.col("mention").alias("a"), F.col("value").alias("va"), F.col("n").alias("na"))
     b = rows.select(F.col("mention").alias("b"), F.col("value").alias("vb"), F.col("n").alias("nb"))
