@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, or where that is unset (tests) a new temporary folder."""
+    """spark.checkpoint.dir. Where that is unset, a new temporary folder on local[...] (tests), and an error on a cluster, whose machines share none."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,7 +28,7 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node that is reachable.
 
     Alternating large-star and small-star steps until a round changes nothing; each is one grouped minimum and one join on the node. Edges with a
@@ -35,7 +38,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     nodes = both.select(F.col("u").alias("node")).union(both.select("v")).distinct()
     now = saved(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     sign = None
-    for _ in range(most_rounds):
+    while True:
         around = now.union(now.select("v", "u"))
         least = around.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
         large = around.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
