@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ class Model:
     grams: dict[str, np.ndarray]  # n-gram of 1 to LONGEST characters -> log frequency per language, among those of its length
 
     def word(self, word: str) -> np.ndarray:
-        """A known word's log frequencies; else the mean over its positions of the longest known n-gram that starts there."""
+        """A known word's log frequencies; else the mean over n-grams: from the left, the longest known one at each place, the next one from its last character on."""
         known = self.words.get(word)
         if known is not None:
             return known
@@ -43,18 +42,19 @@ def letters(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word.lower()))
 
 
-def fit(docs: DataFrame, train_docs: int = 4000, words_per_lang: int = 30_000, grams_per_lang: int = 20_000) -> Model:
-    """Learns from the whole texts of about train_docs of docs(text, lang) with a lang: a bounded sample, chosen by the hash of the text.
+def fit(docs: DataFrame, per_lang: int = 1000, words_per_lang: int = 30_000, grams_per_lang: int = 20_000) -> Model:
+    """Learns from the whole texts of about per_lang different texts of each lang of docs(text, lang): a bounded sample, chosen by the hash of the text.
 
-    The model is as large as words_per_lang and grams_per_lang allow, times the number of languages in the sample.
+    Equal texts of a language count once. Every lang that occurs is learned, however rare. The model is as large as words_per_lang and
+    grams_per_lang allow, times the number of languages.
     """
-    known = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = known.count()
-    share = min(1.0, train_docs / max(1, n))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < math.ceil(1_000_003 * share))
+    known = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text"))
+    share = known.groupBy(F.col("lang").alias("_l")).agg(F.approx_count_distinct("_h", 0.02).alias("_n")).select("_l", F.least(F.lit(1.0), per_lang / F.greatest(F.lit(1), F.col("_n"))).alias("_share"))
+    drawn = known.join(F.broadcast(share), F.col("lang") == F.col("_l")).where(F.pmod("_h", F.lit(1_000_003)) < F.ceil(F.col("_share") * 1_000_003))  # share has one row per language
+    sample = drawn.groupBy("lang", "_h").agg(F.first("text").alias("text"))
     word = F.explode(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", ""), r"[\x20\x09-\x0D]+")).alias("word")
     counts = sample.select("lang", word).where("word <> ''").groupBy("lang", "word").count().persist()
-    padded = F.concat(F.lit("^"), F.substring("word", 1, 40), F.lit("$"))
+    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     cut = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(padded) - k + 1, F.lit(1))), lambda i: F.substr(padded, i, k))))
     grams = counts.select("lang", F.explode(cut).alias("word"), "count").groupBy("lang", "word").agg(F.sum("count").alias("count"))

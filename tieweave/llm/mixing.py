@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tieweave.llm.common import WORD, read, saved
 
-#: Hash buckets in which a source's documents are laid out for the fractional repetition. Only the bucket where the fraction ends is sorted.
-BUCKETS = 4096
 #: Rows of the plan (one per source) up to which it is broadcast.
 MOST_SOURCES = 100_000
 
@@ -52,44 +50,57 @@ def plan_mix(docs: DataFrame, seed: int = 17, max_epochs: int = 3, weight_cycle:
     source's documents in the order of a seeded hash: whole documents while they fit, and the first words of the one where
     the target ends. So a source's taken words are its target rounded down, and a rerun gives the same rows.
 
-    The order is that of md5(seed:doc_id): its first three hex digits give a bucket, buckets are summed, and only the one bucket
-    in which the fraction ends (a four-thousandth of the source) is put into a window; so a hot source never meets in one task,
-    and texts of the other buckets aren't shuffled. The plan has one row per source.
+    The order is that of md5(seed:doc_id): its first three hex digits give a bucket, the next three a part of it. Sizes are summed by part, parts by
+    bucket; the bucket in which the fraction ends, then the part of it, are found on at most 4,096 sums a source each. Only the documents of that
+    part (a 16-millionth of the source) are put into a window, so a hot source never meets in one task, and no other text is shuffled.
+    The plan has one row per source.
     Sources weigh 1, 2, ... weight_cycle and again, by code point, null last. Null texts and texts without words have size 0
     and are taken 0 times. Rows with the same doc_id are told apart by size, then by text; equal rows may swap places.
     An empty table gives an empty result. Columns of docs named like the new ones are replaced.
     """
-    own = {"size", "source_size", "target", "taken", "_whole", "_bucket", "_key", "_src", "_edge", "_room", "_extra"}
+    own = {"size", "source_size", "target", "taken", "_whole", "_bucket", "_part", "_key", "_src", "_edge", "_edge_part", "_room", "_extra"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
+    digits = lambda at: F.conv(F.substring("_key", at, 3), 16, 10).cast("int")
     sized = base.withColumn("size", size_of(F.col("text"))).withColumn(
         "_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    ).withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
-    light = sized.groupBy(F.col("source").alias("_src"), "_bucket").agg(F.sum("size").alias("_in"))
+    ).withColumn("_bucket", digits(1)).withColumn("_part", digits(4))
+    parts = saved(sized.groupBy(F.col("source").alias("_src"), "_bucket", "_part").agg(F.sum("size").alias("_in")))
+    light = parts.groupBy("_src", "_bucket").agg(F.sum("_in").alias("_in"))
     sources = light.groupBy(F.col("_src").alias("source")).agg(F.sum("_in").alias("source_size"))
     weight = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % weight_cycle + 1
     targets = water_fill(sources.withColumn("weight", weight), max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.select(
         F.col("source").alias("_src"), "source_size", "target", whole.alias("_whole"),
-        (F.floor("target") - whole * F.col("source_size")).cast("long").alias("_rest"),
+        (F.floor("target") - whole * F.col("source_size")).cast("long").alias("_room"),
     )
-    order = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = light.withColumn("_start", F.coalesce(F.sum("_in").over(order), F.lit(0)))
-    laid = start.withColumnRenamed("_src", "_s").join(targets, F.col("_s").eqNullSafe(targets["_src"]))
-    ends = F.min(F.when(F.col("_start") + F.col("_in") > F.col("_rest"), F.struct("_bucket", "_start"))).alias("_at")
-    plan = saved(laid.groupBy("_src", "source_size", "target", "_whole", "_rest").agg(ends).select(
-        "_src", "source_size", "target", "_whole", (F.col("_rest") - F.col("_at._start")).alias("_room"), F.coalesce("_at._bucket", F.lit(-1)).alias("_edge")
-    ))
-    few = plan.count() <= MOST_SOURCES
-    rows = sized.join(F.broadcast(plan) if few else plan, sized["source"].eqNullSafe(plan["_src"])).drop("_src")
-    flat = rows.where("_bucket <> _edge").withColumn("_extra", F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).otherwise(0))
+
+    def end(plan: DataFrame, sums: DataFrame, at: str, name: str) -> DataFrame:
+        """plan(_src, _room, ...) with where among sums(_src, <at>, _in) its room ends, as <name> (-1: nowhere), and the room left there."""
+        before = Window.partitionBy("_s").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        laid = sums.withColumnRenamed("_src", "_s").withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+        joined = plan.join(laid, F.col("_src").eqNullSafe(F.col("_s")), "left")
+        rest = [c for c in plan.columns if c != "_room"]
+        found = F.min(F.when(F.col("_start") + F.col("_in") > F.col("_room"), F.struct(at, "_start"))).alias("_at")
+        return joined.groupBy(*rest, "_room").agg(found).select(*rest, (F.col("_room") - F.col("_at._start")).alias("_room"), F.coalesce(f"_at.{at}", F.lit(-1)).alias(name))
+
+    coarse = saved(end(targets, light, "_bucket", "_edge"))
+    few = coarse.count() <= MOST_SOURCES
+    small = lambda df: F.broadcast(df) if few else df
+    ends = coarse.select(F.col("_src").alias("_s"), F.col("_edge").alias("_e"))
+    inner = parts.join(small(ends), parts["_src"].eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_e"))).select(parts["_src"], "_part", "_in")
+    plan = saved(end(coarse, inner, "_part", "_edge_part"))
+    rows = sized.join(small(plan), sized["source"].eqNullSafe(plan["_src"])).drop("_src")
+    first = (F.col("_bucket") < F.col("_edge")) | ((F.col("_bucket") == F.col("_edge")) & (F.col("_part") < F.col("_edge_part")))
+    there = (F.col("_bucket") == F.col("_edge")) & (F.col("_part") == F.col("_edge_part"))
+    flat = rows.where(~there).withColumn("_extra", F.when(first, F.col("size")).otherwise(0))
     inside = Window.partitionBy("source").orderBy("_key", "size", "text").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("_room") - F.coalesce(F.sum("size").over(inside), F.lit(0))
-    cut = rows.where("_bucket = _edge").withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), room)))
+    cut = rows.where(there).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), room)))
     return (
         flat.unionByName(cut)
         .withColumn("taken", (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long"))
-        .drop("_key", "_bucket", "_edge", "_room", "_whole", "_extra")
+        .drop("_key", "_bucket", "_part", "_edge", "_edge_part", "_room", "_whole", "_extra")
     )
 
 

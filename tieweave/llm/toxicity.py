@@ -142,14 +142,14 @@ class Sentences:
 
         self.cache = WordCache(missing, emptied=self.kept.clear)
 
-    def rows(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
-        """For each text the kernel rows of those of its sentences that have one."""
+    def parts(self, texts: list[str | None] | pa.Array) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each text (kernel rows of its words in reach, the number of each one's sentence, ascending; number of words of the text)."""
         words, which, starts = block_words(texts, LINE_END)
         self.cache.learn(words)
         each = np.fromiter((self.cache[w] for w in words), np.int64, len(words))[which]
-        return [self.one(words, which[a:b], each[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        return [(*self.one(words, which[a:b], each[a:b]), b - a) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
-    def one(self, words: list[str], which: np.ndarray, each: np.ndarray) -> np.ndarray:
+    def one(self, words: list[str], which: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         number = each >> 2
         at = np.flatnonzero(number)
         pairs = [(int(i), self.kept[int(number[i])]) for i in at]
@@ -160,11 +160,25 @@ class Sentences:
                     _, rows = self.landmarks.kernel([letters("".join(words[i] for i in which[run[0] : run[-1] + 1]))])
                     pairs += [(int(run[0]), r) for r in rows]
         if not pairs:
-            return np.empty((0, len(self.landmarks.words)), np.float32)
+            return np.empty((0, len(self.landmarks.words)), np.float32), np.empty(0, np.int64)
         place = np.concatenate([[0], np.cumsum(each & 1)])[[i for i, _ in pairs]]
         order = np.argsort(place, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) > 0]))
-        return np.maximum.reduceat(np.array([r for _, r in pairs])[order], starts, axis=0)
+        return np.array([r for _, r in pairs])[order], place[order]
+
+
+def sentence_rows(rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The greatest kernel values of each sentence."""
+    return np.maximum.reduceat(rows, np.flatnonzero(np.concatenate([[True], np.diff(place) > 0])), axis=0) if len(rows) else rows
+
+
+def measures(rows: np.ndarray, place: np.ndarray, n_words: int, weights: np.ndarray, offset: float) -> tuple[float, float, float, float]:
+    """What a text is judged by: the margin of its worst sentence (from 0, for no word in reach), how many words lie beyond the plane by
+    themselves (logarithm), their share of all words (root), and the text's length (logarithm)."""
+    if not len(rows):
+        return 0.0, 0.0, 0.0, float(np.log1p(n_words) / 10)
+    worst = float((sentence_rows(rows, place) @ weights).max() + offset)
+    n = int(((rows @ weights) + offset > 0).sum())
+    return max(0.0, worst + 1), float(np.log1p(n)), float(np.sqrt(n / n_words)), float(np.log1p(n_words) / 10)
 
 
 @dataclass(frozen=True)
@@ -172,8 +186,8 @@ class Model:
     landmarks: tuple[str, ...]
     n_first: int  # of them, those that part the classes
     weights: np.ndarray  # of a sentence's kernel values: the Nyström map and the machine's plane in one
-    slope: float
-    shift: float  # a text's score: 1 / (1 + exp(-(slope * best sentence + shift))); a text without a sentence in reach has 0 as its best
+    offset: float  # of the plane
+    slopes: np.ndarray  # of measures(); the last one is the shift. A text's score is the logistic function of their sum
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -191,15 +205,16 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift; targets are drawn in a little, so that separable scores don't run away."""
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes of the columns of x and the shift; targets are drawn in a little, so that separable scores don't run away."""
     n1, n0 = y.sum(), len(y) - y.sum()
     goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    z, w = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
-    for _ in range(50):
+    z = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(z.shape[1]), 1e-2 * np.eye(z.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w = w + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-4 * np.eye(2), z.T @ (goal - p) - 1e-4 * w)
-    return float(w[0]), float(w[1])
+        w = w + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (goal - p) - ridge @ w)
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = 2000, n_landmarks: int = 120, sentences: int = 12, seed: int = 5) -> Model:
@@ -207,13 +222,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
 
     That bound, and at most n_landmarks kernel values for the `sentences` of a document that are most like a landmark, is what comes to the driver. Landmarks are the words that
     part the classes best, each unlike those before it, and as many words of clean documents that are most like them. Sentences of clean
-    documents are labelled clean. Of a toxic document all count as toxic at first, then only the one that scores highest.
+    documents are labelled clean. Of a toxic document all count as toxic at first, then the one that scores highest and those beyond the plane.
+    Last, measures() of the sample's whole texts are weighed by a logistic regression.
     A document with several labels counts as toxic if one of them is 1. Without both classes the model scores every text 0.
     """
     spark = docs.sparkSession
     marked = labels.where("toxic is not null").groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     size = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    blank = Model((), 0, np.zeros(0), 1.0, -4.0)
+    blank = Model((), 0, np.zeros(0), 0.0, np.array([0.0, 0.0, 0.0, 0.0, -4.0]))
     if not size.get(0) or not size.get(1):
         return blank
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / size[1])).otherwise(min(1.0, per_class / size[0]))
@@ -235,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
         return blank
     gain = F.col("bad") / n1 - F.col("clean") / n0 * 3
     worst = [r["word"] for r in words.where("bad > 1").orderBy(gain.desc(), "word").limit(4000).collect()]
-    first = diverse(worst, n_landmarks * 2 // 3, 0.85)
+    first = diverse(worst, n_landmarks * 2 // 3, 0.7)
     reach = spark.sparkContext.broadcast(Landmarks(first, least=0.3))
 
     def likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,18 +263,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     like = words.where("bad = 0").select("word").mapInArrow(likeness, "word string, like double").orderBy(F.desc("like"), "word").limit(2000).collect()
     if not first:
         return blank
-    marks = Landmarks(first + diverse([r["word"] for r in like], n_landmarks - len(first), 0.85), len(first))
+    marks = Landmarks(first + diverse([r["word"] for r in like], n_landmarks - len(first), 0.7), len(first))
     shared = spark.sparkContext.broadcast(marks)
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Sentences(shared.value)
         for batch in batches:
-            rows = [r[np.argsort(-r.max(axis=1, initial=0), kind="stable")[:sentences]] for r in work.rows(batch.column(0).to_pylist())]
+            rows = [sentence_rows(r, at) for r, at, _ in work.parts(batch.column(0).to_pylist())]
+            rows = [r[np.argsort(-r.max(axis=1, initial=0), kind="stable")[:sentences]] for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary()), batch.column(1)], ["rows", "toxic"])
 
     got = sample.mapInArrow(kernels, "rows binary, toxic int").collect()
-    sample.unpersist()
-    words.unpersist()
     m = len(marks.words)
     rows = [np.frombuffer(r["rows"], np.float16).reshape(-1, m).astype(np.float32) for r in got]
     toxic = np.array([r["toxic"] for r in got])
@@ -279,11 +294,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
         score = x @ plane[:-1] + plane[-1]
         best = np.full(len(rows), -np.inf)
         np.maximum.at(best, doc, score)
-        use = (y < 0) | (score >= best[doc])
-    weights = nystrom @ plane[:-1]
-    best = np.array([(r @ weights).max(initial=0.0) for r in rows])
-    slope, shift = logistic(best, toxic.astype(float))
-    return Model(tuple(marks.words), marks.n_first, weights, slope, shift)
+        use = (y < 0) | (score >= np.minimum(best[doc], 0.0))
+    weights, offset = nystrom @ plane[:-1], float(plane[-1])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = Sentences(shared.value)
+        for batch in batches:
+            found = [measures(*x, weights, offset) for x in work.parts(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+
+    got = sample.mapInArrow(judged, "x array<double>, toxic int").collect()
+    sample.unpersist()
+    words.unpersist()
+    slopes = logistic(np.array([r["x"] for r in got]), np.array([float(r["toxic"]) for r in got]))
+    return Model(tuple(marks.words), marks.n_first, weights, offset, slopes)
 
 
 def diverse(words: list[str], most: int, alike: float) -> list[str]:
@@ -310,9 +334,9 @@ FIELDS = T.StructType([T.StructField("toxic_score", T.DoubleType())])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxic_score from 0 to 1, for whole texts: that of the worst sentence.
+    """docs with toxic_score from 0 to 1, for whole texts: by the worst sentence, and by how many words lie beyond the plane, see measures().
 
-    Null, empty and wordless texts get the score of a text in which no word is like a landmark. Repeated rows score alike; a
+    Null, empty and wordless texts get the score of a text of no words. Repeated rows score alike; a
     column named toxic_score is replaced; an empty table stays empty. The model is broadcast; fit()'s parameters bound its size.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
@@ -322,8 +346,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         work = kept(key, lambda: Sentences(Landmarks(list(m.landmarks), m.n_first)))
 
         def run(texts: list[str | None]) -> list:
-            best = np.array([(r @ m.weights).max(initial=0.0) if len(r) else 0.0 for r in work.rows(texts)])
-            return [1 / (1 + np.exp(-np.clip(m.slope * best + m.shift, -500, 500)))]
+            x = np.array([measures(*part, m.weights, m.offset) for part in work.parts(texts)])
+            return [1 / (1 + np.exp(-np.clip(x @ m.slopes[:-1] + m.slopes[-1], -500, 500)))]
 
         return run
 
