@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -198,9 +199,9 @@ def parted(strings: DataFrame, window: int, r: int) -> DataFrame:
 
 
 def cut_out(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """places(t, base, a, n, p, h, hot) of texts(t, base, body) as rows (t, base + a, p, h, hot, body)."""
+    """places(t, base, a, n, p, h, hot) of texts(t, base, body), each once, as rows (t, base + a, p, h, hot, body)."""
     lists = places.groupBy("t", "base").agg(F.collect_list(F.struct("a", "n", "p", "h", "hot")).alias("places"))
-    once = texts.groupBy("t", "base").agg(F.first("body").alias("body"))
+    lists = lists.select(F.col("t").alias("_t"), F.col("base").alias("_base"), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +210,7 @@ def cut_out(texts: DataFrame, places: DataFrame) -> DataFrame:
                 rows = [{"t": t, "base": base + x["a"], "p": x["p"], "h": x["h"], "hot": x["hot"], "body": raw[x["a"] : x["a"] + x["n"]]} for x in found]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("t", pa.binary()), ("base", pa.int64()), ("p", pa.int64()), ("h", pa.int64()), ("hot", pa.bool_()), ("body", pa.binary())]))
 
-    joined = once.join(lists, ["t", "base"]).select("t", "base", "body", "places")
+    joined = texts.join(lists, (F.col("t") == F.col("_t")) & (F.col("base") == F.col("_base"))).select("t", "base", "body", "places")
     return joined.mapInArrow(run, "t binary, base long, p long, h long, hot boolean, body binary")
 
 
@@ -253,7 +254,8 @@ def repeats(texts: DataFrame, light: DataFrame, window: int, splits: tuple[int,
     once = saved(light.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("t", "base", "a", "n", "p")).alias("at")))
     keys = once.groupBy("h").agg(F.count("*").alias("m"), F.sum("at.n").alias("bytes")).where("m > 1")
     twice = once.where("k > 1").select(F.col("h").alias("h2"), F.col("c").alias("c2"))
-    found = light.join(twice, (F.col("h") == F.col("h2")) & (F.col("c") == F.col("c2"))).select("t", (F.col("base") + F.col("a")).alias("lo"), (F.col("base") + F.col("a") + F.col("n") - window).alias("hi"))
+    # A string that many texts share is one key here; this join stands alone in its stage, so that Spark can split a hot one.
+    found = saved(light.join(twice, (F.col("h") == F.col("h2")) & (F.col("c") == F.col("c2"))).select("t", (F.col("base") + F.col("a")).alias("lo"), (F.col("base") + F.col("a") + F.col("n") - window).alias("hi")))
     places = saved(once.join(keys, "h").select("at.*", "h", (F.col("bytes") > shard).alias("hot")))
     strings = saved(cut_out(texts, places))
     found = found.unionByName(expand(strings.where(~F.col("hot")), window))
@@ -266,7 +268,10 @@ def repeats(texts: DataFrame, light: DataFrame, window: int, splits: tuple[int,
 
 # The operator ------------------------------------------------------------------------------------------------------------------------------------
 
-FIELDS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.LongType()))])
+FIELDS = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("n_removed", "n_spans")]
+    + [T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept_sha256", T.StringType())]
+)
 
 
 def remove_repeats(docs: DataFrame, window: int = 400, shard: int = SHARD, kept_text: bool = True) -> DataFrame:
@@ -275,36 +280,57 @@ def remove_repeats(docs: DataFrame, window: int = 400, shard: int = SHARD, kept_
     Texts are UTF-8 bytes, null ones empty. Each byte inside a string of `window` bytes that also starts at another place of this or another
     text is removed; strings are judged on the input. Texts shorter than the window stay whole. Copies of a text of at least `window` bytes
     and repeated rows lose everything. Kept bytes may end inside a character. Columns named like the new ones are replaced; an empty table stays empty.
+
+    Equal texts are one from the start: bodies are shuffled once, by their hash, with equal ones joined before the shuffle, and stay laid out by
+    it in a table of the warehouse; places and ranges come to them. What goes back to docs is one row per different text.
     """
-    named = docs.withColumn("_t", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    texts = named.select(F.col("_t").alias("t"), F.lit(0).cast("long").alias("base"), "text").where(F.octet_length("text") >= window)
-    ranges = repeats(texts.withColumnRenamed("text", "body"), segments(texts, window), window, SPLITS, shard)
-    lists = saved(ranges.groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges")))
-    joined = named.join(lists, named["_t"] == lists["t"], "left").drop("t", "_t")
+    spark = docs.sparkSession
+    new = {"n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"}
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = base.withColumn("_t", F.unhex(F.md5(text.cast("binary")))).withColumn("n_bytes", F.octet_length(text).cast("long"))
+    long = named.where(F.col("n_bytes") >= window)
+    # A bucket holds what a shuffle partition would, so joins by t read the table without another shuffle.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bodies = long.groupBy(F.col("_t").alias("t")).agg(F.first("text").alias("body"), F.count("*").alias("copies"))
+    table = f"tieweave_texts_{uuid.uuid4().hex}"
+    bodies.write.bucketBy(parts, "t").saveAsTable(table, format="parquet")
+    texts = spark.table(table)
+    based = texts.select("t", F.lit(0).cast("long").alias("base"), "body")
+    ranges = saved(repeats(based, segments(based.withColumnRenamed("body", "text"), window), window, SPLITS, shard))
+    lists = ranges.groupBy(F.col("t").alias("_t")).agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges"))
 
     def make() -> Callable:
-        def one(text: str | None, ranges: list | None) -> tuple:
-            raw = (text or "").encode()
-            mark = np.zeros(len(raw) + 1, np.int32)
-            for r in ranges or ():
-                mark[r["lo"]] += 1
-                mark[r["hi"] + window] -= 1
-            gone = np.cumsum(mark[:-1]) > 0
+        def one(text: str, ranges: list | None, copies: int) -> tuple:
+            raw = text.encode()
+            if copies > 1:
+                gone = np.ones(len(raw), bool)
+            else:
+                mark = np.zeros(len(raw) + 1, np.int32)
+                for r in ranges or ():
+                    mark[r["lo"]] += 1
+                    mark[r["hi"] + window] -= 1
+                gone = np.cumsum(mark[:-1]) > 0
             a, b = runs(gone)
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if a else raw
-            return len(raw), len(raw) - len(kept), len(a), kept, [x for s, e in zip(a, b, strict=True) for x in (s, e + 1)], hashlib.sha256(kept).hexdigest()
+            return len(raw) - len(kept), len(a), kept, [x for s, e in zip(a, b, strict=True) for x in (s, e + 1)], hashlib.sha256(kept).hexdigest()
 
-        def work(texts: list, ranges: list) -> list:
-            out = [one(t, r) for t, r in zip(texts, ranges, strict=True)]
-            cols = list(zip(*out, strict=True))
-            return cols if kept_text else cols[:3] + cols[4:]
+        def work(texts: list, ranges: list, copies: list) -> list:
+            cols = list(zip(*[one(*x) for x in zip(texts, ranges, copies, strict=True)], strict=True))
+            return cols if kept_text else cols[:2] + cols[3:]
 
         return work
 
-    fields = T.StructType([f for f in FIELDS if kept_text or f.name != "kept"] + [T.StructField("kept_sha256", T.StringType())])
-    return with_columns_of_text(joined, fields, make, ("text", "_ranges")).drop("_ranges")
+    fields = [f for f in FIELDS if kept_text or f.name != "kept"]
+    judged = with_columns_of_text(texts.join(lists, F.col("t") == F.col("_t"), "left").select("t", "body", "_ranges", "copies"), T.StructType(fields), make, ("body", "_ranges", "copies"))
+    judged = saved(judged.select(F.col("t").alias("_u"), *[F.col(f.name).alias(f"_{f.name}") for f in fields]))
+    short = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": text.cast("binary"), "spans": F.array().cast("array<bigint>"), "kept_sha256": F.sha2(text.cast("binary"), 256)}
+    own = named.withColumns({f"_own_{f.name}": F.when(F.col("n_bytes") < window, short[f.name]) for f in fields})
+    out = own.join(judged, F.col("_t") == F.col("_u"), "left")
+    return out.withColumns({f.name: F.coalesce(f"_own_{f.name}", f"_{f.name}") for f in fields}).select(*base.columns, "n_bytes", *[f.name for f in fields])
 
 
 def op4_suffix(spark, sf_dir: str) -> DataFrame:
+    """The digest of what 400-byte repeats leave of every document; repeats: whether they take anything."""
     out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), kept_text=False)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"))
