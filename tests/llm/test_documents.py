@@ -98,7 +98,8 @@ def test_simhash(spark, sf, docs):
     assert got == {i: (f"{p:016x}", classes[i]) for i, p in prints.items()}
 
 
-def test_simhash_planted_bits(spark):
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_simhash_planted_bits(spark, most):
     import random
 
     rng = random.Random(3)
@@ -106,7 +107,7 @@ def test_simhash_planted_bits(spark):
     near = [b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (1, 3, 4, 5, 8)] + [base[0] ^ (15 << 4 * k) for k in range(16)]
     values = sorted(set(base + near))
     frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fingerprint long")
-    edges = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.fingerprint_links(frame).collect()]
+    edges = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.fingerprint_links(frame, most=most).collect()]
     assert all((a ^ b).bit_count() <= 64 for a, b in edges)
     label = {v: v for v in values}
     for a, b in edges:

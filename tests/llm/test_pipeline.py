@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_documents import bench_words, brute_classes, brute_hits, brute_print, words
+from tests.llm.test_documents import bench_words, brute_hits, words
+from tests.llm.test_nearcopies import brute_kept
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +31,8 @@ def test_toxic(tables, spark, sf):
 
 
 def test_near_duplicates(tables):
-    classes = brute_classes({r["doc_id"]: brute_print(r["text"]) for r in tables[1]})
-    assert sorted(r["doc_id"] for r in tables[2]) == sorted(set(classes.values()))
+    """The stage takes five words and a similarity of 0.8 or more, over all pairs."""
+    assert sorted(r["doc_id"] for r in tables[2]) == brute_kept([(r["doc_id"], r["text"]) for r in tables[1]])
 
 
 def test_decontamination(tables, spark, sf):

@@ -1,25 +1,33 @@
-"""Near copies by the similarity of word shingles: MinHash bands find the candidates, the shingle sets decide."""
+"""SimHash near-dedup at a similarity of shingle sets: BK-trees over the fingerprints of shards, the sets decide.
+
+At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in 10 bits on average and in up to 24. No choice of bit blocks shards for such a radius (of 26
+blocks two would have to agree, five bits), so shards hold texts with an equal minimum of hashes instead: a text goes to 32 of them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tieweave.llm.common import saved, with_columns_of_text
-from tieweave.llm.simhash import LOWER
+from tieweave.llm.simhash import LOWER, BKTree
 from tieweave.operators.components import components
 
+#: Differing bits up to which fingerprints are compared further. A bit differs with probability arccos(cosine) / pi, 0.15 at 0.8: over 24 of 64 do in 1 pair of a million.
+RADIUS = 24
+
 #: A pair of similarity s shares no band, and so is missed, with probability (1 - s^ROWS)^BANDS: 3e-6 at 0.8, less above.
 BANDS, ROWS = 32, 5
 RNG = np.random.default_rng(42)
 FLIPS, FACTORS = (RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) for _ in range(2))
 FACTORS |= np.uint64(1)
 
-PRINTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+PRINTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("print", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("grams", T.ArrayType(T.LongType()))])
 
 
@@ -50,8 +58,14 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def set_print(grams: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes: 64 bits, each set if it is set in over half of them."""
+    bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).view(np.int64)[0])
+
+
 def with_bands(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs with node (the hash of the set of shingles), n (its size) and bands; without words 0, 0 and no bands."""
+    """docs with node (the hash of the set of shingles), n (its size), print (its fingerprint) and bands; without words 0, 0, 0 and no bands."""
 
     def make() -> Callable:
         import xxhash
@@ -61,7 +75,7 @@ def with_bands(docs: DataFrame, shingle: int) -> DataFrame:
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(full) if full else [])
             nodes = [xxhash.xxh64_intdigest(s.tobytes(), 42) if len(s) else 0 for s in sets]
-            return [[x - (1 << 64) if x >> 63 else x for x in nodes], [len(s) for s in sets], [next(keys) if len(s) else [] for s in sets]]
+            return [[x - (1 << 64) if x >> 63 else x for x in nodes], [len(s) for s in sets], [set_print(s) if len(s) else 0 for s in sets], [next(keys) if len(s) else [] for s in sets]]
 
         return work
 
@@ -79,20 +93,58 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("_i") >= least * (F.size("ga") + F.size("gb") - F.col("_i")) - 1e-9).select("a", "b")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def tree_pairs(members: DataFrame, radius: int, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes within the radius, from members(key, node, n, print, class, top): a shard is the rows of one key.
+
+    Each shard gets a BK-tree over its fingerprints, which its nodes outside the class `top` ask; a pair inside no class is met once.
+    """
+    placed = members.select("key", "node", "n", "print", "class", "top").repartition("key").sortWithinPartitions("key", "node")
+
+    def shard(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, node, n, fingerprint, own, top = rows.T
+        values, where = np.unique(fingerprint.view(np.uint64), return_inverse=True)
+        order = np.argsort(where, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(where))])
+        asking = np.flatnonzero(own != top)
+        at_value = {int(v): order[ends[i] : ends[i + 1]] for i, v in enumerate(values)}
+        a, b = [], []
+        for value, near in BKTree(values).walk(fingerprint.view(np.uint64)[asking], radius):
+            for i in at_value[int(value)].tolist():
+                j = asking[near]
+                j = j[(own[j] != own[i]) & ((own[i] == top[i]) | (node[j] < node[i])) & (n[j] >= least * n[i] - 1e-9) & (n[i] >= least * n[j] - 1e-9)]
+                a.append(np.minimum(node[j], node[i]))
+                b.append(np.maximum(node[j], node[i]))
+        return np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(x) for x in shard(rows)], ["a", "b"])
+        held = np.empty((0, 6), np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)])
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            held = rows[starts[-1] :]
+            for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield out(np.ascontiguousarray(rows[x:y]))
+        if len(held):
+            yield out(np.ascontiguousarray(held))
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """docs' id with node (long) and component_id, the smallest id reachable over pairs of texts whose sets of word shingles have a Jaccard similarity of at least `least`.
 
-    Equal sets are one node. Nodes that share a band are compared by their whole sets: first each with one hub of its band's group, so that
-    a hot group costs one comparison a member; then those that are still in different classes with another hub, as long as that joins classes
-    and more pairs are left than members; then all pairs of a group that are in different classes. So every pair that shares a band is either
-    in one class or has been compared. Texts without words, null ones too, are one node. Repeated rows stay and share their component; a null
+    Equal sets are one node. Nodes of a shard whose fingerprints are within the radius are compared by their whole sets: first each with one hub,
+    the root of its shard's tree, so that a hot shard costs one comparison a member; then those that are still in different classes with another
+    hub, as long as that joins classes and more pairs are left than members; then a BK-tree of the shard finds all pairs of different
+    classes within the radius. So every pair of a shard within the radius is either in one class or has been compared. Texts without words, null ones too, are one node. Repeated rows stay and share their component; a null
     id gets its component's smallest non-null id. An empty table stays empty.
     """
     source = docs.select(F.col(id_col), "text", F.xxhash64("text").alias("_t"))
     prints = saved(with_bands(source, shingle).drop("text"))
-    nodes = saved(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.min(F.struct(id_col, "_t")).alias("_rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    each = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    groups = each.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    nodes = saved(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.min(F.struct(id_col, "_t")).alias("_rep"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("bands").alias("bands")))
+    each = nodes.select(F.explode("bands").alias("key"), "node", "n", "print")
+    groups = each.groupBy("key").agg(F.min(F.struct("node", "n", "print")).alias("hub"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
     members = saved(each.join(groups.hint("merge"), "key"))
 
     asked = members.select("node").distinct()
@@ -100,17 +152,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, least
     texts = source.join(rep.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_x"))).select("node", "text")
     sets = saved(with_grams(texts, shingle).groupBy("node").agg(F.first("grams").alias("grams")))
 
-    fits = lambda x, y: (F.col(x) >= least * F.col(y) - 1e-9) & (F.col(y) >= least * F.col(x) - 1e-9)
+    size_fits = lambda x, y: (F.col(x) >= least * F.col(y) - 1e-9) & (F.col(y) >= least * F.col(x) - 1e-9)
+    fits = lambda hub: size_fits("n", f"{hub}.n") & (F.bit_count(F.col("print").bitwiseXOR(F.col(f"{hub}.print"))) <= radius)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = members.where((F.col("node") != F.col("hub.node")) & fits("n", "hub.n")).select(*pair("node", "hub.node")).distinct()
+    star = members.where((F.col("node") != F.col("hub.node")) & fits("hub")).select(*pair("node", "hub.node")).distinct()
     tested = saved(star)
     links = saved(similar(tested, sets, least))
     joined, round_ = 1, 0
     while True:
         classes = components(links)
-        named = members.select("key", "node", "n").join(classes.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left")
-        named = saved(named.select("key", "node", "n", F.coalesce("component", "node").alias("class")))
-        parts = named.groupBy("key", "class").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n")).alias("hub"))
+        named = members.select("key", "node", "n", "print").join(classes.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left")
+        named = saved(named.select("key", "node", "n", "print", F.coalesce("component", "node").alias("class")))
+        parts = named.groupBy("key", "class").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "print")).alias("hub"))
         split = saved(parts.groupBy("key").agg(F.max(F.struct("m", "class", "hub")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1"))
         # Both ends of a pair of different classes can't be in the largest class of their group.
         left = named.join(split.hint("merge"), "key").where("class <> top.class")
@@ -119,11 +172,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, least
             break
         last = not joined or size["pairs"] <= 8 * size["rows"]
         if last:
-            other = named.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("class").alias("class2"))
-            once = (F.col("class") != F.col("class2")) & ((F.col("class2") == F.col("top.class")) | (F.col("node") < F.col("node2")))
-            more = left.join(other.hint("merge"), "key").where(once & fits("n", "n2")).select(*pair("node", "node2"))
+            more = tree_pairs(named.join(split.select("key", F.col("top.class").alias("top")).hint("merge"), "key"), radius, least)
         else:
-            more = left.where(fits("n", "top.hub.n")).select(*pair("node", "top.hub.node"))
+            more = left.where(fits("top.hub")).select(*pair("node", "top.hub.node"))
         more = saved(more.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"))
         found = saved(similar(more, sets, least))
         links = links.unionByName(found)

@@ -73,12 +73,20 @@ def links_in_shard(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """(value, smallest value of its class in this shard) for the distinct values that have links here: a star for each class, not all pairs."""
     if len(values) == 2:
         return [(int(values[1]), int(values[0]))] if int(values[0] ^ values[1]).bit_count() <= radius else []
-    label = np.arange(len(values))
+    parent = np.arange(len(values))
+
+    def roots(at: np.ndarray) -> np.ndarray:
+        top = parent[at]
+        while (above := parent[top]).tolist() != top.tolist():
+            top = above
+        parent[at] = top
+        return top
+
     for _, at in BKTree(values).walk(values, radius):
-        classes = np.unique(label[at])
-        if len(classes) > 1:
-            label[np.isin(label, classes)] = classes[0]
-    return [(int(values[i]), int(values[c])) for i, c in enumerate(label.tolist()) if i != c]
+        if len(at) > 1:
+            top = roots(at)
+            parent[top] = top.min()
+    return [(int(values[i]), int(values[c])) for i, c in enumerate(roots(np.arange(len(values))).tolist()) if i != c]
 
 
 def shard_keys(blocks: int, agree: int) -> list[int]:
@@ -88,30 +96,41 @@ def shard_keys(blocks: int, agree: int) -> list[int]:
     return [sum(x) for x in combinations(parts, agree)]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 4, agree: int = 2) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = 4, agree: int = 2, most: int = 20_000) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints at most `radius` bits apart.
 
     distinct(fingerprint): each once. Each goes to one shard for every choice of `agree` of radius + agree blocks of its bits, under the
     value that the chosen blocks have: a pair in reach shares one of them. Each shard, in the task that holds it, gets a BK-tree of its
-    own that answers the shard's fingerprints; a tree isn't broadcast, because all trees together grow with the corpus.
+    own that answers the shard's fingerprints; a tree isn't broadcast, because all trees together grow with the corpus. A shard of more than
+    `most` fingerprints is dealt into blocks by their hash, and each two blocks are a shard of their own, so none outgrows a task.
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in shard_keys(radius + agree, agree)]
     keys = F.array(*[F.struct(F.lit(i).alias("j"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)])
     sharded = distinct.select(F.explode(keys).alias("s"), "fingerprint").select("s.j", "s.key", "fingerprint")
-    placed = sharded.repartition("j", "key").sortWithinPartitions("j", "key", "fingerprint")
+    size = sharded.groupBy("j", "key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    large = saved(size.select(F.col("j").alias("j2"), F.col("key").alias("key2"), F.ceil(F.col("n") / most).alias("blocks")))
+    if large.isEmpty():
+        placed = sharded.withColumn("pair", F.lit(0))
+    else:
+        own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks"))
+        two = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other))
+        dealt = sharded.join(large, (F.col("j") == F.col("j2")) & (F.col("key") == F.col("key2")), "left")
+        placed = dealt.select("j", "key", "fingerprint", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(two)).alias("pair"))
+    # pair: the number of two blocks of a large shard; it parts shards like j and key do
+    placed = placed.select("j", F.xxhash64("key", "pair").alias("shard"), "key", "pair", "fingerprint").repartition("j", "shard").sortWithinPartitions("j", "key", "pair", "fingerprint").select("j", "key", "pair", "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(edges: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        held = np.empty((0, 3), np.int64)
+        held = np.empty((0, 4), np.int64)
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)])
-            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+            rows = np.concatenate([held, np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)])
+            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]))
             held = rows[starts[-1] :]
-            yield out([e for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a > 1 for e in shard(rows[a:b, 2])])
+            yield out([e for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a > 1 for e in shard(rows[a:b, 3])])
         if len(held) > 1:
-            yield out(list(shard(held[:, 2])))
+            yield out(list(shard(held[:, 3])))
 
     def shard(values: np.ndarray) -> Iterator[tuple[int, int]]:
         for a, b in links_in_shard(values.astype(np.int64).view(np.uint64), radius):
