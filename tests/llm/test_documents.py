@@ -193,13 +193,17 @@ def brute_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [60, 500_000])
-def test_decontaminate(spark, sf, docs, block):
+@pytest.mark.parametrize(("few_bits", "few_hits"), [(20, 200_000), (7, 0)])
+def test_decontaminate(spark, sf, docs, few_bits, few_hits, monkeypatch):
+    """Also with a filter that lets nearly everything through, and with hits that are shuffled."""
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", min(few_bits, decontaminate.LEAST_BITS))
+    monkeypatch.setattr(decontaminate, "MOST_BITS", few_bits if few_bits < 20 else decontaminate.MOST_BITS)
+    monkeypatch.setattr(decontaminate, "MOST_HITS", few_hits)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
     bench = bench.union(spark.createDataFrame([(901, "the and"), (902, "de la que les"), (903, None), (904, ""), (905, "of")], bench.schema))
     items = {r["item_id"]: bench_words(r["text"]) for r in bench.collect()}
     frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
-    got = decontaminate.find_contamination(frame, bench, block_words=block).collect()
+    got = decontaminate.find_contamination(frame, bench).collect()
     for r in got:
         n, hit, k, sha, _ = brute_hits(r["text"], items)
         assert (r["n_words"], r["n_hit"], len(r["hit_items"])) == (n, hit, k)

@@ -336,7 +336,7 @@ FIELDS = T.StructType([T.StructField("toxic_score", T.DoubleType())])
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with toxic_score from 0 to 1, for whole texts: by the worst sentence, and by how many words lie beyond the plane, see measures().
 
-    Null, empty and wordless texts get the score of a text of no words. Repeated rows score alike; a
+    Null and empty texts get the score of a text of no words; a line end counts as one. Repeated rows score alike; a
     column named toxic_score is replaced; an empty table stays empty. The model is broadcast; fit()'s parameters bound its size.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
