@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows with the same doc_id are one document, of which the one with the smallest text stays; rows without an id stay once for each text
     unless all of them are linked to documents with one.
     """
-    classes = saved(nearcopies.near_copies(docs.select("doc_id", "text"), shingle=5, least=0.8))
+    classes = nearcopies.near_copies(docs.select("doc_id", "text"), shingle=5, least=0.8)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # The ids grow with the corpus, so the join is a sort-merge join at every size; texts are shuffled once.
     keep = classes.where(stays & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_keep")).distinct().hint("merge")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +22,47 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
+#: What saved() and bucketed() have written since only_result() began, innermost call last: paths, and names of tables.
+WRITTEN: list[list[tuple[str, str]]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, which cuts its lineage."""
     path = f"{shared_folder(df.sparkSession)}/tieweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if WRITTEN:
+        WRITTEN[-1].append(("path", path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df written to a table of the warehouse with as many buckets as there are shuffle partitions: joins by the key read it without a shuffle."""
+    spark, name = df.sparkSession, f"tieweave_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name, format="parquet")
+    if WRITTEN:
+        WRITTEN[-1].append(("table", name))
+    return spark.table(name)
+
+
+def only_result(spark, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written; all else that it wrote on its way is deleted."""
+    WRITTEN.append([])
+    path = f"{shared_folder(spark)}/tieweave-{uuid.uuid4().hex}"
+    try:
+        out = make()
+        out.write.parquet(path)
+    finally:
+        for kind, name in WRITTEN.pop():
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            else:
+                at = spark._jvm.org.apache.hadoop.fs.Path(name)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if WRITTEN:
+        WRITTEN[-1].append(("path", path))
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node that is reachable.
 
