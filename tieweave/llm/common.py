@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tieweave.operators.components import saved, shared_folder
+from tieweave.operators.components import bucketed, only_result, saved, shared_folder
 
-__all__ = ["saved", "shared_folder"]
+__all__ = ["bucketed", "only_result", "saved", "shared_folder"]
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

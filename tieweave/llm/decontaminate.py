@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tieweave.llm.common import WordCache, read, saved, slices
+from tieweave.llm.common import WordCache, only_result, read, saved, slices
 
 #: A-Z become a-z; what isn't a letter, a digit or beyond ASCII parts words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -135,10 +135,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "n_hit", "hit_items")])
     named = base.withColumn("_t", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    hits = only_result(docs.sparkSession, lambda: text_hits(named.select("_t", "text"), benchmark, window, gram))
+    size = hits.agg(F.count("*").alias("n"), F.sum(F.size("hit_items")).alias("items")).first()
+    few = max(size["n"], size["items"] or 0) <= MOST_HITS
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(DOC_WORD)).cast("long")
+    out = named.join(F.broadcast(hits) if few else hits.hint("merge"), F.col("_t") == F.col("_h"), "left")
+    return out.select(*base.columns, words.alias("n_words"), F.coalesce("_n", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"))
+
+
+def text_hits(texts: DataFrame, benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """(_h, _n, hit_items) of the different texts(_t, text) with a hit: hash, words hit, items."""
     windows = saved(item_windows(benchmark, window, gram).groupBy("print", "words", "size").agg(F.collect_set("item").alias("items")))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `window` of them
     bits, b = print_filter(windows)
-    near = saved(near_windows(named.select("_t", "text").where("text is not null"), bits, b, sizes, window, gram)).distinct()
+    near = saved(near_windows(texts.where("text is not null"), bits, b, sizes, window, gram)).distinct()
     there = windows.select(F.col("print").alias("_p"), F.col("words").alias("_w"), "items")
     met = near.join(there, (F.col("print") == F.col("_p")) & (F.col("words") == F.col("_w")))
     # The items of a text first, so that one that meets many windows of an item names it once; then its spans, merged in order.
@@ -146,12 +156,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     names = met.select("t", F.explode("items").alias("item")).distinct().groupBy(F.col("t").alias("_u")).agg(F.array_sort(F.collect_list("item")).alias("hit_items"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
     cover = F.aggregate("spans", start, lambda at, s: F.struct((at["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], at["upto"]))).alias("n"), F.greatest(at["upto"], s["end"]).alias("upto")), lambda at: at["n"])
-    hits = saved(spans.join(names, F.col("t") == F.col("_u")).select(F.col("t").alias("_h"), cover.alias("_n"), "hit_items"))
-    size = hits.agg(F.count("*").alias("n"), F.sum(F.size("hit_items")).alias("items")).first()
-    few = max(size["n"], size["items"] or 0) <= MOST_HITS
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(DOC_WORD)).cast("long")
-    out = named.join(F.broadcast(hits) if few else hits.hint("merge"), F.col("_t") == F.col("_h"), "left")
-    return out.select(*base.columns, words.alias("n_words"), F.coalesce("_n", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"))
+    return spans.join(names, F.col("t") == F.col("_u")).select(F.col("t").alias("_h"), cover.alias("_n"), "hit_items")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

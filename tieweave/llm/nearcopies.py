@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieweave.llm.common import saved, with_columns_of_text
+from tieweave.llm.common import bucketed, only_result, saved, with_columns_of_text
 from tieweave.llm.simhash import LOWER, BKTree
 from tieweave.operators.components import components
 
@@ -140,6 +140,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, least
     classes within the radius. So every pair of a shard within the radius is either in one class or has been compared. Texts without words, null ones too, are one node. Repeated rows stay and share their component; a null
     id gets its component's smallest non-null id. An empty table stays empty.
     """
+    return only_result(docs.sparkSession, lambda: classes_of(docs, id_col, shingle, least, radius))
+
+
+#: While the rows outside their shards' largest classes have more than so many others each to be compared with, they meet one hub a round.
+PAIRS_EACH = 32
+
+
+def classes_of(docs: DataFrame, id_col: str, shingle: int, least: float, radius: int) -> DataFrame:
     source = docs.select(F.col(id_col), "text", F.xxhash64("text").alias("_t"))
     prints = saved(with_bands(source, shingle).drop("text"))
     nodes = saved(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.min(F.struct(id_col, "_t")).alias("_rep"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("bands").alias("bands")))
@@ -150,42 +158,49 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, least
     asked = members.select("node").distinct()
     rep = nodes.join(asked, "node", "left_semi").select("node", F.col("_rep").getField(id_col).alias("_id"), F.col("_rep._t").alias("_x"))
     texts = source.join(rep.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_x"))).select("node", "text")
-    sets = saved(with_grams(texts, shingle).groupBy("node").agg(F.first("grams").alias("grams")))
+    # The sets are the bulk of all rounds: laid out by node once, so that only the pairs' own sets move.
+    sets = bucketed(with_grams(texts, shingle).groupBy("node").agg(F.first("grams").alias("grams")), "node")
 
     size_fits = lambda x, y: (F.col(x) >= least * F.col(y) - 1e-9) & (F.col(y) >= least * F.col(x) - 1e-9)
     fits = lambda hub: size_fits("n", f"{hub}.n") & (F.bit_count(F.col("print").bitwiseXOR(F.col(f"{hub}.print"))) <= radius)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = members.where((F.col("node") != F.col("hub.node")) & fits("hub")).select(*pair("node", "hub.node")).distinct()
     tested = saved(star)
-    links = saved(similar(tested, sets, least))
-    joined, round_ = 1, 0
-    while True:
-        classes = components(links)
-        named = members.select("key", "node", "n", "print").join(classes.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left")
-        named = saved(named.select("key", "node", "n", "print", F.coalesce("component", "node").alias("class")))
+    label = saved(components(saved(similar(tested, sets, least))))  # (node, component) of the linked nodes
+    named = members.select("key", "node", "n", "print").join(label.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left")
+    named = saved(named.select("key", "node", "n", "print", F.coalesce("component", "node").alias("class")))
+    moves, joined, last, round_ = [], 1, False, 0  # moves: (old, new) classes of each round
+    while not last:
         parts = named.groupBy("key", "class").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "print")).alias("hub"))
         split = saved(parts.groupBy("key").agg(F.max(F.struct("m", "class", "hub")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1"))
-        # Both ends of a pair of different classes can't be in the largest class of their group.
-        left = named.join(split.hint("merge"), "key").where("class <> top.class")
+        # Shards that are one class are done. Both ends of a pair of different classes can't be in the largest class of their shard.
+        open_ = named.join(split.hint("merge"), "key")
+        left = open_.where("class <> top.class")
         size = left.agg(F.sum(F.col("m")).alias("pairs"), F.count("*").alias("rows")).first()
         if not size["rows"]:
             break
-        last = not joined or size["pairs"] <= 8 * size["rows"]
+        last = not joined or size["pairs"] <= PAIRS_EACH * size["rows"]
         if last:
-            more = tree_pairs(named.join(split.select("key", F.col("top.class").alias("top")).hint("merge"), "key"), radius, least)
+            more = tree_pairs(open_.withColumn("top", F.col("top.class")), radius, least)
         else:
             more = left.where(fits("top.hub")).select(*pair("node", "top.hub.node"))
         more = saved(more.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"))
-        found = saved(similar(more, sets, least))
-        links = links.unionByName(found)
-        if last:
-            classes = components(links)
-            break
-        joined, round_ = found.count(), round_ + 1
-        tested = tested.unionByName(more)
-
-    member = nodes.join(classes.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"))
-    lowest = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = member.join(lowest, "component").select(F.col("node").alias("_n"), F.col("component_id").alias("_class"))
-    every = nodes.join(label, F.col("node") == F.col("_n"), "left").select(F.col("node").alias("_f"), F.coalesce("_class", "least").alias("component_id"))
+        found = similar(more, sets, least)
+        own = named.select(F.col("node").alias("_m"), F.col("class").alias("_k")).distinct()
+        ends = found.join(own.withColumnRenamed("_k", "ka"), F.col("a") == F.col("_m")).drop("_m").join(own.withColumnRenamed("_k", "kb"), F.col("b") == F.col("_m"))
+        links = saved(ends.where("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct())
+        joined, round_ = links.count(), round_ + 1
+        if joined:
+            moves.append(saved(components(links).select(F.col("node").alias("_old"), F.col("component").alias("_new"))))
+        if not last:
+            tested = tested.unionByName(more)
+            moved = open_.join(moves[-1], F.col("class") == F.col("_old"), "left") if joined else open_.withColumn("_new", F.lit(None).cast("long"))
+            named = saved(moved.select("key", "node", "n", "print", F.coalesce("_new", "class").alias("class")))
+
+    member = nodes.join(label.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left").select("node", "least", F.coalesce("component", "node").alias("class"))
+    for move in moves:
+        member = member.join(move, F.col("class") == F.col("_old"), "left").select("node", "least", F.coalesce("_new", "class").alias("class"))
+    member = saved(member)
+    lowest = member.groupBy(F.col("class").alias("_k")).agg(F.min("least").alias("component_id"))
+    every = member.join(lowest, F.col("class") == F.col("_k")).select(F.col("node").alias("_f"), "component_id")
     return prints.join(every, F.col("node") == F.col("_f")).select(id_col, "node", "component_id")

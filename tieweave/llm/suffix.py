@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieweave.llm.common import read, saved, slices, with_columns_of_text
+from tieweave.llm.common import bucketed, only_result, read, saved, slices, with_columns_of_text
 
 GRAM = 32  # bytes of the strings whose hashes choose a window's anchor
 SHARD = 1_000_000  # bytes of distinct strings under one anchor from which on they are parted further
@@ -284,20 +283,26 @@ def remove_repeats(docs: DataFrame, window: int = 400, shard: int = SHARD, kept_
     Equal texts are one from the start: bodies are shuffled once, by their hash, with equal ones joined before the shuffle, and stay laid out by
     it in a table of the warehouse; places and ranges come to them. What goes back to docs is one row per different text.
     """
-    spark = docs.sparkSession
     new = {"n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     text = F.coalesce(F.col("text"), F.lit(""))
     named = base.withColumn("_t", F.unhex(F.md5(text.cast("binary")))).withColumn("n_bytes", F.octet_length(text).cast("long"))
     long = named.where(F.col("n_bytes") >= window)
     # A bucket holds what a shuffle partition would, so joins by t read the table without another shuffle.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bodies = long.groupBy(F.col("_t").alias("t")).agg(F.first("text").alias("body"), F.count("*").alias("copies"))
-    table = f"tieweave_texts_{uuid.uuid4().hex}"
-    bodies.write.bucketBy(parts, "t").saveAsTable(table, format="parquet")
-    texts = spark.table(table)
+    spark, fields = docs.sparkSession, [f for f in FIELDS if kept_text or f.name != "kept"]
+    judged = only_result(spark, lambda: judge_texts(long.groupBy(F.col("_t").alias("t")).agg(F.first("text").alias("body"), F.count("*").alias("copies")), fields, window, shard))
+    short = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": text.cast("binary"), "spans": F.array().cast("array<bigint>"), "kept_sha256": F.sha2(text.cast("binary"), 256)}
+    own = named.withColumns({f"_own_{f.name}": F.when(F.col("n_bytes") < window, short[f.name]) for f in fields})
+    out = own.join(judged, F.col("_t") == F.col("_u"), "left")
+    return out.withColumns({f.name: F.coalesce(f"_own_{f.name}", f"_{f.name}") for f in fields}).select(*base.columns, "n_bytes", *[f.name for f in fields])
+
+
+def judge_texts(bodies: DataFrame, fields: list[T.StructField], window: int, shard: int) -> DataFrame:
+    """(_u, _<field> ...) of the different texts bodies(t, body, copies)."""
+    texts = bucketed(bodies, "t")
     based = texts.select("t", F.lit(0).cast("long").alias("base"), "body")
     ranges = saved(repeats(based, segments(based.withColumnRenamed("body", "text"), window), window, SPLITS, shard))
+    kept_text = any(f.name == "kept" for f in fields)
     lists = ranges.groupBy(F.col("t").alias("_t")).agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges"))
 
     def make() -> Callable:
@@ -321,13 +326,8 @@ def remove_repeats(docs: DataFrame, window: int = 400, shard: int = SHARD, kept_
 
         return work
 
-    fields = [f for f in FIELDS if kept_text or f.name != "kept"]
     judged = with_columns_of_text(texts.join(lists, F.col("t") == F.col("_t"), "left").select("t", "body", "_ranges", "copies"), T.StructType(fields), make, ("body", "_ranges", "copies"))
-    judged = saved(judged.select(F.col("t").alias("_u"), *[F.col(f.name).alias(f"_{f.name}") for f in fields]))
-    short = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": text.cast("binary"), "spans": F.array().cast("array<bigint>"), "kept_sha256": F.sha2(text.cast("binary"), 256)}
-    own = named.withColumns({f"_own_{f.name}": F.when(F.col("n_bytes") < window, short[f.name]) for f in fields})
-    out = own.join(judged, F.col("_t") == F.col("_u"), "left")
-    return out.withColumns({f.name: F.coalesce(f"_own_{f.name}", f"_{f.name}") for f in fields}).select(*base.columns, "n_bytes", *[f.name for f in fields])
+    return judged.select(F.col("t").alias("_u"), *[F.col(f.name).alias(f"_{f.name}") for f in fields])
 
 
 def op4_suffix(spark, sf_dir: str) -> DataFrame:
