@@ -9,20 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieweave.functions.columns import base_strength, freshness
-from tieweave.operators.components import saved
+from tieweave.operators.components import bucketed, saved
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def sized_groups(members: DataFrame, group: str, least: int = 2, most: int = 40) -> DataFrame:
-    """members of the groups with least to most rows; the size is counted before any pairing, so that a hub makes no pairs."""
-    size = members.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n").between(least, most)).select(group)
+def sized_groups(members: DataFrame, group: str, least: int = 2, most: int | None = 40) -> DataFrame:
+    """members of the groups with least to most rows (no upper bound if None); the size is counted before any pairing, so that a hub makes no pairs."""
+    size = members.groupBy(group).agg(F.count("*").alias("_n")).where((F.col("_n") >= least) & (F.lit(True) if most is None else F.col("_n") <= most)).select(group)
     return members.join(size, group, "left_semi")
 
 
-def co_members(members: DataFrame, person: str = "person", group: str = "company", most: int = 40) -> DataFrame:
+def co_members(members: DataFrame, person: str = "person", group: str = "company", most: int | None = 40) -> DataFrame:
     """Pairs (a, b, group) of people in one group; groups of one or over `most` make none."""
     kept = sized_groups(members, group, 2, most)
     left, right = kept.select(group, F.col(person).alias("a")), kept.select(F.col(group).alias("_g"), F.col(person).alias("b"))
@@ -60,11 +60,11 @@ def burt_constraint(pairs: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a").alias("person")).agg(F.sum(F.pow(F.col("p") + F.coalesce("s", F.lit(0.0)), 2)).alias("constraint"))
 
 
-def link_prediction(pairs: DataFrame, decided: DataFrame | None = None, least_common: int = 2, top: int | None = 200, most_degree: int = 10_000) -> DataFrame:
+def link_prediction(pairs: DataFrame, decided: DataFrame | None = None, least_common: int = 2, top: int | None = 200, most_degree: int | None = None) -> DataFrame:
     """(a, b, common, score): unlinked pairs with least_common neighbours or more, by the Adamic-Adar score.
 
-    Two-step paths run through a neighbour w of degree 2 to most_degree: a hub above that adds next to nothing to a score (1 / ln of its
-    degree) but pairs all its neighbours; set most_degree to None to take them all. Ties go by common neighbours, then by a and b.
+    Two-step paths run through every neighbour w of degree 2 or more; with most_degree, not through hubs above it, which pair all their
+    neighbours but add little to a score (1 / ln of their degree). Ties go by common neighbours, then by a and b.
     """
     sym = both_ways(pairs)
     n = sym.groupBy(F.col("a").alias("w")).agg(F.count("*").alias("d")).where("d >= 2")
@@ -123,35 +123,47 @@ def reach_from(pairs: DataFrame, sources: DataFrame, hops: int = 2) -> DataFrame
     return met
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, dangling: str = "uniform", check_every: int = 5) -> DataFrame:
-    """(seed, node, rank): personalised PageRank over weighted edges(src, dst, weight), for all seeds(seed) in one pass.
+def page_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, dangling: str = "uniform", check_every: int = 5, batch: int = 16) -> DataFrame:
+    """(seed, node, rank): personalised PageRank over weighted edges(src, dst, weight), for seeds(seed), `batch` of them in one pass.
 
     A node's rank goes out in proportion to the weights; the rank of nodes without an edge out goes to all nodes alike ("uniform") or to the seed
     ("restart"). Starts at 1 / n; stops when the L1 change of the seed that changes most is under tolerance, or after `rounds`.
+    The edges are laid out by src once and don't move again; the state is one row per node with a column for each seed of the batch.
     """
     flat = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     total = flat.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("total"))
-    out = saved(flat.join(total, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    nodes = saved(edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(seeds.select("seed")).distinct().join(total.select(F.col("s").alias("node"), F.lit(True).alias("open")), "node", "left"))
+    out = bucketed(flat.join(total, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "src")
+    named = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(seeds.select("seed")).distinct()
+    nodes = saved(named.join(total.select(F.col("s").alias("node"), F.lit(True).alias("open")), "node", "left").select("node", F.col("open").isNull().alias("sink")))
     n = nodes.count()
-    rank = nodes.join(F.broadcast(seeds.select("seed").distinct())).select("seed", "node", F.col("open").isNull().alias("sink"), F.lit(1.0 / n).alias("rank"))
-    for i in range(1, rounds + 1):
-        moved = rank.join(out, F.col("node") == F.col("src")).groupBy(F.col("seed").alias("_s"), "dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = rank.groupBy(F.col("seed").alias("_t")).agg(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("lost"))
-        home = (F.col("node") == F.col("seed")).cast("double")
-        spread = F.col("lost") / n if dangling == "uniform" else F.col("lost") * home
-        new = (
-            rank.join(moved, (F.col("seed") == F.col("_s")) & (F.col("node") == F.col("dst")), "left").join(F.broadcast(lost), F.col("seed") == F.col("_t"))
-            .select("seed", "node", "sink", F.col("rank").alias("old"), (alpha * (F.coalesce("got", F.lit(0.0)) + spread) + (1 - alpha) * home).alias("rank"))
-        )
-        new = saved(new)  # each round reads the one before three times
-        rank = new.drop("old")
-        if i % check_every and i < rounds:
-            continue
-        change = new.groupBy("seed").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("c")).agg(F.max("c")).first()[0]
-        if change is None or change < tolerance:
-            break
-    return rank.drop("sink")
+    every = [r["seed"] for r in seeds.select("seed").where("seed is not null").distinct().orderBy("seed").collect()]
+    found = nodes.select(F.col("node").alias("seed"), "node", F.lit(0.0).alias("rank")).limit(0)
+    for first in range(0, len(every), batch):
+        part = every[first : first + batch]
+        ranks = [f"r{i}" for i in range(len(part))]
+        state = nodes.select("node", "sink", *[F.lit(1.0 / n).alias(r) for r in ranks])
+        for i in range(1, rounds + 1):
+            moved = state.join(out, F.col("node") == F.col("src")).groupBy("dst").agg(*[F.sum(F.col(r) * F.col("share")).alias(f"{r}_got") for r in ranks])
+            lost = state.agg(*[F.coalesce(F.sum(F.when(F.col("sink"), F.col(r))), F.lit(0.0)).alias(f"{r}_lost") for r in ranks])
+            both = state.join(moved, F.col("node") == F.col("dst"), "left").join(F.broadcast(lost))  # lost is one row
+
+            def new(r: str, seed: str):
+                home = F.coalesce((F.col("node") == F.lit(seed)).cast("double"), F.lit(0.0))
+                spread = F.col(f"{r}_lost") / n if dangling == "uniform" else F.col(f"{r}_lost") * home
+                return alpha * (F.coalesce(f"{r}_got", F.lit(0.0)) + spread) + (1 - alpha) * home
+
+            step = [new(r, seed).alias(r) for r, seed in zip(ranks, part, strict=True)]
+            state = saved(both.select("node", "sink", *step, *[F.col(r).alias(f"{r}_old") for r in ranks]))
+            done = False
+            if not i % check_every:
+                change = state.agg(*[F.sum(F.abs(F.col(r) - F.col(f"{r}_old"))).alias(r) for r in ranks]).first()
+                done = max((x or 0.0) for x in change) < tolerance
+            state = state.drop(*[f"{r}_old" for r in ranks])
+            if done:
+                break
+        each = F.explode(F.array(*[F.struct(F.lit(seed).alias("seed"), F.col(r).alias("rank")) for r, seed in zip(ranks, part, strict=True)])).alias("x")
+        found = found.unionByName(state.select("node", each).select("x.seed", "node", "x.rank"))
+    return found
 
 
 def eigenvector(pairs: DataFrame, rounds: int = 50) -> DataFrame:
@@ -178,7 +190,7 @@ def shortest_paths(edges: DataFrame, wanted: DataFrame, hops: int = 4) -> DataFr
     return wanted.join(met, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("node")), "left").select("src", "dst", "path")
 
 
-def betweenness(pairs: DataFrame, sources: DataFrame, most_depth: int = 30) -> DataFrame:
+def betweenness(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     """(person, score): shortest-path dependencies from all sources(node) to every node, halved; exact if the sources are all nodes.
 
     Forward: the frontier of every source at once, with the number of shortest paths. Backward: from the deepest level up, each node hands its
@@ -187,7 +199,7 @@ def betweenness(pairs: DataFrame, sources: DataFrame, most_depth: int = 30) -> D
     sym = saved(both_ways(pairs))
     level = sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths"))
     levels, met = [saved(level)], level.select("s", "v")
-    for _ in range(most_depth):
+    while True:
         step = levels[-1].join(sym, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
         found = saved(step.join(met, ["s", "v"], "left_anti"))
         if found.isEmpty():

@@ -25,8 +25,10 @@ def pairs(spark, d):
     return G.suppress(raw, overrides(raw))
 
 
-def seeds(spark, d, n=3):
-    return X.people(spark, d).where("supporter").select(F.col("person").alias("node")).orderBy("node").limit(n)
+def seeds(spark, d, n=None):
+    """All supporters, or the first n of them: for the queries whose state is a row per seed and node, the seeds are a parameter."""
+    out = X.people(spark, d).where("supporter").select(F.col("person").alias("node"))
+    return out.orderBy("node").limit(n) if n else out
 
 
 @query("SELECT a, b FROM pairs")
@@ -171,7 +173,7 @@ def G25_transition(spark, d):
 def G25_G26_page_rank(spark, d):
     edges = G.build_edges(X.relationships(spark, d)).where("reason is null")
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    ranks = G.page_rank(both, seeds(spark, d, 10).select(F.col("node").alias("seed")), rounds=30)
+    ranks = G.page_rank(both, seeds(spark, d, 10).select(F.col("node").alias("seed")))
     who = ranks.where("node like 'p:%' and node <> seed")
     return who.groupBy("node").agg(F.round(F.sum("rank"), 9).alias("union_rank"), F.round(F.min("rank"), 9).alias("least_rank"))
 
@@ -194,7 +196,7 @@ def G14_communities(spark, d):
 
 @query("""
 WITH flat AS (SELECT DISTINCT src, dst FROM edges), bi AS (SELECT src AS a, dst AS b FROM flat UNION SELECT dst, src FROM flat),
-s AS (SELECT person FROM people WHERE supporter ORDER BY 1 LIMIT 3),
+s AS (SELECT person FROM people WHERE supporter),
 one AS (SELECT s.person AS s, x.b AS node, [s.person, x.b] AS path FROM s JOIN bi x ON x.a = s.person),
 two AS (SELECT o.s, x.b AS node, min(list_append(o.path, x.b)) AS path FROM one o JOIN bi x ON x.a = o.node WHERE x.b <> o.s GROUP BY 1, 2)
 SELECT s AS src, node AS dst, array_to_string(path, '>') AS path FROM two WHERE node LIKE 'p:%'""")
@@ -209,29 +211,29 @@ def G27_shortest_paths(spark, d):
 
 
 @query("""
-WITH n AS (SELECT DISTINCT src AS node, dst AS mid, kind FROM edges), c AS (SELECT person AS node FROM people WHERE supporter ORDER BY 1 LIMIT 5),
+WITH n AS (SELECT DISTINCT src AS node, dst AS mid, kind FROM edges), c AS (SELECT person AS node FROM people WHERE supporter),
 k AS (SELECT node, mid, max(CASE kind WHEN 'TRUSTEE_OF' THEN 1.0 WHEN 'DIRECTOR_OF' THEN 0.9 ELSE 0.8 END) AS w FROM n GROUP BY 1, 2)
 SELECT x.node AS seed, y.node AS candidate, count(*) AS shared, round(1 - 1 / (1 + sum(x.w)), 6) AS affiliation FROM k x JOIN c USING (node) JOIN k y ON x.mid = y.mid AND x.node <> y.node GROUP BY 1, 2""")
 def G32_affiliation(spark, d):
     edges = G.build_edges(X.relationships(spark, d)).where("reason is null")
     k = saved(edges.groupBy(F.col("src").alias("node"), F.col("dst").alias("mid")).agg(F.max("strength").alias("w")))
-    mine = k.join(seeds(spark, d, 5), "node").select(F.col("node").alias("seed"), "mid", "w")
+    mine = k.join(seeds(spark, d), "node").select(F.col("node").alias("seed"), "mid", "w")
     both = mine.join(k.select(F.col("node").alias("candidate"), "mid"), "mid").where("seed <> candidate")
     return both.groupBy("seed", "candidate").agg(F.count("*").alias("shared"), F.round(1 - 1 / (1 + F.sum("w")), 6).alias("affiliation"))
 
 
 @query("""
 WITH paths AS (SELECT x.src AS seed, y.src AS candidate, x.weight AS w1, y.weight AS w2, x.confidence AS c1, y.confidence AS c2, CASE WHEN x.kind = y.kind THEN 1.0 ELSE 0.5 END AS template
-  FROM edges x JOIN (SELECT person FROM people WHERE supporter ORDER BY 1 LIMIT 3) s ON s.person = x.src JOIN edges y ON x.dst = y.dst AND x.src <> y.src),
+  FROM edges x JOIN (SELECT person FROM people WHERE supporter) s ON s.person = x.src JOIN edges y ON x.dst = y.dst AND x.src <> y.src),
 scored AS (SELECT seed, candidate, template * (w1 + w2) / 2 * 0.85 * (c1 + c2) / 2 AS score FROM paths)
-SELECT seed, candidate, count(*) AS paths, round(max(score), 6) AS strongest, round(max(score) + 0.25 * ln(1 + count(*) - 1), 6) AS path_score FROM scored GROUP BY 1, 2""")
+SELECT seed, candidate, count(*) AS paths, round(max(score) + 1e-10, 6) AS strongest, round(max(score) + 0.25 * ln(1 + count(*) - 1) + 1e-10, 6) AS path_score FROM scored GROUP BY 1, 2""")
 def G28_G31_path_scores(spark, d):
     edges = saved(G.build_edges(X.relationships(spark, d)).where("reason is null").select("src", "dst", "kind", "weight", "confidence"))
     mine = edges.join(seeds(spark, d).select(F.col("node").alias("src")), "src").select(F.col("src").alias("seed"), "dst", F.col("kind").alias("k1"), F.col("weight").alias("w1"), F.col("confidence").alias("c1"))
     both = mine.join(edges, "dst").where("seed <> src").withColumn("template", F.when(F.col("k1") == F.col("kind"), 1.0).otherwise(0.5))
     score = F.col("template") * (F.col("w1") + F.col("weight")) / 2 * 0.85 * (F.col("c1") + F.col("confidence")) / 2
     out = both.withColumn("s", score).groupBy("seed", F.col("src").alias("candidate")).agg(F.count("*").alias("paths"), F.max("s").alias("top"))
-    return out.select("seed", "candidate", "paths", F.round("top", 6).alias("strongest"), F.round(F.col("top") + 0.25 * F.log(F.col("paths").cast("double")), 6).alias("path_score"))
+    return out.select("seed", "candidate", "paths", F.round(F.col("top") + 1e-10, 6).alias("strongest"), F.round(F.col("top") + 0.25 * F.log(F.col("paths").cast("double")) + 1e-10, 6).alias("path_score"))
 
 
 @query("""
@@ -267,3 +269,14 @@ def IO12_snapshot(spark, d):
     edges = G.build_edges(X.relationships(spark, d)).where("reason is null")
     back = read_snapshot(spark, write_snapshot(edges.select("src", "dst", "kind", "weight", "run_id")))
     return back.groupBy("run_id").agg((F.count_distinct("src") + F.count_distinct("dst")).alias("nodes"), F.count("*").alias("edges"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
+@query("""
+WITH r AS (SELECT run_id, src AS entity, count(*) AS relationships, count(evidence_id) AS spans FROM relationships GROUP BY 1, 2), e AS (SELECT person, count(*) AS signals FROM evidence GROUP BY 1), m AS (SELECT person, count(*) AS boards FROM memberships GROUP BY 1)
+SELECT r.run_id, r.entity, relationships, spans, coalesce(signals, 0) AS signals, coalesce(boards, 0) AS boards FROM r LEFT JOIN e ON e.person = entity LEFT JOIN m ON m.person = entity""")
+def G38_batch_summary(spark, d):
+    """A row per run and entity; what is counted is grouped by entity before it is joined."""
+    n = lambda df, name: df.groupBy(F.col("person").alias("entity")).agg(F.count("*").alias(name))
+    runs = X.relationships(spark, d).groupBy("run_id", F.col("src").alias("entity")).agg(F.count("*").alias("relationships"), F.count("evidence_id").alias("spans"))
+    out = runs.join(n(X.evidence(spark, d), "signals"), "entity", "left").join(n(X.memberships(spark, d), "boards"), "entity", "left")
+    return out.fillna(0, ["signals", "boards"])

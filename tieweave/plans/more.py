@@ -107,10 +107,10 @@ def R21_supporter_match(spark, d):
 
 
 @query("""
-WITH g AS (SELECT org AS grp, mention FROM mentions WHERE kind = 'person' AND n % 6 = 1) SELECT x.mention AS a, y.mention AS b, CASE WHEN x.grp = 'Brand#11' THEN 'not_same_person' ELSE 'same_person' END AS decision FROM g x JOIN g y ON x.grp = y.grp AND x.mention < y.mention""")
+WITH g AS (SELECT org AS grp, mention FROM mentions WHERE kind = 'person') SELECT x.mention AS a, y.mention AS b, CASE WHEN x.grp = 'Brand#11' THEN 'not_same_person' ELSE 'same_person' END AS decision FROM g x JOIN g y ON x.grp = y.grp AND x.mention < y.mention""")
 def R23_pair_decisions(spark, d):
-    g = X.mentions(spark, d).where("kind = 'person' and n % 6 = 1").select(F.col("org").alias("grp"), F.col("mention").alias("person"))
-    out = G.co_members(g, "person", "grp", most=10_000)
+    g = X.mentions(spark, d).where("kind = 'person'").select(F.col("org").alias("grp"), F.col("mention").alias("person"))
+    out = G.co_members(g, "person", "grp", most=None)
     return out.select("a", "b", F.when(F.col("grp") == "Brand#11", "not_same_person").otherwise("same_person").alias("decision"))
 
 
@@ -155,7 +155,7 @@ def S22_tier_routing(spark, d):
 
 
 @query("""
-WITH p AS (SELECT x.src AS seed, y.src AS candidate, list(DISTINCT x.kind) AS kinds, count(*) AS n FROM edges x JOIN (SELECT person FROM people WHERE supporter ORDER BY 1 LIMIT 3) s ON s.person = x.src JOIN edges y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2)
+WITH p AS (SELECT x.src AS seed, y.src AS candidate, list(DISTINCT x.kind) AS kinds, count(*) AS n FROM edges x JOIN (SELECT person FROM people WHERE supporter) s ON s.person = x.src JOIN edges y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2)
 SELECT seed, candidate, array_to_string(list_filter([CASE WHEN list_contains(kinds, 'TRUSTEE_OF') THEN 'shared_trustee_role' END, CASE WHEN list_contains(kinds, 'DIRECTOR_OF') THEN 'shared_director_role' END, 'shared_company_affiliation', CASE WHEN n >= 2 THEN 'multi_path_convergence' END], lambda z: z IS NOT NULL), ',') AS reasons FROM p""")
 def S10_reason_codes(spark, d):
     edges = saved(G.build_edges(X.relationships(spark, d)).where("reason is null").select("src", "dst", "kind"))
@@ -165,7 +165,7 @@ def S10_reason_codes(spark, d):
     return both.select("seed", "candidate", F.array_join(codes, ",").alias("reasons"))
 
 
-def discover(edges, seeds_, eligible, queue: int = 50, rounds: int = 15):
+def discover(edges, seeds_, eligible, queue: int = 50, rounds: int = 100):
     """Ranked candidates of each seed: personalised PageRank, eligible(person), paths over a shared neighbour, path score, reasons, rank."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     ranks = G.page_rank(both, seeds_, rounds=rounds).join(eligible.select(F.col("person").alias("node")), "node", "left_semi").where("node <> seed")
@@ -216,14 +216,14 @@ def S6_S21_overlay(spark, d):
 
 
 @query("""
-WITH s AS (SELECT a, b FROM raw_pairs), o AS (SELECT a, b FROM overrides WHERE action = 'remove'), p AS (SELECT x.a AS p1, x.b AS p2, y.b AS p3 FROM s x JOIN s y ON x.b = y.a WHERE CAST(substr(x.a, 3) AS BIGINT) % 5 = 0)
+WITH s AS (SELECT a, b FROM raw_pairs), o AS (SELECT a, b FROM overrides WHERE action = 'remove'), p AS (SELECT x.a AS p1, x.b AS p2, y.b AS p3 FROM s x JOIN s y ON x.b = y.a)
 SELECT p1, p2, p3 FROM p WHERE (p1, p2) NOT IN (SELECT (a, b) FROM o) AND (p2, p3) NOT IN (SELECT (a, b) FROM o)""")
 def F6_prune_paths(spark, d):
     from tieweave.plans.graph import overrides, raw_pairs
 
     raw = saved(raw_pairs(spark, d))
     gone = overrides(raw).where("action = 'remove'")
-    x = raw.where(F.expr("cast(substr(a, 3) as bigint) % 5 = 0")).select(F.col("a").alias("p1"), F.col("b").alias("p2"))
+    x = raw.select(F.col("a").alias("p1"), F.col("b").alias("p2"))
     paths = x.join(raw.select(F.col("a").alias("m"), F.col("b").alias("p3")), F.col("p2") == F.col("m")).select("p1", "p2", "p3")
     for u, v in (("p1", "p2"), ("p2", "p3")):
         bad = gone.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
@@ -234,12 +234,12 @@ def F6_prune_paths(spark, d):
 @query(f"""
 WITH paths AS (SELECT seed, first_via, score, row_number() OVER (PARTITION BY seed, first_via, mid ORDER BY score DESC, candidate) AS r FROM (
   SELECT x.a AS seed, x.b AS mid, y.b AS candidate, (SELECT min(company) FROM memberships m WHERE m.person = x.b) AS first_via, CAST(substr(y.b, 3) AS BIGINT) % 100 AS score
-  FROM sym x JOIN sym y ON x.b = y.a AND x.a <> y.b JOIN (SELECT person FROM people WHERE supporter ORDER BY 1 LIMIT 5) s ON s.person = x.a))
+  FROM sym x JOIN sym y ON x.b = y.a AND x.a <> y.b JOIN (SELECT person FROM people WHERE supporter) s ON s.person = x.a))
 SELECT seed, coalesce(first_via, 'Direct relationship') AS institution, count(*) AS paths, CAST(max(score) AS BIGINT) AS best FROM paths WHERE r = 1 GROUP BY 1, 2""")
 def G23_paths_by_institution(spark, d):
     sym = saved(G.both_ways(pairs(spark, d)))
     via = X.memberships(spark, d).groupBy(F.col("person").alias("b")).agg(F.min("company").alias("first_via"))
-    one = sym.join(seeds(spark, d, 5).select(F.col("node").alias("a")), "a").join(via, "b", "left").select(F.col("a").alias("seed"), F.col("b").alias("mid"), "first_via")
+    one = sym.join(seeds(spark, d).select(F.col("node").alias("a")), "a").join(via, "b", "left").select(F.col("a").alias("seed"), F.col("b").alias("mid"), "first_via")
     two = one.join(sym, F.col("mid") == F.col("a")).where("b <> seed").withColumn("score", F.expr("cast(substr(b, 3) as bigint) % 100"))
     best = G.top_of_each(two, ["seed", "first_via", "mid"], [F.desc("score"), F.col("b")])
     return best.groupBy("seed", F.coalesce("first_via", F.lit("Direct relationship")).alias("institution")).agg(F.count("*").alias("paths"), F.max("score").alias("best"))
@@ -266,13 +266,13 @@ def V10_V14_contract(spark, d):
 
 
 @query("""
-WITH e AS (SELECT mention AS entity, n, list_distinct(list_filter(string_split(value, ' '), lambda x: x <> '')) AS w FROM mentions WHERE kind = 'person' AND n % 20 = 2), r AS (SELECT company AS record, CAST(substr(company, 3) AS BIGINT) AS k, list_distinct(list_filter(string_split(lower(name), ' '), lambda x: x <> '')) AS w FROM companies WHERE CAST(substr(company, 3) AS BIGINT) % 7 = 0)
+WITH e AS (SELECT mention AS entity, n, list_distinct(list_filter(string_split(value, ' '), lambda x: x <> '')) AS w FROM mentions WHERE kind = 'person'), r AS (SELECT company AS record, CAST(substr(company, 3) AS BIGINT) AS k, list_distinct(list_filter(string_split(lower(name), ' '), lambda x: x <> '')) AS w FROM companies)
 SELECT entity, record, round(0.50 * len(list_intersect(e.w, r.w)) / CAST(len(e.w) + len(r.w) - len(list_intersect(e.w, r.w)) AS DOUBLE) + 0.30 * CASE WHEN (n + k) % 2 = 0 THEN 1 ELSE 0 END + 0.20 * 0.3, 6) AS confidence FROM e JOIN r ON len(list_intersect(e.w, r.w)) > 0""")
 def R26_R27_registry(spark, d):
     from tieweave.operators.match import registry_match
 
-    entities = X.mentions(spark, d).where("kind = 'person' and n % 20 = 2").select(F.col("mention").alias("entity"), F.col("value").alias("name"), "n")
-    records = X.companies(spark, d).withColumn("k", F.expr("cast(substr(company, 3) as bigint)")).where("k % 7 = 0").select(F.col("company").alias("record"), F.col("name").alias("title"), "k")
+    entities = X.mentions(spark, d).where("kind = 'person'").select(F.col("mention").alias("entity"), F.col("value").alias("name"), "n")
+    records = X.companies(spark, d).withColumn("k", F.expr("cast(substr(company, 3) as bigint)")).select(F.col("company").alias("record"), F.col("name").alias("title"), "k")
     return registry_match(entities, records, ((F.col("n") + F.col("k")) % 2 == 0).cast("double"), F.lit(0.3))
 
 

@@ -180,11 +180,11 @@ def S17_J5_latest_and_override(spark, d):
 
 @query("""
 WITH r AS (SELECT person, source, avg(confidence) AS c FROM evidence GROUP BY 1, 2)
-SELECT x.person, x.source AS s1, y.source AS s2, round(abs(x.c - y.c), 6) AS gap, CASE WHEN abs(x.c - y.c) > 0.50 THEN 'high' ELSE 'medium' END AS severity FROM r x JOIN r y ON x.person = y.person AND x.source < y.source WHERE abs(x.c - y.c) > 0.10""")
+SELECT x.person, x.source AS s1, y.source AS s2, round(abs(x.c - y.c), 6) AS gap, CASE WHEN abs(x.c - y.c) > 0.50 THEN 'high' ELSE 'medium' END AS severity FROM r x JOIN r y ON x.person = y.person AND x.source < y.source WHERE abs(x.c - y.c) > 0.30""")
 def S19_signal_conflicts(spark, d):
     r = X.evidence(spark, d).groupBy("person", "source").agg(F.avg("confidence").alias("c"))
     other = r.select(F.col("person").alias("p2"), F.col("source").alias("s2"), F.col("c").alias("c2"))
-    both = r.join(other, (F.col("person") == F.col("p2")) & (F.col("source") < F.col("s2"))).withColumn("g", F.abs(F.col("c") - F.col("c2"))).where("g > 0.10")
+    both = r.join(other, (F.col("person") == F.col("p2")) & (F.col("source") < F.col("s2"))).withColumn("g", F.abs(F.col("c") - F.col("c2"))).where("g > 0.30")
     return both.select("person", F.col("source").alias("s1"), "s2", F.round("g", 6).alias("gap"), F.when(F.col("g") > 0.50, "high").otherwise("medium").alias("severity"))
 
 
@@ -251,3 +251,18 @@ def A30_reproducibility(spark, d):
     prior = F.lag("run_id").over(Window.partitionBy("seed").orderBy("run_id"))
     near = F.when(prior.cast("int") == F.col("run_id").cast("int") - 1, before)
     return m.withColumn("b", near).select("seed", "run_id", "n", F.round("m", 9).alias("mean"), F.round(F.col("m") - F.col("b"), 9).alias("drift"))
+
+
+@query(LEADS + "SELECT person, connections > 0 OR capacity > 0 OR affinity > 0 AS real FROM scored")
+def F2_real_signal(spark, d):
+    rows = score_leads(lead_inputs(X.people(spark, d), pairs(spark, d), X.memberships(spark, d), X.donations(spark, d).where("amount > 250000"), X.evidence(spark, d)), "2024-01-31")
+    real = real_signal(rows).select(F.col("person").alias("_p"))
+    return rows.join(real, F.col("person") == F.col("_p"), "left").select("person", F.col("_p").isNotNull().alias("real"))
+
+
+@query("""
+SELECT 'band' AS of, band AS type, count(*) AS n FROM people GROUP BY 2 UNION ALL SELECT 'mention', kind, count(*) FROM mentions GROUP BY 2 UNION ALL SELECT 'relationship', kind, count(*) FROM relationships GROUP BY 2 UNION ALL SELECT 'evidence', source, count(*) FROM evidence GROUP BY 2""")
+def A24_store_stats(spark, d):
+    parts = [("band", X.people(spark, d), "band"), ("mention", X.mentions(spark, d), "kind"), ("relationship", X.relationships(spark, d), "kind"), ("evidence", X.evidence(spark, d), "source")]
+    counted = [df.groupBy(F.col(c).alias("type")).agg(F.count("*").alias("n")).select(F.lit(of).alias("of"), "type", "n") for of, df, c in parts]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
