@@ -251,6 +251,12 @@ def test_secrets_odd(spark, odd):
     assert got[1] == got[2] == [] and [tuple(x) for x in got[9]] == [("assign", 0, 15), ("access", 16, 36)]
 
 
+def test_added_kinds_of_any_length(spark):
+    text = "x -----BEGIN " + "VERY " * 20 + "PRIVATE KEY----- y https://" + "u" * 200 + ":" + "p" * 300 + "@host ghp_" + "a" * 36
+    spans = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["secret_spans"]
+    assert [(s["kind"], text[s["start"] : s["end"]][:5], s["end"] - s["start"]) for s in spans if s["kind"] not in secrets.BASE_KINDS] == [("private_key", "-----", 127), ("url_login", "://uu", 505), ("code_host", "ghp_a", 40)]
+
+
 def test_langid(spark, sf):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = langid.op2_langid(spark, sf).collect()

@@ -19,13 +19,13 @@ RULES: dict[str, tuple[str, int, int]] = {
     "assign": (r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
-    "private_key": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     "code_host": (r"ghp_[A-Za-z0-9]{36}", 0, 0),
     "chat_token": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     "maps_key": (r"AIza[A-Za-z0-9_-]{35}", 0, 0),
     "payment_key": (r"sk_live_[A-Za-z0-9]{16,}", 0, 0),
-    "url_login": (r"://[^\s:@/]{1,80}:[^\s:@/]{1,80}@", 0, 0),
+    "url_login": (r"://[^\s:@/]+:[^\s:@/]+@", 0, 0),
 }
 
 #: A rule's query: alternatives, each a set of trigrams that must all occur. None: no mandatory trigram, every text is scanned.
