@@ -147,19 +147,6 @@ def rollback(values: DataFrame) -> DataFrame:
     return out.withColumn("breached", breached).withColumn("advice", advice).drop("above")
 
 
-@query("""
-WITH v AS (SELECT 'hallucination_rate' AS criterion, avg(CASE WHEN evidence_id IS NULL THEN 1.0 ELSE 0 END) AS value, 0.05 AS threshold, true AS above FROM relationships
-UNION ALL SELECT 'enrichment_reliability', avg(CASE WHEN confidence >= 0.40 THEN 1.0 ELSE 0 END), 0.80, false FROM relationships
-UNION ALL SELECT 'reviewer_rejection_spike', avg(CASE WHEN reason = 'LOW' THEN 1.0 ELSE 0 END), 0.50, true FROM decisions)
-SELECT criterion, round(value, 6) AS value, CAST(threshold AS DOUBLE) AS threshold, CASE WHEN above THEN value > threshold ELSE value < threshold END AS breached,
-  CASE WHEN CASE WHEN above THEN value > threshold ELSE value < threshold END THEN 'rollback' WHEN abs(value - threshold) < 0.005 THEN 'pause' ELSE 'ok' END AS advice FROM v""")
-def A16_rollback(spark, d):
-    r, x = X.relationships(spark, d), X.decisions(spark, d)
-    one = lambda df, name, cond: df.agg(F.avg(cond.cast("double")).alias("value")).withColumn("criterion", F.lit(name))
-    values = one(r, "hallucination_rate", F.col("evidence_id").isNull()).unionByName(one(r, "enrichment_reliability", F.col("confidence") >= 0.40)).unionByName(one(x, "reviewer_rejection_spike", F.col("reason") == "LOW"))
-    return rollback(values).withColumn("value", F.round("value", 6))
-
-
 def match_quality(gold: DataFrame, found: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """True and false positives, misses, precision, recall and F1 of each kind; each row counts, its key decides whether it is on the other side."""
     side = lambda df, other, name: df.join(other.select(*keys).distinct().withColumn("_m", F.lit(1)), keys, "left").groupBy(kind).agg(F.count("_m").alias(f"{name}_hit"), F.count("*").alias(f"{name}_n"))
@@ -184,18 +171,6 @@ def A22_landscape(spark, d):
     return X.evidence(spark, d).groupBy("source").agg(F.count_distinct("person").alias("people"), F.count("*").alias("signals"))
 
 
-@query("""
-WITH r AS (SELECT o.*, p.band, p.sector FROM outcomes o JOIN (SELECT o_orderkey AS request, 'p:' || o_custkey AS person FROM orders) k USING (request) JOIN people p USING (person)),
-u AS (SELECT 'band' AS dimension, band AS value, * FROM r UNION ALL SELECT 'sector', sector, * FROM r)
-SELECT dimension, value, count(*) AS total, count(*) FILTER (converted) AS won, count(*) FILTER (declined) AS lost, round(count(*) FILTER (converted) / nullif(CAST(count(*) FILTER (converted OR declined) AS DOUBLE), 0), 6) AS conversion FROM u GROUP BY 1, 2""")
-def A25_outcome_rates(spark, d):
-    key = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("request"), X.pid("o_custkey").alias("person"))
-    rows = X.outcomes(spark, d).join(key, "request").join(X.people(spark, d).select("person", "band", "sector"), "person")
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).alias("value")) for k in ("band", "sector")])).alias("g")
-    out = rows.select(each, "converted", "declined").groupBy("g.dimension", "g.value").agg(F.count("*").alias("total"), F.count_if("converted").alias("won"), F.count_if("declined").alias("lost"))
-    return out.withColumn("conversion", F.round(F.try_divide(F.col("won").cast("double"), F.col("won") + F.col("lost")), 6))
-
-
 @query("SELECT 'evidence' AS type, person, max(created_at) AS last_at, count(*) AS n FROM evidence WHERE created_at >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 2 ORDER BY last_at DESC, person LIMIT 500")
 def A26_J10_feed(spark, d):
     rows = X.evidence(spark, d).where("created_at >= timestamp '2024-01-24 00:00:00'")

@@ -121,25 +121,6 @@ def A20_confidence_bins(spark, d):
     return leads(spark, d).groupBy(F.least(F.lit(9), F.floor(F.col("confidence") / 10)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query(LEADS + """, long AS (UNPIVOT (SELECT CAST(introability AS DOUBLE) AS introability, CAST(affinity AS DOUBLE) AS affinity, CAST(capacity AS DOUBLE) AS capacity, CAST(influence AS DOUBLE) AS influence FROM leads) ON introability, affinity, capacity, influence INTO NAME dimension VALUE x),
-s AS (SELECT *, min(x) OVER w AS lo, max(x) OVER w AS hi, avg(x) OVER w AS m, stddev_pop(x) OVER w AS sd, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0 END) OVER w AS populated FROM long WINDOW w AS (PARTITION BY dimension))
-SELECT dimension, CAST(CASE WHEN hi > lo THEN least(11, floor(round((x - lo) / (hi - lo) * 12, 9))) ELSE 0 END AS BIGINT) AS bin, count(*) AS n, round(any_value(populated), 6) AS populated, round(any_value(CASE WHEN m > 0 THEN sd / m ELSE 0 END), 6) AS variation FROM s GROUP BY 1, 2""")
-def A21_dimensions(spark, d):
-    names = ["introability", "affinity", "capacity", "influence"]
-    long = leads(spark, d).select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "dimension", "x")
-    stats = long.groupBy("dimension").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"), F.avg((F.col("x") > 0).cast("double")).alias("p"))
-    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(11), F.floor(F.round((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 12, 9)))).otherwise(0).cast("long")
-    out = long.join(stats, "dimension").groupBy("dimension", bin_.alias("bin")).agg(F.count("*").alias("n"), F.first("p").alias("p"), F.first(F.when(F.col("m") > 0, F.col("sd") / F.col("m")).otherwise(0.0)).alias("v"))
-    return out.select("dimension", "bin", "n", F.round("p", 6).alias("populated"), F.round("v", 6).alias("variation"))
-
-
-@query(LEADS + """, flags AS (SELECT person, CASE WHEN confidence < 50 THEN 40 ELSE 0 END + CASE WHEN sources = 1 AND band <> 'unknown' THEN 30 ELSE 0 END + CASE WHEN band = '100m_plus' THEN 25 ELSE 0 END AS raw, priority FROM leads)
-SELECT person, CAST(round(raw * (0.5 + priority / 100)) AS BIGINT) AS triage FROM flags WHERE raw > 0""")
-def S24_triage(spark, d):
-    raw = F.when(F.col("confidence") < 50, 40).otherwise(0) + F.when((F.col("sources") == 1) & (F.col("band") != "unknown"), 30).otherwise(0) + F.when(F.col("band") == "100m_plus", 25).otherwise(0)
-    return leads(spark, d).withColumn("raw", raw).where("raw > 0").select("person", F.round(F.col("raw") * (0.5 + F.col("priority") / 100)).cast("long").alias("triage"))
-
-
 @query("""
 WITH n AS (SELECT person, count(*) AS boards FROM memberships GROUP BY 1), g AS (SELECT donor AS person, count(*) AS gifts FROM donations GROUP BY 1), e AS (SELECT person, count(DISTINCT source) AS insts FROM evidence GROUP BY 1)
 SELECT p.person, round(0.20 * CASE WHEN gifts > 0 THEN 1 - 1 / (1 + gifts * 0.5) ELSE 0 END + 0.15 * CASE WHEN boards > 0 THEN 1 - 1 / (1 + boards * 0.8) ELSE 0 END + 0.07 * CASE WHEN insts > 0 THEN 1 - 1 / (1 + insts * 0.8) ELSE 0 END, 6) AS capacity
@@ -213,15 +194,6 @@ def S14_S16_wealth_by_network(spark, d):
     return rows.withColumn("score", score).select("person", "score", band.alias("band"))
 
 
-@query("""
-WITH e AS (SELECT p.person, CASE WHEN p.supporter THEN 'is_supporter' WHEN p.band = 'unknown' THEN 'no_capacity' WHEN coalesce(degree, 0) = 0 THEN 'no_path' WHEN worth < 20e6 THEN 'low_worth' END AS reason FROM people p LEFT JOIN degrees USING (person))
-SELECT person, reason, reason IS NULL AS eligible FROM e""")
-def F3_eligibility(spark, d):
-    rows = X.people(spark, d).join(G.degree(pairs(spark, d)), "person", "left")
-    reason = F.when(F.col("supporter"), "is_supporter").when(F.col("band") == "unknown", "no_capacity").when(F.coalesce("degree", F.lit(0)) == 0, "no_path").when(F.col("worth") < 20e6, "low_worth")
-    return rows.select("person", reason.alias("reason"), reason.isNull().alias("eligible"))
-
-
 @query("""
 WITH t AS (SELECT sum(worth) AS total FROM people)
 SELECT band, count(*) AS n, round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM people), 6) AS share, round(sum(worth) / any_value(total), 6) AS of_worth FROM people, t GROUP BY 1""")
