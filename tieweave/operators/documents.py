@@ -71,3 +71,28 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     rows = docs.select(key, packed.alias("_c")).where("_c is not null").select(key, "_c", F.posexplode("_c").alias("chunk", "text"))
     start = F.aggregate(F.slice("_c", F.lit(1), F.col("chunk")), F.lit(0), lambda a, x: a + F.length(x))
     return rows.select(key, "chunk", start.alias("start"), "text")
+
+
+# What tells the types of documents apart.
+TRUSTEE_WORDS = [r"(?i)report\s+of\s+the\s+trustees", r"(?i)trustees['\u2018\u2019]?\s*report", r"(?i)trustees\s+annual\s+report"]
+FINANCE_WORDS = [r"(?i)statement\s+of\s+financial\s+activities", r"(?i)balance\s+sheet"]
+ANNUAL_WORDS, FIGURE = r"(?i)annual\s+report", r"[\u00a3$]\s*[\d,]+"
+
+
+def document_type(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with type, figures (amounts of money), narrative (lines of over 80 characters outside tables) and quarantine (why a document goes there, else null).
+
+    Three figures make a financial table, five narrative lines a narrative. A null text counts as empty.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    any_of = lambda patterns: F.greatest(F.lit(False), *[t.rlike(p) for p in patterns])
+    trustee, finance, annual = any_of(TRUSTEE_WORDS), any_of(FINANCE_WORDS), t.rlike(ANNUAL_WORDS)
+    figures = F.regexp_count(t, F.lit(FIGURE)).cast("long")
+    narrative = F.size(F.filter(F.split(t, "\n"), lambda x: (F.length(x) > 80) & ~x.contains("|") & ~x.contains("---"))).cast("long")
+    table, story = F.col("figures") >= 3, F.col("narrative") >= 5
+    kind = (
+        F.when(trustee & finance, "trustee_filing").when(trustee & annual, "mixed").when(finance, "financial_statement").when(annual & ~trustee, F.when(table, "mixed").otherwise("annual_report"))
+        .when(table, F.when(story, "mixed").otherwise("accounts_only")).otherwise("unsupported")
+    )
+    out = docs.withColumns({"figures": figures, "narrative": narrative}).withColumn("type", kind)
+    return out.withColumn("quarantine", F.when(F.col("type") == "unsupported", "unsupported_document_type"))

@@ -110,17 +110,18 @@ def A9_failures(spark, d):
 
 
 @query("""
-SELECT run_id, count(DISTINCT dst) AS documents, count(DISTINCT dst) FILTER (evidence_id IS NOT NULL) AS covered, round(count(DISTINCT dst) FILTER (evidence_id IS NOT NULL) / CAST(count(DISTINCT dst) AS DOUBLE), 6) AS coverage, count(evidence_id) AS evidence FROM relationships GROUP BY 1""")
+SELECT run_id, count(DISTINCT dst) AS documents, count(DISTINCT dst) FILTER (evidence_id IS NOT NULL) AS covered, round(count(DISTINCT dst) FILTER (evidence_id IS NOT NULL) / CAST(count(DISTINCT dst) AS DOUBLE), 6) AS coverage, count(evidence_id) AS evidence,
+  count(*) FILTER (reliability < 0.95) AS retried, round(count(*) FILTER (reliability < 0.95) / CAST(count(*) AS DOUBLE), 6) AS retry_rate FROM relationships GROUP BY 1""")
 def A10_extraction(spark, d):
     rows = X.relationships(spark, d)
-    out = rows.groupBy("run_id").agg(F.count_distinct("dst").alias("documents"), F.count_distinct(F.when(F.col("evidence_id").isNotNull(), F.col("dst"))).alias("covered"), F.count("evidence_id").alias("evidence"))
+    out = rows.groupBy("run_id").agg(F.count_distinct("dst").alias("documents"), F.count_distinct(F.when(F.col("evidence_id").isNotNull(), F.col("dst"))).alias("covered"), F.count("evidence_id").alias("evidence"), F.count_if(F.col("reliability") < 0.95).alias("retried"), rate(F.count_if(F.col("reliability") < 0.95), F.count("*")).alias("retry_rate"))
     return out.withColumn("coverage", rate(F.col("covered"), F.col("documents")))
 
 
-@query("SELECT source, count(*) AS n, count(*) FILTER (confidence >= 0.75) AS matched, count(*) FILTER (confidence > 0 AND confidence < 0.7) AS ambiguous, round(count(*) FILTER (confidence >= 0.75) / CAST(count(*) AS DOUBLE), 6) AS rate FROM evidence GROUP BY 1")
+@query("SELECT source, count(*) AS n, count(*) FILTER (confidence >= 0.75) AS matched, count(*) FILTER (confidence > 0 AND confidence < 0.7) AS ambiguous, count(*) FILTER (confidence < 0.05) AS failed, count(*) - count(DISTINCT person) AS cached, round(count(*) FILTER (confidence >= 0.75) / CAST(count(*) AS DOUBLE), 6) AS rate FROM evidence GROUP BY 1")
 def A12_enrichment(spark, d):
     c = F.col("confidence")
-    out = X.evidence(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(c >= 0.75).alias("matched"), F.count_if((c > 0) & (c < 0.7)).alias("ambiguous"))
+    out = X.evidence(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(c >= 0.75).alias("matched"), F.count_if((c > 0) & (c < 0.7)).alias("ambiguous"), F.count_if(c < 0.05).alias("failed"), (F.count("*") - F.count_distinct("person")).alias("cached"))
     return out.withColumn("rate", rate(F.col("matched"), F.col("n")))
 
 

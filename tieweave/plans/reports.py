@@ -341,3 +341,91 @@ UNION ALL SELECT 'band', CAST(CAST(floor(least(round(score * 5, 6), 4)) AS INTEG
 UNION ALL SELECT 'false_positive', reason, count(*), round(count(*) / any_value(fp), 6) FROM decisions, g WHERE reason IN ('LOW', 'NOT SPECIFIED') GROUP BY 2""")
 def A6_calibration(spark, d):
     return calibration_report(X.decisions(spark, d), ["LOW", "NOT SPECIFIED"], ["URGENT", "HIGH"])
+
+
+@query("""
+WITH c AS (SELECT CAST(n % 3 AS VARCHAR) AS run_id, org, role, avg(confidence) AS conf, count(*) AS mentions, count(DISTINCT kind) > 1 AS split FROM mentions GROUP BY 1, 2, 3),
+r AS (SELECT run_id, count(*) AS clusters, round(avg(conf), 6) AS mean, count(*) FILTER (round(conf, 6) < 0.5) AS low, count(*) FILTER (split) AS splits, count(*) FILTER (mentions > 1 AND NOT split) AS merges FROM c GROUP BY 1),
+f AS (SELECT *, round(coalesce(splits / nullif(CAST(splits + merges AS DOUBLE), 0), 0), 6) AS false_match_rate FROM r)
+SELECT *, coalesce(abs(mean - lag(mean) OVER w) > 0.05 OR abs(false_match_rate - lag(false_match_rate) OVER w) > 0.05, false) AS drift FROM f WINDOW w AS (ORDER BY run_id)""")
+def A8_A11_identity(spark, d):
+    """Clusters here are the mentions of a run with the same organisation and role; one of several kinds counts as split by hand."""
+    m = X.mentions(spark, d).withColumn("run_id", (F.col("n") % 3).cast("string"))
+    clusters = m.groupBy("run_id", "org", "role").agg(F.avg("confidence").alias("conf"), F.count("*").alias("mentions"), (F.count_distinct("kind") > 1).alias("split"))
+    runs = clusters.groupBy("run_id").agg(F.count("*").alias("clusters"), F.round(F.avg("conf"), 6).alias("mean"), F.count_if(F.round("conf", 6) < 0.5).alias("low"), F.count_if("split").alias("splits"), F.count_if((F.col("mentions") > 1) & ~F.col("split")).alias("merges"))
+    runs = runs.withColumn("false_match_rate", rate(F.col("splits"), F.col("splits") + F.col("merges")))
+    w = Window.orderBy("run_id")  # a row per run
+    moved = [F.abs(F.col(c) - F.lag(c).over(w)) > 0.05 for c in ("mean", "false_match_rate")]
+    return runs.withColumn("drift", F.coalesce(moved[0] | moved[1], F.lit(False)))
+
+
+@query("""
+WITH n AS (SELECT run_id, seed, count(*) AS n FROM decisions WHERE score > 0.85 GROUP BY 1, 2)
+SELECT n.run_id, CAST(sum(n) AS BIGINT) AS candidates, count(*) AS seeds, round(avg(n), 6) AS per_seed, count(*) FILTER (n < 5) AS weak_seeds, any_value(t.templates) AS templates
+FROM n JOIN (SELECT run_id, count(DISTINCT reason) AS templates FROM decisions WHERE score > 0.85 GROUP BY 1) t USING (run_id) GROUP BY 1""")
+def A11_discovery(spark, d):
+    found = X.decisions(spark, d).where("score > 0.85")
+    seeds = found.groupBy("run_id", "seed").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.sum("n").alias("candidates"), F.count("*").alias("seeds"), F.round(F.avg("n"), 6).alias("per_seed"), F.count_if(F.col("n") < 5).alias("weak_seeds"))
+    return seeds.join(found.groupBy("run_id").agg(F.count_distinct("reason").alias("templates")), "run_id")
+
+
+@query("""
+WITH q AS (SELECT CAST(year AS VARCHAR) AS run_id, avg(CASE WHEN evidence_id IS NULL OR confidence < 0.40 THEN 1.0 ELSE 0 END) AS v FROM relationships GROUP BY 1),
+o AS (SELECT run_id, count(*) FILTER (made) / CAST(count(*) AS DOUBLE) AS made, count(*) FILTER (declined) / CAST(count(*) AS DOUBLE) AS declined, coalesce(count(*) FILTER (met) / nullif(CAST(count(*) FILTER (made) AS DOUBLE), 0), 0) AS met, coalesce(count(*) FILTER (converted) / nullif(CAST(count(*) FILTER (met) AS DOUBLE), 0), 0) AS won FROM outcomes GROUP BY 1)
+SELECT 'review' AS area, run_id, reason AS metric, round(count(*) / CAST(any_value(a) AS DOUBLE), 6) AS value FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS a FROM decisions) GROUP BY 2, 3
+UNION ALL SELECT 'validation', run_id, 'quarantine_rate', round(v, 6) FROM q
+UNION ALL SELECT 'outcome', run_id, metric, round(v, 6) FROM (UNPIVOT o ON made, declined, met, won INTO NAME metric VALUE v)""")
+def A13_review_outcome_validation(spark, d):
+    said = X.decisions(spark, d).groupBy("run_id", "reason").agg(F.count("*").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("run_id"))  # over a row per reason
+    review = said.select(F.lit("review").alias("area"), "run_id", F.col("reason").alias("metric"), rate(F.col("n"), whole).alias("value"))
+    held = (F.col("evidence_id").isNull() | (F.col("confidence") < 0.40)).cast("double")
+    valid = X.relationships(spark, d).groupBy(F.col("year").cast("string").alias("run_id")).agg(F.round(F.avg(held), 6).alias("value")).select(F.lit("validation").alias("area"), "run_id", F.lit("quarantine_rate").alias("metric"), "value")
+    n, made, met = F.count("*"), F.count_if("made"), F.count_if("met")
+    rates = {"made": rate(made, n), "declined": rate(F.count_if("declined"), n), "met": rate(met, made), "won": rate(F.count_if("converted"), met)}
+    out = X.outcomes(spark, d).groupBy("run_id").agg(*[c.alias(k) for k, c in rates.items()]).unpivot(["run_id"], list(rates), "metric", "value")
+    return review.unionByName(valid).unionByName(out.select(F.lit("outcome").alias("area"), "run_id", "metric", "value"))
+
+
+def feed(sources: list[DataFrame], evidence: DataFrame, names: DataFrame, since: str, until: str, each: int = 300, newest: int = 500) -> DataFrame:
+    """The newest items (type, at, title, detail, entity) in [since, until): of every source the newest `each`; evidence(entity, at) is one item for each entity. Ties go by type, entity and title."""
+    inside = lambda df: df.where((F.col("at") >= F.lit(since).cast("timestamp")) & (F.col("at") < F.lit(until).cast("timestamp")))
+    rolled = inside(evidence).groupBy("entity").agg(F.count("*").alias("n"), F.max("at").alias("at")).join(names, "entity", "left")
+    title = F.concat(F.col("n").cast("string"), F.lit(" new evidence item"), F.when(F.col("n") > 1, "s").otherwise(""), F.lit(": "), F.coalesce("name", "entity"))
+    out = rolled.select(F.lit("evidence").alias("type"), "at", title.alias("title"), F.lit(None).cast("string").alias("detail"), "entity")
+    for source in sources:
+        out = out.unionByName(inside(source).orderBy(F.desc("at"), "entity", "title").limit(each))
+    return out.orderBy(F.desc("at"), "type", "entity", "title").limit(newest)
+
+
+# What the feed calls the entries of the audit log.
+AUDIT_LABELS = {
+    "action_item.create": "Sent to action backlog", "action_item.update": "Action updated", "connection.suppress": "Connection removed by analyst", "entity_note.create": "Analyst note added",
+    "entity_note.update": "Analyst note updated", "entity_note.delete": "Analyst note deleted", "lead.exclude": "Lead excluded", "lead.restore": "Lead restored",
+}
+
+
+@query(f"""
+WITH w AS (SELECT 'wealth' AS type, TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 60 AS INTEGER)) AS "at", 'New wealth estimate: ' || name AS title, 'Band ' || replace(band, '_', '-') AS detail, person AS entity FROM customer JOIN people ON person = 'p:' || c_custkey),
+k AS (SELECT 'connection' AS type, TIMESTAMP '2024-01-01' + to_days(CAST(CAST(substr(a, 3) AS BIGINT) % 60 AS INTEGER)) AS "at", 'New connection: ' || p.name || ' - ' || q.name AS title, CAST(NULL AS VARCHAR) AS detail, a AS entity FROM pairs JOIN people p ON p.person = a JOIN people q ON q.person = b),
+u AS (SELECT *, CASE o_orderkey % 9 {" ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(AUDIT_LABELS))} ELSE 'login' END AS action FROM orders),
+t AS (SELECT 'analyst' AS type, TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 60 AS INTEGER)) + to_seconds(CAST(o_orderkey % 3600 AS INTEGER)) AS "at", CASE action {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in AUDIT_LABELS.items())} ELSE action END || ': ' || name AS title, o_orderpriority AS detail, person AS entity FROM u JOIN people ON person = 'p:' || o_custkey),
+e AS (SELECT 'evidence' AS type, max(created_at) AS "at", count(*) || ' new evidence item' || CASE WHEN count(*) > 1 THEN 's' ELSE '' END || ': ' || coalesce(any_value(name), person) AS title, CAST(NULL AS VARCHAR) AS detail, person AS entity FROM evidence LEFT JOIN people USING (person) WHERE created_at >= TIMESTAMP '2024-01-24' AND created_at < TIMESTAMP '2024-01-31' GROUP BY person),
+s AS (SELECT * FROM (SELECT * FROM w UNION ALL SELECT * FROM k UNION ALL SELECT * FROM t) WHERE "at" >= TIMESTAMP '2024-01-24' AND "at" < TIMESTAMP '2024-01-31' QUALIFY row_number() OVER (PARTITION BY type ORDER BY "at" DESC, entity, title) <= 300)
+SELECT * FROM (SELECT * FROM e UNION ALL SELECT * FROM s) ORDER BY "at" DESC, type, entity, title LIMIT 500""")
+def A26_J10_feed_union(spark, d):
+    who = X.people(spark, d)
+    names = who.select(F.col("person").alias("entity"), "name")
+    at = lambda n: F.timestamp_add("DAY", (n % 60).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    item = lambda kind, when, title, detail, entity: (F.lit(kind).alias("type"), when.alias("at"), title.alias("title"), detail.alias("detail"), F.col(entity).alias("entity"))
+    wealth = who.select(*item("wealth", at(F.substring("person", 3, 20).cast("long")), F.concat(F.lit("New wealth estimate: "), "name"), F.concat(F.lit("Band "), F.translate("band", "_", "-")), "person"))
+    ends = pairs(spark, d).join(names.select(F.col("entity").alias("a"), F.col("name").alias("an")), "a").join(names.select(F.col("entity").alias("b"), F.col("name").alias("bn")), "b")
+    links = ends.select(*item("connection", at(F.substring("a", 3, 20).cast("long")), F.concat(F.lit("New connection: "), "an", F.lit(" - "), "bn"), F.lit(None).cast("string"), "a"))
+    log = X.table(spark, d, "orders").withColumn("person", X.pid("o_custkey")).join(who.select("person", "name"), "person")
+    nth = (F.col("o_orderkey") % 9).cast("int")
+    action = F.coalesce(F.get(F.array(*[F.lit(a) for a in AUDIT_LABELS]), nth), F.lit("login"))
+    label = F.coalesce(*[F.when(F.col("action") == a, b) for a, b in AUDIT_LABELS.items()], F.col("action"))
+    when = F.timestamp_add("SECOND", (F.col("o_orderkey") % 3600).cast("int"), at(F.col("o_orderkey")))
+    audit = log.withColumn("action", action).select(*item("analyst", when, F.concat(label, F.lit(": "), "name"), F.col("o_orderpriority"), "person"))
+    proofs = X.evidence(spark, d).select(F.col("person").alias("entity"), F.col("created_at").alias("at"))
+    return feed([wealth, links, audit], proofs, names, "2024-01-24", "2024-01-31")
