@@ -1,7 +1,8 @@
 """SimHash near-dedup at a similarity of shingle sets: BK-trees over the fingerprints of shards, the sets decide.
 
 At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in 10 bits on average and in up to 24. No choice of bit blocks shards for such a radius (of 26
-blocks two would have to agree, five bits), so shards hold texts with an equal minimum of hashes instead: a text goes to 32 of them.
+blocks two would have to agree, five bits), so shards hold texts with an equal minimum of hashes instead: a text goes to 32 of them. What those leave open
+is sharded by the rarest shingles of the sets, which a passage common to many different texts isn't among.
 """
 
 from __future__ import annotations
@@ -93,40 +94,80 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("_i") >= least * (F.size("ga") + F.size("gb") - F.col("_i")) - 1e-9).select("a", "b")
 
 
-def tree_pairs(members: DataFrame, radius: int, least: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes within the radius, from members(key, node, n, print, class, top): a shard is the rows of one key.
+def prefixes(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(key, at, node, n, print, class): the grams among the first n - least * n + 1 of each set, rarest first, that another set of open_(node, n, print, class) has too.
 
-    Each shard gets a BK-tree over its fingerprints, which its nodes outside the class `top` ask; a pair inside no class is met once.
+    at: the gram's place in that order. Two sets of similarity `least` have one of these grams in common.
     """
-    placed = members.select("key", "node", "n", "print", "class", "top").repartition("key").sortWithinPartitions("key", "node")
+    each = open_.select("node").join(sets.hint("merge"), "node").select("node", F.explode("grams").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
+    shared = each.join(often.hint("merge"), "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("grams"))
+    alone = F.col("n") - F.size("grams")
+    first = F.slice("grams", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(least * F.col("n") - 1e-9).cast("int") + 1 - alone))
+    placed = open_.join(shared.hint("merge"), "node").select("node", "n", "print", "class", alone.alias("alone"), F.posexplode(first).alias("i", "gram"))
+    return placed.select(F.col("gram.key").alias("key"), (F.col("alone") + F.col("i")).alias("at"), "node", "n", "print", "class")
 
-    def shard(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, node, n, fingerprint, own, top = rows.T
-        values, where = np.unique(fingerprint.view(np.uint64), return_inverse=True)
+
+def tree_pairs(members: DataFrame, radius: int, least: float, most: int = 20_000) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes within the radius, from members(key, at, node, n, print, class): a shard is the rows of one key.
+
+    Each shard gets a BK-tree over its fingerprints, which its nodes outside its largest class ask. A pair also needs sizes that fit, and enough grams from
+    the key on to reach the similarity. A shard of more than `most` nodes is dealt into blocks, and each two blocks are a shard of their own.
+    """
+    large = saved(members.groupBy("key").agg(F.count("*").alias("_m")).where(F.col("_m") > most).select(F.col("key").alias("_k"), F.ceil(F.col("_m") / most).alias("_blocks")))
+    if large.isEmpty():
+        dealt = members.withColumn("pair", F.lit(0).cast("long"))
+    else:
+        own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
+        two = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda other: F.least(own, other) * F.col("_blocks") + F.greatest(own, other))
+        sized = members.join(large, F.col("key") == F.col("_k"), "left")
+        dealt = sized.withColumn("pair", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(two)))
+    placed = dealt.select("key", "pair", "at", "node", "n", "print", "class").repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, m = x[:, 4], y[:, 4]
+        return (x[:, 6] != y[:, 6]) & (n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (np.minimum(n - x[:, 2], m - y[:, 2]) >= least / (1 + least) * (n + m) - 1e-9)
+
+    def shard(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fingerprint, own = np.ascontiguousarray(rows[:, 5]).view(np.uint64), rows[:, 6]
+        values, where = np.unique(fingerprint, return_inverse=True)
         order = np.argsort(where, kind="stable")
         ends = np.concatenate([[0], np.cumsum(np.bincount(where))])
-        asking = np.flatnonzero(own != top)
+        classes, sizes = np.unique(own, return_counts=True)
+        asking = np.flatnonzero(own != classes[sizes.argmax()])
         at_value = {int(v): order[ends[i] : ends[i + 1]] for i, v in enumerate(values)}
-        a, b = [], []
-        for value, near in BKTree(values).walk(fingerprint.view(np.uint64)[asking], radius):
+        for value, near in BKTree(values).walk(fingerprint[asking], radius):
             for i in at_value[int(value)].tolist():
                 j = asking[near]
-                j = j[(own[j] != own[i]) & ((own[i] == top[i]) | (node[j] < node[i])) & (n[j] >= least * n[i] - 1e-9) & (n[i] >= least * n[j] - 1e-9)]
-                a.append(np.minimum(node[j], node[i]))
-                b.append(np.maximum(node[j], node[i]))
-        return np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
+                j = j[fits(rows[j], rows[i : i + 1])]
+                yield np.minimum(rows[j, 3], rows[i, 3]), np.maximum(rows[j, 3], rows[i, 3])
+
+    def pairs(rows: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sizes = np.diff(np.append(starts, len(rows)))
+        mixed = np.minimum.reduceat(rows[:, 6], starts) < np.maximum.reduceat(rows[:, 6], starts)
+        # A tree of two nodes is one distance: all such shards at once.
+        x = starts[mixed & (sizes == 2)]
+        a, b = rows[x], rows[x + 1]
+        near = (np.bitwise_count(a[:, 5].view(np.uint64) ^ b[:, 5].view(np.uint64)) <= radius) & fits(a, b)
+        yield a[near, 3], b[near, 3]
+        for i in np.flatnonzero(mixed & (sizes > 2)).tolist():
+            yield from shard(rows[starts[i] : starts[i] + sizes[i]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(x) for x in shard(rows)], ["a", "b"])
-        held = np.empty((0, 6), np.int64)
+        held = np.empty((0, 7), np.int64)
+
+        def out(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+            found = list(pairs(rows, starts))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *[p[k] for p in found]])) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)])
-            starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            rows = np.concatenate([held, np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(7)], axis=1)])
+            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
             held = rows[starts[-1] :]
-            for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                yield out(np.ascontiguousarray(rows[x:y]))
+            if len(starts) > 1:
+                yield out(rows[: starts[-1]], starts[:-1])
         if len(held):
-            yield out(np.ascontiguousarray(held))
+            yield out(held, np.array([0]))
 
     return placed.mapInArrow(run, "a long, b long")
 
@@ -134,19 +175,14 @@ def tree_pairs(members: DataFrame, radius: int, least: float) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """docs' id with node (long) and component_id, the smallest id reachable over pairs of texts whose sets of word shingles have a Jaccard similarity of at least `least`.
 
-    Equal sets are one node. Nodes of a shard whose fingerprints are within the radius are compared by their whole sets: first each with one hub,
-    the root of its shard's tree, so that a hot shard costs one comparison a member; then those that are still in different classes with another
-    hub, as long as that joins classes and more pairs are left than members; then a BK-tree of the shard finds all pairs of different
-    classes within the radius. So every pair of a shard within the radius is either in one class or has been compared. Texts without words, null ones too, are one node. Repeated rows stay and share their component; a null
+    Equal sets are one node. First the nodes of each MinHash shard whose fingerprints are within the radius of its hub's are compared with the hub by their
+    whole sets, so that a hot shard costs one comparison a member. The nodes of shards that are then still in several classes are sharded anew, by the rarest
+    grams of their sets; a BK-tree of each shard proposes the pairs of different classes within the radius, and the sets decide. Texts without words, null ones too, are one node. Repeated rows stay and share their component; a null
     id gets its component's smallest non-null id. An empty table stays empty.
     """
     return only_result(docs.sparkSession, lambda: classes_of(docs, id_col, shingle, least, radius))
 
 
-#: While the rows outside their shards' largest classes have more than so many others each to be compared with, they meet one hub a round.
-PAIRS_EACH = 32
-
-
 def classes_of(docs: DataFrame, id_col: str, shingle: int, least: float, radius: int) -> DataFrame:
     source = docs.select(F.col(id_col), "text", F.xxhash64("text").alias("_t"))
     prints = saved(with_bands(source, shingle).drop("text"))
@@ -165,42 +201,19 @@ def classes_of(docs: DataFrame, id_col: str, shingle: int, least: float, radius:
     fits = lambda hub: size_fits("n", f"{hub}.n") & (F.bit_count(F.col("print").bitwiseXOR(F.col(f"{hub}.print"))) <= radius)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = members.where((F.col("node") != F.col("hub.node")) & fits("hub")).select(*pair("node", "hub.node")).distinct()
-    tested = saved(star)
-    label = saved(components(saved(similar(tested, sets, least))))  # (node, component) of the linked nodes
-    named = members.select("key", "node", "n", "print").join(label.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left")
+    label = saved(components(saved(similar(saved(star), sets, least)))).withColumnRenamed("node", "_c")  # (node, component) of the linked nodes
+    named = members.select("key", "node", "n", "print").join(label, F.col("node") == F.col("_c"), "left")
     named = saved(named.select("key", "node", "n", "print", F.coalesce("component", "node").alias("class")))
-    moves, joined, last, round_ = [], 1, False, 0  # moves: (old, new) classes of each round
-    while not last:
-        parts = named.groupBy("key", "class").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "print")).alias("hub"))
-        split = saved(parts.groupBy("key").agg(F.max(F.struct("m", "class", "hub")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1"))
-        # Shards that are one class are done. Both ends of a pair of different classes can't be in the largest class of their shard.
-        open_ = named.join(split.hint("merge"), "key")
-        left = open_.where("class <> top.class")
-        size = left.agg(F.sum(F.col("m")).alias("pairs"), F.count("*").alias("rows")).first()
-        if not size["rows"]:
-            break
-        last = not joined or size["pairs"] <= PAIRS_EACH * size["rows"]
-        if last:
-            more = tree_pairs(open_.withColumn("top", F.col("top.class")), radius, least)
-        else:
-            more = left.where(fits("top.hub")).select(*pair("node", "top.hub.node"))
-        more = saved(more.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"))
-        found = similar(more, sets, least)
-        own = named.select(F.col("node").alias("_m"), F.col("class").alias("_k")).distinct()
-        ends = found.join(own.withColumnRenamed("_k", "ka"), F.col("a") == F.col("_m")).drop("_m").join(own.withColumnRenamed("_k", "kb"), F.col("b") == F.col("_m"))
-        links = saved(ends.where("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct())
-        joined, round_ = links.count(), round_ + 1
-        if joined:
-            moves.append(saved(components(links).select(F.col("node").alias("_old"), F.col("component").alias("_new"))))
-        if not last:
-            tested = tested.unionByName(more)
-            moved = open_.join(moves[-1], F.col("class") == F.col("_old"), "left") if joined else open_.withColumn("_new", F.lit(None).cast("long"))
-            named = saved(moved.select("key", "node", "n", "print", F.coalesce("_new", "class").alias("class")))
-
-    member = nodes.join(label.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left").select("node", "least", F.coalesce("component", "node").alias("class"))
-    for move in moves:
-        member = member.join(move, F.col("class") == F.col("_old"), "left").select("node", "least", F.coalesce("_new", "class").alias("class"))
-    member = saved(member)
+    # Shards that are one class are done.
+    split = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("key")
+    open_ = saved(named.join(split.hint("merge"), "key", "left_semi").select("node", "n", "print", "class").distinct())
+    more = saved(tree_pairs(saved(prefixes(open_, sets, least)), radius, least).distinct())
+    own = open_.select(F.col("node").alias("_m"), F.col("class").alias("_k"))
+    ends = similar(more, sets, least).join(own.withColumnRenamed("_k", "ka"), F.col("a") == F.col("_m")).drop("_m").join(own.withColumnRenamed("_k", "kb"), F.col("b") == F.col("_m"))
+    move = components(saved(ends.select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct())).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+
+    member = nodes.join(label, F.col("node") == F.col("_c"), "left").select("node", "least", F.coalesce("component", "node").alias("class"))
+    member = saved(member.join(move, F.col("class") == F.col("_old"), "left").select("node", "least", F.coalesce("_new", "class").alias("class")))
     lowest = member.groupBy(F.col("class").alias("_k")).agg(F.min("least").alias("component_id"))
     every = member.join(lowest, F.col("class") == F.col("_k")).select(F.col("node").alias("_f"), "component_id")
     return prints.join(every, F.col("node") == F.col("_f")).select(id_col, "node", "component_id")
