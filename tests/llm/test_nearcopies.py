@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from tieweave.llm import nearcopies
 
 
 def shingles(text):
@@ -52,3 +53,13 @@ def test_edits_chains_and_a_hot_group(spark, sf):
     out = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), sf)
     want = brute_kept(rows)
     assert sorted(r["doc_id"] for r in out.collect()) == want and len(want) < len(rows) - 60
+
+
+def test_a_large_shard_is_dealt_into_pairs_of_blocks(spark):
+    rows = [(k % 2, k % 3, 100 + k, 20 + k % 2, k * k % 64, k % 5) for k in range(40)]
+    members = spark.createDataFrame(rows, "key long, at int, node long, n int, print long, class long")
+    pairs = lambda most: sorted(map(tuple, nearcopies.tree_pairs(members, 4, 0.8, most).distinct().collect()))
+    meets = lambda x, y: x[0] == y[0] and x[5] != y[5] and (x[4] ^ y[4]).bit_count() <= 4 and 1.8 * min(x[3] - x[1], y[3] - y[1]) >= 0.8 * (x[3] + y[3])
+    want = {(x[2], y[2]): (x, y) for x, y in combinations(rows, 2) if meets(x, y)}
+    # Those of a shard's largest class don't ask, but are met by all that do.
+    assert pairs(20_000) == pairs(3) == sorted(want) and len(want) > 50
