@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,10 +62,20 @@ def with_columns_of_text(
             for a, b in slices(values[0], slice_chars):
                 made = [pa.array(x, k) for x, k in zip(work(*[v[a:b] for v in values]), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(keep)], *made], [*keep, *fields.names])
+        batch = values = made = None
+        give_back()
 
     return source.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system, where the C library can do that."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: What a worker keeps over its tasks: one thing at a time, so that the operators of a pipeline don't add up.
 KEPT: dict = {}
 
@@ -72,6 +84,7 @@ def kept(key: str, build: Callable):
     """What build() gave when this worker last asked for key; anything else that was kept goes."""
     if key not in KEPT:
         KEPT.clear()
+        give_back()
         KEPT[key] = build()
     return KEPT[key]
 
