@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tieweave.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, suffix, tokens, toxicity
+from tieweave.llm import chat, clustering, counts, decontaminate, langid, mixing, quality, search, secrets, simhash, suffix, tokens, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secrets": secrets.op10_secrets,
+        "op11_search": search.op11_search,
+        "op12_clustering": clustering.op12_clustering,
+        "op13_token_counts": counts.op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.OP5_SQL, "op6_chat": chat.OP6_SQL}
+    return {"op5_mixing": mixing.OP5_SQL, "op6_chat": chat.OP6_SQL, "op11_search": search.OP11_SQL, "op12_clustering": clustering.op12_sql()}
