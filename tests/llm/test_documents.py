@@ -53,6 +53,16 @@ def test_tokens_odd(spark, odd):
     assert tokens.encode_documents(odd.limit(0)).count() == 0
 
 
+def test_tokens_special_strings_in_capitals(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a<|ENDOFTEXT|>b C", "x <|endoftext|> Y<|StartOfText|>", "plain Words", "<|startoftext|>"]
+    out = tokens.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [list(tokens.ids_of(r["ids"], 4)) for r in out] == [[*model.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_coder_parts_and_checksum():
     import numpy as np
 

@@ -22,7 +22,19 @@ __all__ = ["bucketed", "only_result", "saved", "shared_folder"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a batch for Python workers. Spark's default of 10,000 holds whole texts several times over outside the heap; workers cut batches into slices anyway.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows of a batch to BATCH_ROWS unless they are fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -48,6 +60,7 @@ def with_columns_of_text(
     new = {f.name.lower() for f in fields}
     keep = [c for c in df.columns if c.lower() not in new]
     read = [c for c in inputs if c not in keep]
+    small_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in [*keep, *read]])
     schema = T.StructType([*source.schema.fields[: len(keep)], *fields.fields])
     kinds = [to_arrow_type(f.dataType) for f in fields]

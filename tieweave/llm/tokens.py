@@ -35,12 +35,14 @@ SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 class Pieces(dict):
     """Piece -> its ids as bytes. Once `most` are held, further ones are encoded each time; the frequent ones came early."""
 
-    def __init__(self, tokenizer: str, kind: str, most: int = 300_000):
+    def __init__(self, tokenizer: str, end_id: int, most: int = 200_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.kind, self.most, self.model = kind, most, Tokenizer.from_file(tokenizer)
+        self.most, self.model = most, Tokenizer.from_file(tokenizer)
+        self.kind = "H" if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
+        self.added = [t.content.lower() for t in self.model.get_added_tokens_decoder().values()]
         self.parts = self.model.model.tokenize
         spelled = {b: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0] for b in range(128)}
         two = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
@@ -72,17 +74,15 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def make() -> Callable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-        def load() -> Pieces:
-            from tokenizers import Tokenizer
-
-            small = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16
-            return Pieces(tokenizer, "H" if small else "I")
-
-        pieces = kept(f"pieces of {tokenizer}", load)
+        pieces = kept(f"pieces of {tokenizer}, {end_id}", lambda: Pieces(tokenizer, end_id))
         kind = np.dtype("<u2" if pieces.kind == "H" else "<u4")
 
         def work(texts: pa.Array) -> list:
-            lines = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
+            texts = pc.fill_null(texts, "")
+            lower = pc.ascii_lower(texts)
+            # A special string in capitals isn't one: the library looks for them before it lower-cases.
+            odd = any(pc.any(pc.match_substring(lower, a)).as_py() for a in pieces.added)
+            lines = pc.replace_substring(texts if odd else lower, "\n", " ")
             split = pc.split_pattern(lines, " ")
             words = pc.dictionary_encode(split.flatten())
             known = [pieces[w] for w in words.dictionary.to_pylist()]

@@ -351,7 +351,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         return run
 
-    return with_columns_of_text(docs, FIELDS, make, arrow=True)
+    return with_columns_of_text(docs, FIELDS, make, slice_chars=1_500_000, arrow=True)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
