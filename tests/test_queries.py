@@ -40,6 +40,6 @@ def test_against_sql(spark, sf, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in order) for r in found.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", ["R10_clusters", "D5_stratified_sample", "D7_chunks", "G11_betweenness"])
+@pytest.mark.parametrize("name", ["R10_clusters", "D6_gold_set", "G11_betweenness"])
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0

@@ -100,15 +100,85 @@ def D1_D2_types(spark, d):
     return X.table(spark, d, "documents").select("doc_id", kind.alias("type"))
 
 
-@query()
+YEAR = "2005 + CAST(substr(source, 4) AS INTEGER)"
+SHUFFLED = "row_number() OVER (PARTITION BY year ORDER BY md5('1:' || doc_id), doc_id)"
+
+
+def filings(spark, d):
+    """documents with a year, from the number of their source."""
+    return X.table(spark, d, "documents").select("doc_id", F.expr(YEAR.replace("INTEGER", "INT")).alias("year"))
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, {YEAR} AS year FROM documents), n AS (SELECT year, count(*) AS n FROM x GROUP BY 1),
+s AS (SELECT year, n, least(greatest(1, CAST(floor(n * 100 / sum(n) OVER () + 0.5) AS BIGINT)), n) AS share, lead(year) OVER (ORDER BY year NULLS FIRST) IS NULL AND row_number() OVER (ORDER BY year NULLS FIRST) = count(*) OVER () AS final FROM n),
+q AS (SELECT year, greatest(0, least(CASE WHEN final THEN n ELSE share END, 100 - coalesce(sum(share) OVER (ORDER BY year NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS quota FROM s)
+SELECT doc_id, x.year FROM (SELECT *, {SHUFFLED} AS r FROM x) x JOIN q ON x.year IS NOT DISTINCT FROM q.year WHERE r <= quota""")
 def D5_stratified_sample(spark, d):
-    docs = X.table(spark, d, "documents").select("doc_id", "lang")
-    return D.stratified_sample(docs, "lang", "doc_id", 100)
+    """100 documents by year; the last year takes what rounding leaves."""
+    return D.stratified_sample(filings(spark, d), "year", "doc_id", 100)
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, {YEAR} AS year FROM documents), n AS (SELECT year, count(*) AS n, count(*) OVER () AS k, sum(count(*)) OVER () AS every FROM x GROUP BY 1),
+f AS (SELECT *, (107 - k) * (n - 1) // (every - k) AS low, (107 - k) * (n - 1) % (every - k) AS over FROM n),
+q AS (SELECT year, 1 + low + CASE WHEN row_number() OVER (ORDER BY over DESC, year NULLS FIRST) <= 107 - k - sum(low) OVER () THEN 1 ELSE 0 END AS quota FROM f)
+SELECT doc_id, x.year FROM (SELECT *, {SHUFFLED} AS r FROM x) x JOIN q ON x.year IS NOT DISTINCT FROM q.year WHERE r <= quota""")
+def D5_largest_remainder(spark, d):
+    """107 documents, at least one of each year and the others in proportion by largest remainders."""
+    return D.stratified_sample(filings(spark, d), "year", "doc_id", 107, rule="largest_remainder")
 
 
 @query()
+def D6_gold_set(spark, d):
+    """100 documents by the quotas of a gold set: year from the source, size class from the length, type as in D2, density from the labels (documents without one come last)."""
+    t = X.table(spark, d, "documents")
+    heading = F.element_at(F.array(*[F.lit(h) for h in HEADINGS]), (F.col("doc_id") % 8 + 1).cast("int"))
+    year = F.lit(2019) + (F.substring("source", 4, 4).cast("int") % 7)
+    docs = t.select("doc_id", year.alias("year"), D.size_class(F.col("n_chars"), 1000, 3000).alias("class"), F.substring("text", 1, 200).alias("content"), F.concat(heading, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    marks = X.table(spark, d, "labels").groupBy(F.col("doc_id").alias("_d")).agg(F.max(2 * F.col("quality") + F.col("toxic")).alias("density"))
+    typed = D.document_type(docs).join(marks, F.col("doc_id") == F.col("_d"), "left")
+    return D.quota_sample(typed.select("doc_id", "year", "class", "density", "type", "content"))
+
+
+def sectioned(text):
+    """Texts with a heading where a line begins with A to Z, by its letter, and a blank line behind every sentence, because the given ones have neither."""
+    out = F.replace(text, F.lit(". "), F.lit(".\n\n"))
+    for letters, marks in (("A-F", "#"), ("G-M", "##"), ("N-Z", "###")):
+        out = F.regexp_replace(out, rf"(^|\n)([{letters}])", rf"$1{marks} $2")
+    return out
+
+
+def sectioned_sql() -> str:
+    out = "replace(text, '. ', '.' || chr(10) || chr(10))"
+    for letters, marks in (("A-F", "#"), ("G-M", "##"), ("N-Z", "###")):
+        out = rf"regexp_replace({out}, '(^|\n)([{letters}])', '\1{marks} \2', 'g')"
+    return out
+
+
+@query(rf"""
+WITH RECURSIVE x AS (SELECT doc_id, {sectioned_sql()} AS t FROM documents WHERE text IS NOT NULL),
+ln AS (SELECT doc_id, i, l[i] AS line, len(l) AS n FROM (SELECT doc_id, string_split(t, chr(10)) AS l, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM x)),
+h AS (SELECT *, length(regexp_extract(line, '^(#{{1,6}})\s+\S', 1)) AS level, regexp_replace(regexp_extract(line, '^#{{1,6}}\s+(\S.*)', 1), '\s+$', '') AS title,
+  coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ln),
+s AS (SELECT *, sum(CASE WHEN i = 1 OR level > 0 THEN 1 ELSE 0 END) OVER w AS sec, {", ".join(f"max(CASE WHEN level = {k} THEN i END) OVER w AS p{k}, max(CASE WHEN level BETWEEN 1 AND {k - 1} THEN i END) OVER w AS q{k}, arg_max(title, CASE WHEN level = {k} THEN i END) OVER w AS t{k}" for k in (1, 2, 3))} FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, list_filter([{", ".join(f"CASE WHEN p{k} > coalesce(q{k}, 0) THEN t{k} END" for k in (1, 2, 3))}], lambda z: z IS NOT NULL) AS path, row_number() OVER v AS r, lag(line) OVER v AS before, count(*) OVER (PARTITION BY doc_id, sec) AS m FROM s WINDOW v AS (PARTITION BY doc_id, sec ORDER BY i)),
+c AS (SELECT doc_id, sec, first(path ORDER BY i) AS path, min(b) AS b, string_agg(line, chr(10) ORDER BY i) AS text FROM g GROUP BY 1, 2),
+f AS (SELECT *, sum(CASE WHEN r > 2 AND before = '' AND line <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sec ORDER BY i) AS piece FROM g WHERE (doc_id, sec) IN (SELECT (doc_id, sec) FROM c WHERE length(text) > 400)),
+p0 AS (SELECT doc_id, sec, piece, min(b) AS b, string_agg(line, chr(10) ORDER BY i) || CASE WHEN max(r) < any_value(m) THEN chr(10) ELSE '' END AS t FROM f GROUP BY 1, 2, 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sec ORDER BY piece) AS k, regexp_replace(t, '
+
++\z', '') AS inner_t FROM p0),
+z(doc_id, sec, k, part, used) AS (SELECT doc_id, sec, 1::BIGINT, 0, length(t)::BIGINT FROM p WHERE k = 1
+  UNION ALL SELECT p.doc_id, p.sec, p.k, CASE WHEN used + length(inner_t) > 400 THEN part + 1 ELSE part END, CASE WHEN used + length(inner_t) > 400 THEN length(t) ELSE used + length(t) END FROM z JOIN p ON p.doc_id = z.doc_id AND p.sec = z.sec AND p.k = z.k + 1),
+parts AS (SELECT doc_id, sec, path, 0 AS part, b, text FROM c WHERE length(text) <= 400
+  UNION ALL SELECT doc_id, sec, any_value(path), part, min(b), regexp_replace(string_agg(t, '' ORDER BY k), '
+
++\z', '') FROM (SELECT z.doc_id, z.sec, c.path, z.part, z.k, p.b, p.t FROM z JOIN p USING (doc_id, sec, k) JOIN c USING (doc_id, sec)) GROUP BY 1, 2, 4)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, part) - 1 AS chunk, array_to_string(path, ' > ') AS headings, CAST(b AS BIGINT) AS start, CAST(b + strlen(text) AS BIGINT) AS "end", text FROM parts""")
 def D7_chunks(spark, d):
-    return D.chunks(X.table(spark, d, "documents").select("doc_id", "text"))
+    docs = X.table(spark, d, "documents").select("doc_id", sectioned(F.col("text")).alias("text"))
+    return D.chunks(docs, tokens=100).withColumn("headings", F.array_join("headings", " > "))
 
 
 @query("SELECT kind, lower(trim(org)) AS value, count(DISTINCT doc) AS documents, count(*) AS n, arg_min(org, n) AS spelling FROM mentions GROUP BY 1, 2")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tieweave.functions import columns as C
 from tieweave.operators import graph as G
+from tieweave.operators import paths as P
 from tieweave.operators.components import components, saved
 from tieweave.plans.base import query
 from tieweave.sources import fixtures as X
@@ -236,6 +237,78 @@ def G28_G31_path_scores(spark, d):
     return out.select("seed", "candidate", "paths", F.round(F.col("top") + 1e-10, 6).alias("strongest"), F.round(F.col("top") + 0.25 * F.log(F.col("paths").cast("double")) + 1e-10, 6).alias("path_score"))
 
 
+def typed_graph(spark, d):
+    """(nodes, edges): people, charities (even parts), companies (odd ones) and donations, with the edges of relationships and two for each donation, to the part of its first line."""
+    even = F.expr("cast(substr(company, 3) as bigint) % 2 = 0")
+    first = X.lines(spark, d).where("l_linenumber = 1").select(F.concat(F.lit("d:"), F.col("l_orderkey").cast("string")).alias("donation"), X.cid("l_partkey").alias("recipient"))
+    gifts = X.donations(spark, d)
+    nodes = X.people(spark, d).select(F.col("person").alias("id"), F.lit("person").alias("type")).unionByName(X.companies(spark, d).select(F.col("company").alias("id"), F.when(even, "charity").otherwise("company").alias("type")))
+    nodes = nodes.unionByName(gifts.select(F.col("donation").alias("id"), F.lit("donation_event").alias("type")))
+    sure = F.least(F.lit(1.0), 0.5 + F.col("amount") / 1e6)
+    rows = gifts.join(first, "donation").withColumn("confidence", sure)
+    made = rows.select(F.col("donor").alias("src"), F.col("donation").alias("dst"), F.lit("MADE_DONATION").alias("kind"), F.lit(0.9).alias("weight"), "confidence")
+    got = rows.select(F.col("donation").alias("src"), F.col("recipient").alias("dst"), F.lit("RECEIVED_BY").alias("kind"), F.lit(0.8).alias("weight"), "confidence")
+    edges = G.build_edges(X.relationships(spark, d)).where("reason is null").select("src", "dst", "kind", "weight", "confidence")
+    return nodes, edges.unionByName(made).unionByName(got)
+
+
+def typed_paths(spark, d, edges, to_people=False):
+    """Paths, all or those that end at a person, from every supporter: to what they are linked with, over that to its people, and over their donations to the recipients' people; and from every recipient of
+    a donation over its people to what these are linked with."""
+    pair = saved(edges.select("src", "dst", "kind").where("src like 'p:%' and dst like 'c:%'").select("src", "dst").distinct())
+    gift = edges.where("kind = 'RECEIVED_BY'").select(F.col("src").alias("gift"), F.col("dst").alias("to"))
+    who = seeds(spark, d).select(F.col("node").alias("src"))
+    one = pair.join(who, "src", "left_semi").select(F.array("src", "dst").alias("path"), "src", "dst")
+    back = pair.select(F.col("src").alias("p"), F.col("dst").alias("c"))
+    two = one.join(back, (F.col("dst") == F.col("c")) & (F.col("src") != F.col("p"))).select(F.array("src", "dst", "p").alias("path"))
+    made = edges.where("kind = 'MADE_DONATION'").join(who, "src", "left_semi").select("src", F.col("dst").alias("gift"))
+    three = made.join(gift, "gift").join(back, (F.col("to") == F.col("c")) & (F.col("src") != F.col("p"))).select(F.array("src", "gift", "to", "p").alias("path"))
+    if to_people:
+        return two.unionByName(three).distinct()
+    starts = made.join(gift, "gift").select(F.col("to").alias("c")).distinct()
+    bridge = starts.join(back, "c").join(pair, F.col("p") == F.col("src")).where("c <> dst").select(F.array("c", "p", "dst").alias("path"))
+    return one.select("path").unionByName(two).unionByName(three).unionByName(bridge).distinct()
+
+
+TYPED = """
+gifts AS (SELECT g.donation, g.donor, 'c:' || l.l_partkey AS recipient, least(1.0, 0.5 + amount / 1e6) AS confidence FROM donations g JOIN (SELECT * FROM lines WHERE l_linenumber = 1) l ON g.donation = 'd:' || l.l_orderkey),
+every AS (SELECT src, dst, kind, weight, confidence FROM edges UNION ALL SELECT donor, donation, 'MADE_DONATION', 0.9, confidence FROM gifts UNION ALL SELECT donation, recipient, 'RECEIVED_BY', 0.8, confidence FROM gifts),
+pr AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges), sup AS (SELECT person FROM people WHERE supporter), mine AS (SELECT pr.* FROM pr JOIN sup ON sup.person = pr.src), given AS (SELECT g.* FROM gifts g JOIN sup ON sup.person = g.donor),
+paths AS (SELECT [src, dst] AS path FROM mine UNION ALL SELECT [m.src, m.dst, p.src] FROM mine m JOIN pr p ON p.dst = m.dst AND p.src <> m.src
+  UNION ALL SELECT [g.donor, g.donation, g.recipient, p.src] FROM given g JOIN pr p ON p.dst = g.recipient AND p.src <> g.donor
+  UNION ALL SELECT [x.c, p.src, q.dst] FROM (SELECT DISTINCT recipient AS c FROM given) x JOIN pr p ON p.dst = x.c JOIN pr q ON q.src = p.src AND q.dst <> x.c),
+best AS MATERIALIZED (SELECT src, dst, max([weight, confidence]) AS b, list(DISTINCT kind) AS kinds FROM every GROUP BY 1, 2),
+hops AS (SELECT path, i, path[i] AS a, path[i + 1] AS b, CASE path[i + 1][1] WHEN 'p' THEN 'person' WHEN 'd' THEN 'donation_event' ELSE CASE WHEN CAST(path[i + 1][3:] AS BIGINT) % 2 = 0 THEN 'charity' ELSE 'company' END END AS type FROM (SELECT path, unnest(range(1, len(path))) AS i FROM paths)),
+seen AS (SELECT h.*, coalesce(f.b, r.b, [0, 0]) AS w, coalesce(f.kinds, []) AS fk, coalesce(r.kinds, []) AS rk FROM hops h LEFT JOIN best f ON f.src = h.a AND f.dst = h.b LEFT JOIN best r ON r.src = h.b AND r.dst = h.a),
+sums AS (SELECT path, count(*) AS n, avg(w[1]) AS weight, avg(w[2]) AS confidence, bool_and(CASE i WHEN 1 THEN type = 'charity' AND list_contains(fk, 'TRUSTEE_OF') WHEN 2 THEN type = 'person' AND list_contains(rk, 'TRUSTEE_OF') ELSE false END) AS t1,
+  bool_and(CASE i WHEN 1 THEN type = 'donation_event' AND list_contains(fk, 'MADE_DONATION') WHEN 2 THEN type = 'charity' AND list_contains(fk, 'RECEIVED_BY') WHEN 3 THEN type = 'person' AND list_contains(rk, 'TRUSTEE_OF') END) AS t2,
+  bool_and(CASE i WHEN 1 THEN type = 'person' AND list_contains(rk, 'DIRECTOR_OF') WHEN 2 THEN type = 'charity' AND list_contains(fk, 'TRUSTEE_OF') ELSE false END) AS t3, array_to_string(list(round(w[1], 9) ORDER BY i), ',') AS weights FROM seen GROUP BY path),
+scored AS (SELECT *, CASE WHEN n = 2 AND t1 THEN 'trustee_co_service' WHEN n = 3 AND t2 THEN 'donation_chain' WHEN n = 2 AND t3 THEN 'director_trustee_bridge' END AS template FROM sums),
+rated AS (SELECT path, n, weight, confidence, template, CASE template WHEN 'trustee_co_service' THEN 1.0 WHEN 'donation_chain' THEN 0.85 WHEN 'director_trustee_bridge' THEN 0.9 ELSE 0.5 END * weight * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 0.85 ELSE 0.65 END * confidence AS s, round(s + 1e-11, 9) AS score FROM scored)"""
+
+
+@query(f"WITH {TYPED} SELECT array_to_string(path, '>') AS path, template, round(weight + 1e-11, 9) AS weight, round(confidence + 1e-11, 9) AS confidence, score FROM rated")
+def G28_G29_G30_path_templates(spark, d):
+    """Paths of one to three hops with the mean of their edges' weights and confidences, the first template that they follow and their score."""
+    nodes, edges = typed_graph(spark, d)
+    edges = saved(edges)
+    mean = lambda field: F.round(F.aggregate("hops", F.lit(0.0), lambda a, h: a + h[field]) / F.size("hops") + 1e-11, 9).alias(field)
+    out = P.score_paths(typed_paths(spark, d, edges), edges, nodes)
+    return out.select(F.array_join("path", ">").alias("path"), "template", mean("weight"), mean("confidence"), F.round(F.col("score") + 1e-11, 9).alias("score"))
+
+
+@query(f"""
+WITH {TYPED}, c AS (SELECT path[1] AS seed, path[-1] AS candidate, count(*) AS paths, max(score) + 0.25 * ln(count(*)) AS score, min((-score, path))[2] AS strongest, min((n, -score, path))[3] AS shortest FROM rated WHERE path[-1][1] = 'p' GROUP BY 1, 2)
+SELECT seed, candidate, paths, round(score + 1e-11, 6) AS score, array_to_string(strongest, '>') AS strongest, array_to_string(shortest, '>') AS shortest FROM c""")
+def G30_G31_candidate_scores(spark, d):
+    """Candidates of every supporter over all paths to them, with the strongest and the shortest one."""
+    nodes, edges = typed_graph(spark, d)
+    edges = saved(edges)
+    scored = P.score_paths(typed_paths(spark, d, edges, to_people=True), edges, nodes)
+    out = P.candidate_scores(scored.withColumn("score", F.round(F.col("score") + 1e-11, 9)))
+    return out.select("seed", "candidate", "paths", F.round(F.col("score") + 1e-11, 6).alias("score"), F.array_join("strongest", ">").alias("strongest"), F.array_join("shortest", ">").alias("shortest"))
+
+
 @query("""
 WITH mid AS (SELECT person, CASE band WHEN '100m_plus' THEN 100e6 WHEN '25m_100m' THEN 50e6 WHEN '5m_25m' THEN 12.5e6 WHEN '1m_5m' THEN 2.5e6 ELSE 0 END AS worth, band FROM people)
 SELECT s.a AS person, count(*) AS links, count(*) FILTER (m.band <> 'unknown') AS known, round(sum(m.worth), 2) AS network_worth, round(avg(m.worth), 2) AS mean_worth, round(any_value(o.worth) + sum(m.worth), 2) AS total

@@ -37,7 +37,7 @@ def G22_all_paths(spark, d):
 
 @query()
 def G22_picked_paths(spark, d):
-    return P.pick_paths(G22_all_paths(spark, d))
+    return P.pick_paths(saved(G22_all_paths(spark, d)))
 
 
 @query("""
@@ -48,12 +48,23 @@ def G8_institutions(spark, d):
     return m.groupBy(F.lower(F.trim("name")).alias("institution")).agg(F.min_by("name", "company").alias("spelling"), F.count_distinct("person").alias("members"))
 
 
-@query("""
-WITH RECURSIVE s AS (SELECT person AS node FROM people WHERE supporter AND nation = 1), b(node, root, hop) AS (
-  SELECT node, node, 0 FROM s UNION SELECT x.b, b.root, b.hop + 1 FROM b JOIN (SELECT a, b FROM sym) x ON x.a = b.node WHERE b.hop < 10)
-SELECT node, min(hop) AS hop, arg_min(root, (hop, root)) AS root FROM b GROUP BY 1""")
+def nearest_sql(levels: int = 9) -> str:
+    """Breadth-first search by levels, one table each."""
+    steps = ["l0 AS (SELECT person AS node, person AS root, CAST([] AS VARCHAR[]) AS via FROM people WHERE supporter)"]
+    for k in range(1, levels + 1):
+        via = "l.via" if k == 1 else "list_prepend(l.node, l.via)"
+        gone = " AND ".join(f"s.b NOT IN (SELECT node FROM l{j})" for j in range(k))
+        steps.append(f"l{k} AS MATERIALIZED (SELECT s.b AS node, min((l.root, {via})) AS best FROM l{k - 1}x l JOIN sym s ON s.a = l.node WHERE {gone} GROUP BY 1)")
+        steps.append(f"l{k}x AS (SELECT node, best[1] AS root, best[2] AS via FROM l{k})")
+    steps.insert(1, "l0x AS (SELECT * FROM l0)")
+    every = " UNION ALL ".join(f"SELECT node, {k} AS hop, root, array_to_string(via, '>') AS via FROM l{k}x" for k in range(levels + 1))
+    return f"WITH {', '.join(steps)} {every}"
+
+
+@query(nearest_sql())
 def G19_nearest_seed(spark, d):
-    return P.nearest_seed(pairs(spark, d), X.people(spark, d).where("supporter and nation = 1").select(F.col("person").alias("node")))
+    found = P.nearest_seed(pairs(spark, d), seeds(spark, d))
+    return found.withColumn("via", F.array_join("via", ">"))
 
 
 @query()
