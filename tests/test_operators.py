@@ -1,6 +1,7 @@
 """Operators on literals and by their properties."""
 
 import math
+import os
 import random
 from collections import defaultdict, deque
 
@@ -107,6 +108,71 @@ def test_components_and_reach(spark, graph):
     assert reach == {"n00": 0} | {x: 2 for v in near["n00"] for x in near[v] if x != "n00"} | {v: 1 for v in near["n00"]}
 
 
+def plain_ranks(edges, seed, dangling, alpha=0.85, rounds=300):
+    nodes = sorted({x for e in edges for x in e[:2]} | {seed})
+    at = {x: i for i, x in enumerate(nodes)}
+    out = [0.0] * len(nodes)
+    for a, _, w in edges:
+        out[at[a]] += w
+    x = [1 / len(nodes)] * len(nodes)
+    for _ in range(rounds):
+        y = [0.0] * len(nodes)
+        for a, b, w in edges:
+            y[at[b]] += x[at[a]] * w / out[at[a]]
+        lost = sum(v for v, o in zip(x, out, strict=True) if not o)
+        y = [alpha * (v + (lost / len(nodes) if dangling == "uniform" else lost * (n == seed))) + (1 - alpha) * (n == seed) for v, n in zip(y, nodes, strict=True)]
+        x = y
+    return dict(zip(nodes, x, strict=True))
+
+
+@pytest.mark.parametrize("dangling", ["uniform", "restart"])
+def test_page_rank_with_sinks_and_nothing_left_behind(spark, dangling):
+    edges = [("a", "b", 1.0), ("a", "c", 2.0), ("b", "c", 1.0), ("c", "a", 0.5), ("c", "sink", 0.5), ("b", "end", 1.0), ("d", "a", 3.0)]
+    frame = spark.createDataFrame(edges, "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a",), ("d",), ("alone",), (None,)], "seed string")
+    before = {t.name for t in spark.catalog.listTables()}
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    files = set(os.listdir(folder))
+    got = {(r["seed"], r["node"]): r["rank"] for r in G.page_rank(frame, seeds, tolerance=1e-12, rounds=200, dangling=dangling).collect()}
+    assert {t.name for t in spark.catalog.listTables()} == before and len(set(os.listdir(folder)) - files) == 1
+    nodes = {x for e in edges for x in e[:2]} | {"a", "d", "alone"}
+    for seed in ("a", "d", "alone"):
+        # every seed is a node of the graph
+        want = plain_ranks([*edges], seed, dangling) if dangling == "restart" else None
+        if want is None:
+            full = sorted(nodes)
+            at = {x: i for i, x in enumerate(full)}
+            out = [sum(w for a, _, w in edges if a == n) for n in full]
+            x = [1 / len(full)] * len(full)
+            for _ in range(300):
+                y = [0.0] * len(full)
+                for a, b, w in edges:
+                    y[at[b]] += x[at[a]] * w / out[at[a]]
+                lost = sum(v for v, o in zip(x, out, strict=True) if not o) / len(full)
+                x = [0.85 * (v + lost) + 0.15 * (n == seed) for v, n in zip(y, full, strict=True)]
+            want = dict(zip(full, x, strict=True))
+        for n in nodes:
+            assert got[seed, n] == pytest.approx(want.get(n, 0.0), abs=1e-7)
+
+
+def test_a_bucket_is_one_file_and_results_alone_stay(spark):
+    from tieweave.operators.components import bucketed, only_result, saved
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    seen = []
+
+    def make():
+        table = bucketed(spark.range(5000).selectExpr("id % 50 as k", "id").repartition(7), "k")
+        path = next(x for x in set(os.listdir(folder)) - before if x.startswith("tieweave_"))
+        seen.append(len([x for x in os.listdir(f"{folder}/{path}") if x.endswith(".parquet")]))
+        return saved(table.groupBy("k").count())
+
+    assert only_result(spark, make).count() == 50
+    assert seen[0] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(set(os.listdir(folder)) - before) == 1
+
+
 def test_page_rank(spark, graph):
     edges, frame = graph
     directed = frame.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(2.0).alias("weight"))
@@ -163,8 +229,8 @@ def test_clusters(spark):
 
 def test_chunks_keep_the_text(spark):
     text = "# one\nshort line\n" + "x" * 50 + "\n\nlast"
-    rows = D.chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"), most=30).orderBy("doc_id", "chunk").collect()
-    assert "".join(r["text"] for r in rows if r["doc_id"] == 1) == text
+    rows = D.chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"), tokens=30, chars_per_token=1).orderBy("doc_id", "chunk").collect()
+    assert "\n\n".join(r["text"] for r in rows if r["doc_id"] == 1) == text
     assert all(text[r["start"] :].startswith(r["text"]) for r in rows if r["doc_id"] == 1)
 
 

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,44 +23,54 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
-#: What saved() and bucketed() have written since only_result() began, innermost call last: paths, and names of tables.
-WRITTEN: list[list[tuple[str, str]]] = []
+#: What saved() and bucketed() have written since the innermost only_result() of this thread began: paths, and names of tables. None outside of one.
+WRITTEN: ContextVar[list[tuple[str, str]] | None] = ContextVar("written", default=None)
+
+
+def noted(kind: str, name: str) -> None:
+    own = WRITTEN.get()
+    if own is not None:
+        own.append((kind, name))
 
 
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, which cuts its lineage."""
     path = f"{shared_folder(df.sparkSession)}/tieweave-{uuid.uuid4().hex}"
+    noted("path", path)
     df.write.parquet(path)
-    if WRITTEN:
-        WRITTEN[-1].append(("path", path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """df written to a table of the warehouse with as many buckets as there are shuffle partitions: joins by the key read it without a shuffle."""
+def bucketed(df: DataFrame, key: str, dealt: bool = False) -> DataFrame:
+    """df as a table in the shared folder with as many buckets as there are shuffle partitions, a file each: joins by the key read it without a shuffle.
+
+    dealt: df was just grouped by the key, so the rows of a bucket are in one task already and aren't shuffled for it again.
+    """
     spark, name = df.sparkSession, f"tieweave_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name, format="parquet")
-    if WRITTEN:
-        WRITTEN[-1].append(("table", name))
+    path, n = f"{shared_folder(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    noted("table", name)
+    noted("path", path)
+    (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).option("path", path).saveAsTable(name, format="parquet")
     return spark.table(name)
 
 
 def only_result(spark, make: Callable[[], DataFrame]) -> DataFrame:
     """make(), written; all else that it wrote on its way is deleted."""
-    WRITTEN.append([])
     path = f"{shared_folder(spark)}/tieweave-{uuid.uuid4().hex}"
+    own: list[tuple[str, str]] = []
+    token = WRITTEN.set(own)
     try:
         out = make()
         out.write.parquet(path)
     finally:
-        for kind, name in WRITTEN.pop():
+        WRITTEN.reset(token)
+        for kind, name in own:
             if kind == "table":
                 spark.sql(f"DROP TABLE IF EXISTS {name}")
             else:
                 at = spark._jvm.org.apache.hadoop.fs.Path(name)
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    if WRITTEN:
-        WRITTEN[-1].append(("path", path))
+    noted("path", path)
     return spark.read.schema(out.schema).parquet(path)
 
 
@@ -67,8 +78,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node that is reachable.
 
     Alternating large-star and small-star steps until a round changes nothing; each is one grouped minimum and one join on the node. Edges with a
-    null end are left out; loops give a component of one. Each round is written to the shared folder.
+    null end are left out; loops give a component of one. Each round is written to the shared folder; the result alone stays there.
     """
+    return only_result(edges.sparkSession, lambda: star_rounds(edges))
+
+
+def star_rounds(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null")
     nodes = both.select(F.col("u").alias("node")).union(both.select("v")).distinct()
     now = saved(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

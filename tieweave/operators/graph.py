@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieweave.functions.columns import base_strength, freshness
-from tieweave.operators.components import bucketed, saved
+from tieweave.operators.components import bucketed, only_result, saved
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -123,51 +123,74 @@ def reach_from(pairs: DataFrame, sources: DataFrame, hops: int = 2) -> DataFrame
     return met
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, dangling: str = "uniform", check_every: int = 5, batch: int = 16) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, dangling: str = "uniform", every: int = 5, batch: int = 16) -> DataFrame:
     """(seed, node, rank): personalised PageRank over weighted edges(src, dst, weight), for seeds(seed), `batch` of them in one pass.
 
     A node's rank goes out in proportion to the weights; the rank of nodes without an edge out goes to all nodes alike ("uniform") or to the seed
-    ("restart"). Starts at 1 / n; stops when the L1 change of the seed that changes most is under tolerance, or after `rounds`.
-    The edges are laid out by src once and don't move again; the state is one row per node with a column for each seed of the batch.
+    ("restart"). Starts at 1 / n. Stops after `rounds`, or when the change over the last `every` rounds proves every seed as near to its end, in L1, as a change
+    under tolerance in one round would; tolerance 0 runs all rounds.
+
+    Edges are laid out by src once and don't move again; the state is a row per node with a column for each seed of the batch. `every` rounds are one job, a shuffle
+    of partial sums each, whose result is written. Rank that leaves through nodes without an edge out isn't sent round: one more column starts
+    from all nodes alike, and how much of it a seed gets follows from the sums at the end.
     """
+    if dangling not in ("uniform", "restart"):
+        raise ValueError(dangling)
+    return only_result(edges.sparkSession, lambda: ranked(edges, seeds, alpha, rounds, tolerance, dangling, every, batch))
+
+
+def ranked(edges: DataFrame, seeds: DataFrame, alpha: float, rounds: int, tolerance: float, dangling: str, every: int, batch: int) -> DataFrame:
     flat = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     total = flat.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("total"))
     out = bucketed(flat.join(total, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "src")
-    named = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(seeds.select("seed")).distinct()
+    named = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(seeds.select("seed")).where("node is not null").distinct()
     nodes = saved(named.join(total.select(F.col("s").alias("node"), F.lit(True).alias("open")), "node", "left").select("node", F.col("open").isNull().alias("sink")))
-    n = nodes.count()
-    every = [r["seed"] for r in seeds.select("seed").where("seed is not null").distinct().orderBy("seed").collect()]
+    size = nodes.agg(F.count("*").alias("n"), F.count_if("sink").alias("sinks")).first()
+    n = size["n"]
+    seeds_ = [r["seed"] for r in seeds.select("seed").where("seed is not null").distinct().orderBy("seed").collect()]
     found = nodes.select(F.col("node").alias("seed"), "node", F.lit(0.0).alias("rank")).limit(0)
-    for first in range(0, len(every), batch):
-        part = every[first : first + batch]
+    enough = tolerance * alpha / (1 - alpha)  # how far from the end a change under tolerance can be
+    for first in range(0, len(seeds_), batch):
+        part = seeds_[first : first + batch]
         ranks = [f"r{i}" for i in range(len(part))]
+        home = {r: F.when(F.col("node") == F.lit(s), 1 - alpha).otherwise(0.0) for r, s in zip(ranks, part, strict=True)}
+        if size["sinks"] and dangling == "uniform":
+            ranks, home = [*ranks, "u"], home | {"u": F.lit(1.0 / n)}
         state = nodes.select("node", "sink", *[F.lit(1.0 / n).alias(r) for r in ranks])
-        for i in range(1, rounds + 1):
-            moved = state.join(out, F.col("node") == F.col("src")).groupBy("dst").agg(*[F.sum(F.col(r) * F.col("share")).alias(f"{r}_got") for r in ranks])
-            lost = state.agg(*[F.coalesce(F.sum(F.when(F.col("sink"), F.col(r))), F.lit(0.0)).alias(f"{r}_lost") for r in ranks])
-            both = state.join(moved, F.col("node") == F.col("dst"), "left").join(F.broadcast(lost))  # lost is one row
-
-            def new(r: str, seed: str):
-                home = F.coalesce((F.col("node") == F.lit(seed)).cast("double"), F.lit(0.0))
-                spread = F.col(f"{r}_lost") / n if dangling == "uniform" else F.col(f"{r}_lost") * home
-                return alpha * (F.coalesce(f"{r}_got", F.lit(0.0)) + spread) + (1 - alpha) * home
-
-            step = [new(r, seed).alias(r) for r, seed in zip(ranks, part, strict=True)]
-            state = saved(both.select("node", "sink", *step, *[F.col(r).alias(f"{r}_old") for r in ranks]))
-            done = False
-            if not i % check_every:
-                change = state.agg(*[F.sum(F.abs(F.col(r) - F.col(f"{r}_old"))).alias(r) for r in ranks]).first()
-                done = max((x or 0.0) for x in change) < tolerance
-            state = state.drop(*[f"{r}_old" for r in ranks])
-            if done:
+        for done in range(0, rounds, every):
+            steps, now = min(every, rounds - done), state.select("node", *ranks)
+            for step in range(steps):
+                moved = now.join(out, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), *[(F.col(r) * F.col("share")).alias(r) for r in ranks])
+                base = state.select("node", *[F.lit(0.0).alias(r) for r in ranks])
+                if step == steps - 1:  # the sums meet what the state was when this job began
+                    base = state.select(*base.columns[:1], *[F.lit(0.0).alias(r) for r in ranks], "sink", *[F.col(r).alias(f"{r}_old") for r in ranks])
+                kept = [F.max(c).alias(c) for c in base.columns if c == "sink" or c.endswith("_old")]
+                sums = moved.unionByName(base, allowMissingColumns=True).groupBy("node").agg(*[F.sum(r).alias(r) for r in ranks], *kept)
+                now = sums.select("node", *[(alpha * F.col(r) + home[r]).alias(r) for r in ranks], *[c for c in base.columns if c == "sink" or c.endswith("_old")])
+            state = saved(now)
+            change = state.agg(*[F.sum(F.abs(F.col(r) - F.col(f"{r}_old"))).alias(r) for r in ranks]).first()
+            state = state.select("node", "sink", *ranks)
+            if max((x or 0.0) for x in change) * alpha**steps / (1 - alpha**steps) < enough:
                 break
-        each = F.explode(F.array(*[F.struct(F.lit(seed).alias("seed"), F.col(r).alias("rank")) for r, seed in zip(ranks, part, strict=True)])).alias("x")
+        if size["sinks"]:
+            lost = state.where("sink").agg(*[F.sum(r).alias(r) for r in ranks]).first()
+            if dangling == "uniform":
+                more = {r: alpha * lost[r] / (1 - alpha * lost["u"]) for r in ranks if r != "u"}
+                state = state.select("node", *[(F.col(r) + m * F.col("u")).alias(r) for r, m in more.items()])
+            else:
+                more = {r: 1 / (1 - alpha / (1 - alpha) * lost[r]) for r in ranks}
+                state = state.select("node", *[(F.col(r) * m).alias(r) for r, m in more.items()])
+        each = F.explode(F.array(*[F.struct(F.lit(seed).alias("seed"), F.col(f"r{i}").alias("rank")) for i, seed in enumerate(part)])).alias("x")
         found = found.unionByName(state.select("node", each).select("x.seed", "node", "x.rank"))
     return found
 
 
 def eigenvector(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """(person, score): power iteration from a uniform start, L2 norm at each step, over the greatest at the end."""
+    return only_result(pairs.sparkSession, lambda: power_rounds(pairs, rounds))
+
+
+def power_rounds(pairs: DataFrame, rounds: int) -> DataFrame:
     sym = saved(both_ways(pairs))
     score = sym.select(F.col("a").alias("person")).distinct().withColumn("x", F.lit(1.0))
     for _ in range(rounds):
@@ -196,6 +219,10 @@ def betweenness(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     Forward: the frontier of every source at once, with the number of shortest paths. Backward: from the deepest level up, each node hands its
     dependency to those before it in proportion to their paths. Each level is written once.
     """
+    return only_result(pairs.sparkSession, lambda: dependencies(pairs, sources))
+
+
+def dependencies(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     sym = saved(both_ways(pairs))
     level = sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths"))
     levels, met = [saved(level)], level.select("s", "v")
@@ -224,6 +251,10 @@ def communities(pairs: DataFrame, rounds: int = 20) -> DataFrame:
     A node moves to the neighbouring community with the greatest gain k_in - total_degree * degree / 2m if that beats staying; ties go to the smallest
     community. Stops when neither half moves a node.
     """
+    return only_result(pairs.sparkSession, lambda: local_moves(pairs, rounds))
+
+
+def local_moves(pairs: DataFrame, rounds: int) -> DataFrame:
     sym = saved(both_ways(pairs))
     deg = saved(sym.groupBy(F.col("a").alias("v")).agg(F.count("*").cast("double").alias("d")))
     m2 = max(1, sym.count())

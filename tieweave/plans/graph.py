@@ -170,11 +170,20 @@ def G25_transition(spark, d):
     return flat.join(total, "src").select("src", "dst", F.round(F.col("weight") / F.col("total"), 6).alias("share"))
 
 
-@query()
+@query("""
+WITH RECURSIVE bi AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), flat AS (SELECT src, dst, sum(weight) AS weight FROM bi GROUP BY 1, 2),
+seed AS (SELECT person AS s FROM people WHERE supporter ORDER BY 1 LIMIT 10), nodes AS MATERIALIZED (SELECT src AS node, count(*) OVER () AS n FROM (SELECT src FROM flat UNION SELECT s FROM seed)),
+w AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM flat UNION ALL SELECT node, node, 0.0 FROM nodes),
+r(i, s, node, n, x) AS (SELECT 0, s, node, n, 1.0::DOUBLE / n FROM nodes, (SELECT s FROM seed UNION ALL SELECT 'u')
+  UNION ALL SELECT r.i + 1, r.s, w.dst, r.n, 0.85 * sum(r.x * w.share) + CASE WHEN r.s = 'u' THEN 1.0::DOUBLE / r.n WHEN r.s = w.dst THEN 0.15 ELSE 0 END FROM r JOIN w ON w.src = r.node WHERE r.i < 100 GROUP BY r.i, r.s, w.dst, r.n),
+z AS (SELECT s, node, x FROM r WHERE i = 100), lost AS (SELECT s, sum(CASE WHEN node NOT IN (SELECT src FROM flat) THEN x ELSE 0 END) AS d FROM z GROUP BY 1), u AS (SELECT node, x, d FROM z JOIN lost USING (s) WHERE s = 'u'),
+full_ AS (SELECT z.s, z.node, z.x + 0.85 * lost.d / (1 - 0.85 * u.d) * u.x AS rank FROM z JOIN lost USING (s) JOIN u ON u.node = z.node WHERE z.s <> 'u')
+SELECT node, round(sum(rank), 9) AS union_rank, round(min(rank), 9) AS least_rank FROM full_ WHERE node LIKE 'p:%' AND node <> s GROUP BY 1""")
 def G25_G26_page_rank(spark, d):
+    """Ranks of people for the first ten supporters, a hundred rounds: their sum and their least one."""
     edges = G.build_edges(X.relationships(spark, d)).where("reason is null")
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    ranks = G.page_rank(both, seeds(spark, d, 10).select(F.col("node").alias("seed")))
+    ranks = G.page_rank(both, seeds(spark, d, 10).select(F.col("node").alias("seed")), tolerance=0.0)
     who = ranks.where("node like 'p:%' and node <> seed")
     return who.groupBy("node").agg(F.round(F.sum("rank"), 9).alias("union_rank"), F.round(F.min("rank"), 9).alias("least_rank"))
 
