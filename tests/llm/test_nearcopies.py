@@ -63,3 +63,25 @@ def test_a_large_shard_is_dealt_into_pairs_of_blocks(spark):
     want = {(x[2], y[2]): (x, y) for x, y in combinations(rows, 2) if meets(x, y)}
     # Those of a shard's largest class don't ask, but are met by all that do.
     assert pairs(20_000) == pairs(3) == sorted(want) and len(want) > 50
+
+
+def test_short_texts_whose_fingerprints_are_far_apart(spark, sf):
+    """Texts of eight and nine words, similar at 0.8, whose fingerprints differ in over RADIUS bits: 1 pair of 10,000."""
+    rng, found = random.Random(3), []
+    while len(found) < 3:
+        w = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(9)]
+        sets = [nearcopies.shingles(" ".join(x)) for x in (w, w[:8])]
+        if bin((nearcopies.set_print(sets[0]) ^ nearcopies.set_print(sets[1])) & (1 << 64) - 1).count("1") > nearcopies.RADIUS:
+            found.append(w)
+    rows = [r for i, w in enumerate(found) for r in ((2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:8])))]
+    out = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), sf)
+    assert sorted(r["doc_id"] for r in out.collect()) == brute_kept(rows) == [0, 2, 4]
+
+
+def test_null_ids_share_a_source(spark):
+    from tieweave.llm import mixing
+
+    rows = [(None, f"text {i} of no id", "a") for i in range(300)] + [(1, "one", "b"), (2, "two words", None)]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    sums = {r["source"]: r for r in plan.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()}
+    assert all(r["sum(taken)"] == int(r["max(target)"]) for r in sums.values())

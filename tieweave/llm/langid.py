@@ -94,23 +94,29 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def make() -> Callable:
         m = shared.value
-        rows: list[np.ndarray] = []
+        rows, used = np.empty((1024, len(m.langs))), 0  # a row for each word that is held; the array doubles when it is full
 
         def missing(words: list[str]) -> list[int]:
-            out = []
+            nonlocal rows, used
+            while used + len(words) > len(rows):
+                rows = np.concatenate([rows, np.empty_like(rows)])
             for w in words:
                 word = letters(w)
-                rows.append(m.word(word) if word and m.langs else np.full(len(m.langs), np.nan))
-                out.append(len(rows) - 1)
-            return out
+                rows[used] = m.word(word) if word and m.langs else np.nan
+                used += 1
+            return list(range(used - len(words), used))
 
-        cache = WordCache(missing, emptied=rows.clear)
+        def emptied() -> None:
+            nonlocal used
+            used = 0
+
+        cache = WordCache(missing, emptied=emptied)
 
         def work(texts: list[str | None]) -> list:
             words, which, starts = block_words(texts)
             cache.learn(words)
             number = np.fromiter((cache[w] for w in words), np.int64, len(words))
-            table = np.array(rows).reshape(len(rows), len(m.langs))[number][which]
+            table = rows[number[which]]
             langs, scores = [], []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 each = table[a:b]
@@ -131,6 +137,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, by a model of the rows that may be learned from."""
     docs = read(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 3) == 1
     model = fit(docs.where(~held_out).select("text", "lang"))

@@ -50,19 +50,19 @@ def plan_mix(docs: DataFrame, seed: int = 17, max_epochs: int = 3, weight_cycle:
     source's documents in the order of a seeded hash: whole documents while they fit, and the first words of the one where
     the target ends. So a source's taken words are its target rounded down, and a rerun gives the same rows.
 
-    The order is that of md5(seed:doc_id): its first three hex digits give a bucket, the next three a part of it. Sizes are summed by part, parts by
+    The order is that of md5(seed:doc_id:md5(text)), so that rows without an id are spread too: its first three hex digits give a bucket, the next three a part of it. Sizes are summed by part, parts by
     bucket; the bucket in which the fraction ends, then the part of it, are found on at most 4,096 sums a source each. Only the documents of that
     part (a 16-millionth of the source) are put into a window, so a hot source never meets in one task, and no other text is shuffled.
     The plan has one row per source.
     Sources weigh 1, 2, ... weight_cycle and again, by code point, null last. Null texts and texts without words have size 0
-    and are taken 0 times. Rows with the same doc_id are told apart by size, then by text; equal rows may swap places.
+    and are taken 0 times. Rows with the same doc_id are told apart by their texts; equal rows may swap places.
     An empty table gives an empty result. Columns of docs named like the new ones are replaced.
     """
     own = {"size", "source_size", "target", "taken", "_whole", "_bucket", "_part", "_key", "_src", "_edge", "_edge_part", "_room", "_extra"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
     digits = lambda at: F.conv(F.substring("_key", at, 3), 16, 10).cast("int")
     sized = base.withColumn("size", size_of(F.col("text"))).withColumn(
-        "_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+        "_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     ).withColumn("_bucket", digits(1)).withColumn("_part", digits(4))
     parts = saved(sized.groupBy(F.col("source").alias("_src"), "_bucket", "_part").agg(F.sum("size").alias("_in")))
     light = parts.groupBy("_src", "_bucket").agg(F.sum("_in").alias("_in"))
@@ -132,7 +132,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighted AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sources),

@@ -19,8 +19,10 @@ from tieweave.llm.common import bucketed, only_result, saved, with_columns_of_te
 from tieweave.llm.simhash import LOWER, BKTree
 from tieweave.operators.components import components
 
-#: Differing bits up to which fingerprints are compared further. A bit differs with probability arccos(cosine) / pi, 0.15 at 0.8: over 24 of 64 do in 1 pair of a million.
-RADIUS = 24
+#: Differing bits up to which fingerprints are compared further. A bit differs with probability arccos(cosine) / pi, 0.15 at 0.8: over 24 of 64 do in 1 pair of a million of
+#: large sets. In sets of few shingles a bit differs up to 0.19 of the time, over 24 in 1 pair of 10,000: where one has under SMALL the bound is SMALL_RADIUS,
+#: which 1 pair of 10^16 is beyond.
+RADIUS, SMALL, SMALL_RADIUS = 24, 16, 44
 
 #: A pair of similarity s shares no band, and so is missed, with probability (1 - s^ROWS)^BANDS: 3e-6 at 0.8, less above.
 BANDS, ROWS = 32, 5
@@ -109,7 +111,7 @@ def prefixes(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def tree_pairs(members: DataFrame, radius: int, least: float, most: int = 20_000) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes within the radius, from members(key, at, node, n, print, class): a shard is the rows of one key.
+    """Pairs (a, b) of nodes of different classes within the radius (SMALL_RADIUS for small sets), from members(key, at, node, n, print, class): a shard is the rows of one key.
 
     Each shard gets a BK-tree over its fingerprints, which its nodes outside its largest class ask. A pair also needs sizes that fit, and enough grams from
     the key on to reach the similarity. A shard of more than `most` nodes is dealt into blocks, and each two blocks are a shard of their own.
@@ -136,11 +138,15 @@ def tree_pairs(members: DataFrame, radius: int, least: float, most: int = 20_000
         classes, sizes = np.unique(own, return_counts=True)
         asking = np.flatnonzero(own != classes[sizes.argmax()])
         at_value = {int(v): order[ends[i] : ends[i + 1]] for i, v in enumerate(values)}
-        for value, near in BKTree(values).walk(fingerprint[asking], radius):
-            for i in at_value[int(value)].tolist():
-                j = asking[near]
-                j = j[fits(rows[j], rows[i : i + 1])]
-                yield np.minimum(rows[j, 3], rows[i, 3]), np.maximum(rows[j, 3], rows[i, 3])
+        tree = BKTree(values)
+        # Sets that a small one can be similar to are small as well, but for those just above the bound: they ask twice.
+        few = asking[rows[asking, 4] * least < SMALL]
+        for queries, reach in ((asking, radius), (few, max(radius, SMALL_RADIUS))):
+            for value, near in tree.walk(fingerprint[queries], reach) if len(queries) else ():
+                for i in at_value[int(value)].tolist():
+                    j = queries[near]
+                    j = j[fits(rows[j], rows[i : i + 1])]
+                    yield np.minimum(rows[j, 3], rows[i, 3]), np.maximum(rows[j, 3], rows[i, 3])
 
     def pairs(rows: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sizes = np.diff(np.append(starts, len(rows)))
@@ -148,7 +154,8 @@ def tree_pairs(members: DataFrame, radius: int, least: float, most: int = 20_000
         # A tree of two nodes is one distance: all such shards at once.
         x = starts[mixed & (sizes == 2)]
         a, b = rows[x], rows[x + 1]
-        near = (np.bitwise_count(a[:, 5].view(np.uint64) ^ b[:, 5].view(np.uint64)) <= radius) & fits(a, b)
+        reach = np.where(np.minimum(a[:, 4], b[:, 4]) < SMALL, max(radius, SMALL_RADIUS), radius)
+        near = (np.bitwise_count(a[:, 5].view(np.uint64) ^ b[:, 5].view(np.uint64)) <= reach) & fits(a, b)
         yield a[near, 3], b[near, 3]
         for i in np.flatnonzero(mixed & (sizes > 2)).tolist():
             yield from shard(rows[starts[i] : starts[i] + sizes[i]])
@@ -195,10 +202,11 @@ def classes_of(docs: DataFrame, id_col: str, shingle: int, least: float, radius:
     rep = nodes.join(asked, "node", "left_semi").select("node", F.col("_rep").getField(id_col).alias("_id"), F.col("_rep._t").alias("_x"))
     texts = source.join(rep.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_x"))).select("node", "text")
     # The sets are the bulk of all rounds: laid out by node once, so that only the pairs' own sets move.
-    sets = bucketed(with_grams(texts, shingle).groupBy("node").agg(F.first("grams").alias("grams")), "node")
+    sets = bucketed(with_grams(texts, shingle).groupBy("node").agg(F.first("grams").alias("grams")), "node", dealt=True)
 
     size_fits = lambda x, y: (F.col(x) >= least * F.col(y) - 1e-9) & (F.col(y) >= least * F.col(x) - 1e-9)
-    fits = lambda hub: size_fits("n", f"{hub}.n") & (F.bit_count(F.col("print").bitwiseXOR(F.col(f"{hub}.print"))) <= radius)
+    reach = lambda hub: F.when(F.least("n", f"{hub}.n") < SMALL, max(radius, SMALL_RADIUS)).otherwise(radius)
+    fits = lambda hub: size_fits("n", f"{hub}.n") & (F.bit_count(F.col("print").bitwiseXOR(F.col(f"{hub}.print"))) <= reach(hub))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = members.where((F.col("node") != F.col("hub.node")) & fits("hub")).select(*pair("node", "hub.node")).distinct()
     label = saved(components(saved(similar(saved(star), sets, least)))).withColumnRenamed("node", "_c")  # (node, component) of the linked nodes

@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 
 from tieweave.llm.common import read, with_columns_of_text
 
-# The kinds in the order of the output; pattern, group whose length counts, least length.
+# The kinds in the order of the output; pattern, group whose length counts, least length. A private key goes to its END line,
+# or over the lines of base 64 below where it has none.
 BASE_KINDS = ("assign", "access", "hex")
 RULES: dict[str, tuple[str, int, int]] = {
     "assign": (r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
-    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?s:(?:(?!-----BEGIN ).)*?)-----END [A-Z ]*PRIVATE KEY-----|(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/=]+(?=[ \t]*(?:\r?\n|\Z)))*)", 0, 0),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     "code_host": (r"ghp_[A-Za-z0-9]{36}", 0, 0),
     "chat_token": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
@@ -138,6 +139,7 @@ def scan_secrets(docs: DataFrame, rules: dict[str, tuple[str, int, int]] | None
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
+    """Every document with the numbers of its base spans, their digest and all spans."""
     from pyspark.sql import functions as F
 
     found = scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -157,5 +157,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = 4, sh
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest id of its component."""
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

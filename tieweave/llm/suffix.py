@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, shard: int = SHARD, kept_
     and repeated rows lose everything. Kept bytes may end inside a character. Columns named like the new ones are replaced; an empty table stays empty.
 
     Equal texts are one from the start: bodies are shuffled once, by their hash, with equal ones joined before the shuffle, and stay laid out by
-    it in a table of the warehouse; places and ranges come to them. What goes back to docs is one row per different text.
+    it in a table of the shared folder; places and ranges come to them. What goes back to docs is one row per different text.
     """
     new = {"n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, shard: int = SHARD, kept_
 
 def judge_texts(bodies: DataFrame, fields: list[T.StructField], window: int, shard: int) -> DataFrame:
     """(_u, _<field> ...) of the different texts bodies(t, body, copies)."""
-    texts = bucketed(bodies, "t")
+    texts = bucketed(bodies, "t", dealt=True)
     based = texts.select("t", F.lit(0).cast("long").alias("base"), "body")
     ranges = saved(repeats(based, segments(based.withColumnRenamed("body", "text"), window), window, SPLITS, shard))
     kept_text = any(f.name == "kept" for f in fields)

@@ -359,4 +359,5 @@ def digests(tokens: DataFrame) -> DataFrame:
 
 
 def op3_tokens(spark, sf_dir: str) -> DataFrame:
+    """Every document as read back from its token files: its place, its tokens and their checksum."""
     return digests(encode_documents(read(spark, sf_dir, "documents")))

@@ -355,6 +355,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity, by a model of the labels that may be learned from."""
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = crc_mod("doc_id", 5) == 0
     out = score(docs, fit(docs, labels.where(~held_out)))
