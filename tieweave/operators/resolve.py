@@ -7,34 +7,59 @@ from pyspark.sql import functions as F
 
 from tieweave.functions import columns as C
 from tieweave.operators import graph as G
-from tieweave.operators.components import components
+from tieweave.operators.components import components, saved
 
 MATCH_WEIGHTS = {"name": 0.30, "embedding": 0.25, "org": 0.20, "address": 0.15, "role": 0.10}
 #: Roles that one person can't hold together.
 EXCLUSIVE_ROLES = [("external auditor", "trustee"), ("external auditor", "chair"), ("external auditor", "director"), ("beneficiary", "trustee")]
 
 
+def gram_sets(rows: DataFrame, id_col: str, name: str) -> DataFrame:
+    """(id, node, grams) of the rows whose name has trigrams, sorted; node is the digest of the grams, so rows of equal sets are one node."""
+    out = rows.select(F.col(id_col).alias("id"), F.array_sort(C.trigrams(F.col(name))).alias("grams")).where(F.size("grams") > 0)
+    return out.select("id", F.md5(F.array_join("grams", "\u0000").cast("binary")).alias("node"), "grams")
+
+
+#: Longs that hold a set's grams as bits, each gram at the place of its hash.
+BITS = 4
+
+
+def gram_bits(grams: Column, part: int) -> Column:
+    """The bits of those grams whose hash is of this part, of BITS."""
+    place = lambda g: F.hash(g)
+    mine = lambda g: F.pmod(place(g), F.lit(BITS)) == part
+    bit = lambda g: F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2.0), F.pmod(F.shiftright(place(g), 8), F.lit(62))).cast("long")
+    return F.aggregate(F.filter(grams, mine), F.lit(0).cast("long"), lambda a, g: a.bitwiseOR(bit(g)))
+
+
 def similarity_join(left: DataFrame, right: DataFrame, least: float = 0.5, left_id: str = "id", right_id: str = "id", name: str = "name") -> DataFrame:
-    """(left, right, similarity): pairs of names whose trigram similarity is at least `least`, exactly.
+    """(left, right, similarity): pairs of names whose trigram similarity is at least `least`, exactly. Rows with a null or empty name are in none.
 
-    Each side's trigrams are put in one order, by how rare they are in both sides, and only the first n - ceil(least * n) + 1 of n are joined on: two
-    sets that are similar enough share one of those. Sizes that rule a pair out are checked in the join; the survivors are compared in full.
+    Names with equal grams are one node. A node's trigrams are put in one order, by how rare they are in the nodes of both sides, and only the first n - ceil(least * n) + 1
+    of n are joined on: two sets that are similar enough share one of those. A row of that join has the gram's place and the set's bits, and goes on only
+    if the sizes fit, the grams from this place on can make up the overlap that the similarity asks for, and the bits of either that the other lacks leave
+    that many. So a common gram costs comparisons of numbers in the join, but no rows; a hot one is a skewed key, which Spark splits. The survivors are compared in full.
     """
-    l_rows = left.select(F.col(left_id).alias("l"), C.trigrams(F.col(name)).alias("lt"))
-    r_rows = right.select(F.col(right_id).alias("r"), C.trigrams(F.col(name)).alias("rt"))
-    seen = l_rows.select(F.explode("lt").alias("g")).unionAll(r_rows.select(F.explode("rt").alias("g")))
-    rare = seen.groupBy("g").agg(F.count("*").alias("f"))
-
-    def prefix(rows: DataFrame, key: str, grams: str) -> DataFrame:
-        each = rows.select(key, F.size(grams).alias("n"), F.explode(grams).alias("g")).join(rare, "g")
-        ordered = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"), F.first("n").alias("n"))
-        keep = F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1
-        return ordered.select(key, "n", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["g"])).alias("g"))
-
-    a, b = prefix(l_rows, "l", "lt"), prefix(r_rows, "r", "rt").withColumnRenamed("n", "m")
-    near = a.join(b, "g").where((F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n"))).select("l", "r").distinct()
-    full = near.join(l_rows, "l").join(r_rows, "r").withColumn("similarity", C.jaccard(F.col("lt"), F.col("rt")))
-    return full.where(F.col("similarity") >= least - 1e-12).select(F.col("l").alias("left"), F.col("r").alias("right"), "similarity")
+    l_rows, r_rows = gram_sets(left, left_id, name), gram_sets(right, right_id, name)
+    nodes = saved(l_rows.select("node", "grams").unionAll(r_rows.select("node", "grams")).groupBy("node").agg(F.first("grams").alias("grams")))
+    bits = saved(nodes.select("node", F.size("grams").alias("n"), *[gram_bits(F.col("grams"), i).alias(f"b{i}") for i in range(BITS)]))
+    each = nodes.select("node", F.explode("grams").alias("g"))
+    rare = each.groupBy("g").agg(F.count("*").alias("f"))
+    ordered = each.join(rare, "g").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))
+    keep = F.size("o") - F.ceil(F.lit(least) * F.size("o") - 1e-9).cast("int") + 1
+    placed = saved(ordered.select("node", F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "x")).select("node", "at", F.col("x.g").alias("g")).join(bits, "node"))
+    side = lambda rows, x: placed.join(rows.select("node").distinct(), "node", "left_semi").select("g", *[F.col(c).alias(f"{c}{x}") for c in ("node", "at", "n", *[f"b{i}" for i in range(BITS)])])
+    need = F.ceil(least / (1 + least) * (F.col("nl") + F.col("nr")) - 1e-9)
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"b{i}{x}").bitwiseAND(F.bitwise_not(F.col(f"b{i}{y}")))) for i in range(1, BITS)), F.bit_count(F.col(f"b0{x}").bitwiseAND(F.bitwise_not(F.col(f"b0{y}")))))
+    fits = (
+        (F.col("nl") >= least * F.col("nr") - 1e-9) & (F.col("nr") >= least * F.col("nl") - 1e-9)
+        & (F.least(F.col("nl") - F.col("atl"), F.col("nr") - F.col("atr")) >= need) & (F.col("nl") - lacks("l", "r") >= need) & (F.col("nr") - lacks("r", "l") >= need)
+    )
+    near = side(l_rows, "l").join(side(r_rows, "r"), "g").where(fits).select("nodel", "noder").distinct()
+    grams = lambda x: nodes.select(F.col("node").alias(f"node{x}"), F.col("grams").alias(f"grams{x}"))
+    full = near.join(grams("l"), "nodel").join(grams("r"), "noder").withColumn("similarity", C.jaccard(F.col("gramsl"), F.col("gramsr"))).where(F.col("similarity") >= least - 1e-12)
+    ids = lambda rows, x, out: rows.select(F.col("node").alias(f"node{x}"), F.col("id").alias(out))
+    return full.select("nodel", "noder", "similarity").join(ids(l_rows, "l", "left"), "nodel").join(ids(r_rows, "r", "right"), "noder").select("left", "right", "similarity")
 
 
 def candidate_pairs(mentions: DataFrame, keys: dict[str, Column], most_block: int | None = 1000) -> tuple[DataFrame, DataFrame]:
