@@ -56,13 +56,34 @@ def test_edits_chains_and_a_hot_group(spark, sf):
 
 
 def test_a_large_shard_is_dealt_into_pairs_of_blocks(spark):
-    rows = [(k % 2, k % 3, 100 + k, 20 + k % 2, k * k % 64, k % 5) for k in range(40)]
+    """Links connect the classes that the similar pairs of a shard connect, and are fewer than its classes."""
+    rng, rows, sets = random.Random(7), [], {}
+    for key in (0, 1):
+        base = rng.sample(range(10_000), 60)
+        for k in range(60):
+            node = 1000 * key + k
+            sets[node] = sorted(set(rng.sample(base, 60 - rng.randint(0, 9))) | {20_000 + 50 * node + j for j in range(rng.randint(0, 5))})
+            rows.append((key, 0, node, len(sets[node]), 0, node if k > 20 else node % 5))
     members = spark.createDataFrame(rows, "key long, at int, node long, n int, print long, class long")
-    pairs = lambda most: sorted(map(tuple, nearcopies.tree_pairs(members, 4, 0.8, most).distinct().collect()))
-    meets = lambda x, y: x[0] == y[0] and x[5] != y[5] and (x[4] ^ y[4]).bit_count() <= 4 and 1.8 * min(x[3] - x[1], y[3] - y[1]) >= 0.8 * (x[3] + y[3])
-    want = {(x[2], y[2]): (x, y) for x, y in combinations(rows, 2) if meets(x, y)}
-    # Those of a shard's largest class don't ask, but are met by all that do.
-    assert pairs(20_000) == pairs(3) == sorted(want) and len(want) > 50
+    frame_ = spark.createDataFrame(list(sets.items()), "node long, grams array<long>")
+
+    def joined(pairs):
+        label = {r[5]: r[5] for r in rows}
+        for a, b in pairs:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {k: new if v == old else v for k, v in label.items()}
+        return label
+
+    def alike(x, y):
+        both = len(set(sets[x[2]]) & set(sets[y[2]]))
+        return x[0] == y[0] and x[5] != y[5] and both >= 0.8 * (x[3] + y[3] - both)
+
+    want = [(x[5], y[5]) for x, y in combinations(rows, 2) if alike(x, y)]
+    for most, most_grams in ((20_000, 4_000_000), (7, 4_000_000), (20_000, 400)):
+        got = [tuple(r) for r in nearcopies.tree_links(members, frame_, 4, 0.8, most, most_grams).collect()]
+        assert joined(got) == joined(want) and set(joined(got).values()) != set(joined([]).values())
+    few = nearcopies.tree_links(members, frame_, 4, 0.8).count()
+    assert few < len({r[5] for r in rows}) < len(want)
 
 
 def test_short_texts_whose_fingerprints_are_far_apart(spark, sf):

@@ -110,45 +110,59 @@ def prefixes(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return placed.select(F.col("gram.key").alias("key"), (F.col("alone") + F.col("i")).alias("at"), "node", "n", "print", "class")
 
 
-def tree_pairs(members: DataFrame, radius: int, least: float, most: int = 20_000) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes within the radius (SMALL_RADIUS for small sets), from members(key, at, node, n, print, class): a shard is the rows of one key.
+def tree_links(members: DataFrame, sets: DataFrame, radius: int, least: float, most: int = 20_000, most_grams: int = 4_000_000) -> DataFrame:
+    """(a, b): classes of members(key, at, node, n, print, class), a shard being the rows of one key, that nodes with similar sets(node, grams) link: enough of them that all such classes are connected.
 
-    Each shard gets a BK-tree over its fingerprints, which its nodes outside its largest class ask. A pair also needs sizes that fit, and enough grams from
-    the key on to reach the similarity. A shard of more than `most` nodes is dealt into blocks, and each two blocks are a shard of their own.
+    Each shard gets a BK-tree over its fingerprints, which its nodes outside its largest class ask, within the radius (SMALL_RADIUS for small sets). A pair also needs sizes that fit, and
+    enough grams from the key on to reach the similarity; then the sets decide, which come along to shards of several classes. Classes that are linked in
+    the shard already aren't compared again, so a shard gives fewer links than it has classes, however many of its nodes are similar. One of more than `most`
+    nodes, or most_grams grams, is dealt into blocks, and each two blocks are a shard of their own.
     """
-    large = saved(members.groupBy("key").agg(F.count("*").alias("_m")).where(F.col("_m") > most).select(F.col("key").alias("_k"), F.ceil(F.col("_m") / most).alias("_blocks")))
-    if large.isEmpty():
-        dealt = members.withColumn("pair", F.lit(0).cast("long"))
-    else:
-        own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
-        two = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda other: F.least(own, other) * F.col("_blocks") + F.greatest(own, other))
-        sized = members.join(large, F.col("key") == F.col("_k"), "left")
-        dealt = sized.withColumn("pair", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(two)))
-    placed = dealt.select("key", "pair", "at", "node", "n", "print", "class").repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+    size = members.groupBy("key").agg(F.count("*").alias("_m"), F.sum("n").alias("_g"), F.min("class").alias("_x"), F.max("class").alias("_y")).where("_x < _y")
+    open_ = size.select(F.col("key").alias("_k"), F.ceil(F.greatest(F.col("_m") / most, F.col("_g") / most_grams)).alias("_blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
+    two = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda other: F.least(own, other) * F.col("_blocks") + F.greatest(own, other))
+    dealt = members.join(open_, F.col("key") == F.col("_k")).withColumn("pair", F.explode(F.when(F.col("_blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(two)))
+    whole = dealt.select("key", "pair", "at", "node", "n", "print", "class").join(sets.hint("merge"), "node")
+    placed = whole.select("key", "pair", "at", "node", "n", "print", "class", "grams").repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
 
     def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n, m = x[:, 4], y[:, 4]
         return (x[:, 6] != y[:, 6]) & (n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (np.minimum(n - x[:, 2], m - y[:, 2]) >= least / (1 + least) * (n + m) - 1e-9)
 
-    def shard(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= least * (len(x) + len(y) - both) - 1e-9
+
+    def shard(rows: np.ndarray, grams: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         fingerprint, own = np.ascontiguousarray(rows[:, 5]).view(np.uint64), rows[:, 6]
         values, where = np.unique(fingerprint, return_inverse=True)
         order = np.argsort(where, kind="stable")
         ends = np.concatenate([[0], np.cumsum(np.bincount(where))])
-        classes, sizes = np.unique(own, return_counts=True)
+        classes, number, sizes = np.unique(own, return_inverse=True, return_counts=True)
         asking = np.flatnonzero(own != classes[sizes.argmax()])
         at_value = {int(v): order[ends[i] : ends[i + 1]] for i, v in enumerate(values)}
-        tree = BKTree(values)
+        above = list(range(len(classes)))
+
+        def root(c: int) -> int:
+            while above[c] != c:
+                above[c] = c = above[above[c]]
+            return c
+
+        tree, number = BKTree(values), number.tolist()
         # Sets that a small one can be similar to are small as well, but for those just above the bound: they ask twice.
         few = asking[rows[asking, 4] * least < SMALL]
         for queries, reach in ((asking, radius), (few, max(radius, SMALL_RADIUS))):
             for value, near in tree.walk(fingerprint[queries], reach) if len(queries) else ():
                 for i in at_value[int(value)].tolist():
                     j = queries[near]
-                    j = j[fits(rows[j], rows[i : i + 1])]
-                    yield np.minimum(rows[j, 3], rows[i, 3]), np.maximum(rows[j, 3], rows[i, 3])
+                    for k in j[fits(rows[j], rows[i : i + 1])].tolist():
+                        x, y = root(number[i]), root(number[k])
+                        if x != y and alike(grams[i], grams[k]):
+                            above[max(x, y)] = min(x, y)
+                            yield int(own[i]), int(own[k])
 
-    def pairs(rows: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(rows: np.ndarray, grams: list[np.ndarray], starts: np.ndarray) -> Iterator[tuple[int, int]]:
         sizes = np.diff(np.append(starts, len(rows)))
         mixed = np.minimum.reduceat(rows[:, 6], starts) < np.maximum.reduceat(rows[:, 6], starts)
         # A tree of two nodes is one distance: all such shards at once.
@@ -156,25 +170,30 @@ def tree_pairs(members: DataFrame, radius: int, least: float, most: int = 20_000
         a, b = rows[x], rows[x + 1]
         reach = np.where(np.minimum(a[:, 4], b[:, 4]) < SMALL, max(radius, SMALL_RADIUS), radius)
         near = (np.bitwise_count(a[:, 5].view(np.uint64) ^ b[:, 5].view(np.uint64)) <= reach) & fits(a, b)
-        yield a[near, 3], b[near, 3]
+        for i in x[near].tolist():
+            if alike(grams[i], grams[i + 1]):
+                yield int(rows[i, 6]), int(rows[i + 1, 6])
         for i in np.flatnonzero(mixed & (sizes > 2)).tolist():
-            yield from shard(rows[starts[i] : starts[i] + sizes[i]])
+            z = slice(starts[i], starts[i] + sizes[i])
+            yield from shard(rows[z], grams[z])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 7), np.int64)
+        held, held_grams = np.empty((0, 7), np.int64), []
 
-        def out(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-            found = list(pairs(rows, starts))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *[p[k] for p in found]])) for k in (0, 1)], ["a", "b"])
+        def out(rows: np.ndarray, grams: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+            found = set(links(rows, grams, starts))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             rows = np.concatenate([held, np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(7)], axis=1)])
+            values, ends = batch.column(7).values.to_numpy(zero_copy_only=False), batch.column(7).offsets.to_numpy()
+            grams = held_grams + [values[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
-            held = rows[starts[-1] :]
+            held, held_grams = rows[starts[-1] :], [g.copy() for g in grams[starts[-1] :]]
             if len(starts) > 1:
-                yield out(rows[: starts[-1]], starts[:-1])
+                yield out(rows[: starts[-1]], grams[: starts[-1]], starts[:-1])
         if len(held):
-            yield out(held, np.array([0]))
+            yield out(held, held_grams, np.array([0]))
 
     return placed.mapInArrow(run, "a long, b long")
 
@@ -184,7 +203,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, least
 
     Equal sets are one node. First the nodes of each MinHash shard whose fingerprints are within the radius of its hub's are compared with the hub by their
     whole sets, so that a hot shard costs one comparison a member. The nodes of shards that are then still in several classes are sharded anew, by the rarest
-    grams of their sets; a BK-tree of each shard proposes the pairs of different classes within the radius, and the sets decide. Texts without words, null ones too, are one node. Repeated rows stay and share their component; a null
+    grams of their sets; a BK-tree of each shard proposes pairs of different classes within the radius, and the sets, which come along, decide. Texts without words, null ones too, are one node. Repeated rows stay and share their component; a null
     id gets its component's smallest non-null id. An empty table stays empty.
     """
     return only_result(docs.sparkSession, lambda: classes_of(docs, id_col, shingle, least, radius))
@@ -215,10 +234,8 @@ def classes_of(docs: DataFrame, id_col: str, shingle: int, least: float, radius:
     # Shards that are one class are done.
     split = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("key")
     open_ = saved(named.join(split.hint("merge"), "key", "left_semi").select("node", "n", "print", "class").distinct())
-    more = saved(tree_pairs(saved(prefixes(open_, sets, least)), radius, least).distinct())
-    own = open_.select(F.col("node").alias("_m"), F.col("class").alias("_k"))
-    ends = similar(more, sets, least).join(own.withColumnRenamed("_k", "ka"), F.col("a") == F.col("_m")).drop("_m").join(own.withColumnRenamed("_k", "kb"), F.col("b") == F.col("_m"))
-    move = components(saved(ends.select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct())).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    links = saved(tree_links(saved(prefixes(open_, sets, least)), sets, radius, least).distinct())
+    move = components(links).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
 
     member = nodes.join(label, F.col("node") == F.col("_c"), "left").select("node", "least", F.coalesce("component", "node").alias("class"))
     member = saved(member.join(move, F.col("class") == F.col("_old"), "left").select("node", "least", F.coalesce("_new", "class").alias("class")))
