@@ -83,6 +83,30 @@ def match_confidence(name: Column, embedding: Column, org: Column, address: Colu
     return C.weighted(weights or MATCH_WEIGHTS, {"name": name, "embedding": embedding, "org": org, "address": address, "role": role})
 
 
+def attach_vectors(mentions: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """mentions with embedding: that of vectors(mention, embedding) if it has `size` components, else null."""
+    fit = vectors.where(F.size("embedding") == size).select(F.col("mention").alias("_v"), "embedding")
+    return mentions.join(fit, F.col("mention") == F.col("_v"), "left").drop("_v")
+
+
+def pair_features(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """pairs(a, b) with name, embedding, org, address and role, each from 0 to 1, and a_ and b_ columns of both mentions(mention, value, orgs, addresses, roles, embedding, ...).
+
+    name: trigram similarity; embedding: cosine, 0 without both; org, address: whether one is shared; role: Jaccard of the roles. Entries are compared lower-cased and trimmed,
+    addresses without their spaces; null arrays are empty.
+    """
+    none = F.array().cast("array<string>")
+    tidy = lambda c, space: F.transform(F.coalesce(c, none), lambda x: F.regexp_replace(F.lower(F.trim(x)), r"\s+", space))
+    side = lambda x: mentions.select(*[F.col(c).alias(f"{x}_{c}") for c in mentions.columns])
+    both = pairs.join(side("a"), F.col("a") == F.col("a_mention")).join(side("b"), F.col("b") == F.col("b_mention"))
+    shared = lambda c, space=" ": F.arrays_overlap(tidy(F.col(f"a_{c}"), space), tidy(F.col(f"b_{c}"), space)).cast("double")
+    return both.withColumns({
+        "name": C.trigram_similarity(F.col("a_value"), F.col("b_value")), "embedding": F.greatest(F.lit(0.0), F.coalesce(C.cosine(F.col("a_embedding"), F.col("b_embedding")), F.lit(0.0))),
+        "org": F.coalesce(shared("orgs"), F.lit(0.0)), "address": F.coalesce(shared("addresses", ""), F.lit(0.0)),
+        "role": C.jaccard(F.array_distinct(tidy(F.col("a_roles"), " ")), F.array_distinct(tidy(F.col("b_roles"), " "))),
+    })
+
+
 def blockers(a: dict[str, Column], b: dict[str, Column], split: Column) -> Column:
     """Array of the reasons against a merge. a and b: dob, registration, roles (array), kind, value, and shared (whether the two share an org, address, role or have vectors)."""
     differ = lambda k: (a[k] != b[k]) & a[k].isNotNull() & b[k].isNotNull()

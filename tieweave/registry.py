@@ -5,7 +5,7 @@ from __future__ import annotations
 from tieweave.plans import base
 
 # Each module registers its queries when it is imported.
-from tieweave.plans import documents, graph, joins, matching, metrics, more, reports, resolve, scores, wealth  # noqa: F401  isort: skip
+from tieweave.plans import documents, graph, joins, leads, matching, metrics, more, reports, resolve, scores, wealth  # noqa: F401  isort: skip
 
 
 def queries() -> dict:
