@@ -79,8 +79,8 @@ def test_a_large_shard_is_dealt_into_pairs_of_blocks(spark):
         return x[0] == y[0] and x[5] != y[5] and both >= 0.8 * (x[3] + y[3] - both)
 
     want = [(x[5], y[5]) for x, y in combinations(rows, 2) if alike(x, y)]
-    for most, most_grams in ((20_000, 4_000_000), (7, 4_000_000), (20_000, 400)):
-        got = [tuple(r) for r in nearcopies.tree_links(members, frame_, 4, 0.8, most, most_grams).collect()]
+    for few, most, most_grams in ((32, 20_000, 4_000_000), (32, 7, 4_000_000), (32, 20_000, 400), (100, 20_000, 4_000_000)):
+        got = [tuple(r) for r in nearcopies.tree_links(members, frame_, 4, 0.8, few, most, most_grams).collect()]
         assert joined(got) == joined(want) and set(joined(got).values()) != set(joined([]).values())
     few = nearcopies.tree_links(members, frame_, 4, 0.8).count()
     assert few < len({r[5] for r in rows}) < len(want)

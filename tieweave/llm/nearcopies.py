@@ -110,21 +110,37 @@ def prefixes(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return placed.select(F.col("gram.key").alias("key"), (F.col("alone") + F.col("i")).alias("at"), "node", "n", "print", "class")
 
 
-def tree_links(members: DataFrame, sets: DataFrame, radius: int, least: float, most: int = 20_000, most_grams: int = 4_000_000) -> DataFrame:
+#: Nodes of a shard up to which all its candidate pairs are given, to be compared outside of it; larger ones get their sets.
+FEW = 32
+
+
+def tree_links(members: DataFrame, sets: DataFrame, radius: int, least: float, few: int = FEW, most: int = 20_000, most_grams: int = 4_000_000) -> DataFrame:
     """(a, b): classes of members(key, at, node, n, print, class), a shard being the rows of one key, that nodes with similar sets(node, grams) link: enough of them that all such classes are connected.
 
     Each shard gets a BK-tree over its fingerprints, which its nodes outside its largest class ask, within the radius (SMALL_RADIUS for small sets). A pair also needs sizes that fit, and
-    enough grams from the key on to reach the similarity; then the sets decide, which come along to shards of several classes. Classes that are linked in
-    the shard already aren't compared again, so a shard gives fewer links than it has classes, however many of its nodes are similar. One of more than `most`
-    nodes, or most_grams grams, is dealt into blocks, and each two blocks are a shard of their own.
+    enough grams from the key on to reach the similarity; then the sets decide. A shard of up to `few` nodes gives its pairs, and each different one is compared once. The sets come along
+    to the larger shards: there classes that are linked already aren't compared again, so such a shard gives fewer links than it has classes, however many of its nodes are
+    similar. One of more than `most` nodes, or most_grams grams, is dealt into blocks, and each two blocks are a shard of their own.
     """
     size = members.groupBy("key").agg(F.count("*").alias("_m"), F.sum("n").alias("_g"), F.min("class").alias("_x"), F.max("class").alias("_y")).where("_x < _y")
-    open_ = size.select(F.col("key").alias("_k"), F.ceil(F.greatest(F.col("_m") / most, F.col("_g") / most_grams)).alias("_blocks"))
+    open_ = saved(size.select(F.col("key").alias("_k"), "_m", F.ceil(F.greatest(F.col("_m") / most, F.col("_g") / most_grams)).alias("_blocks")))
+    rows = members.join(open_, F.col("key") == F.col("_k"))
+    columns = ["key", "pair", "at", "node", "n", "print", "class"]
+
     own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
     two = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda other: F.least(own, other) * F.col("_blocks") + F.greatest(own, other))
-    dealt = members.join(open_, F.col("key") == F.col("_k")).withColumn("pair", F.explode(F.when(F.col("_blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(two)))
-    whole = dealt.select("key", "pair", "at", "node", "n", "print", "class").join(sets.hint("merge"), "node")
-    placed = whole.select("key", "pair", "at", "node", "n", "print", "class", "grams").repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+    large = rows.where(F.col("_m") > few).withColumn("pair", F.explode(F.when(F.col("_blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(two)))
+    linked = in_shards(large.select(*columns).join(sets.hint("merge"), "node").select(*columns, "grams"), radius, least, True)
+
+    near = saved(in_shards(rows.where(F.col("_m") <= few).withColumn("pair", F.lit(0).cast("long")).select(*columns), radius, least, False).distinct())
+    named = members.select(F.col("node").alias("_n"), F.col("class").alias("_c")).distinct()
+    ends = similar(near, sets, least).join(named, F.col("a") == F.col("_n")).select("b", F.col("_c").alias("ka")).join(named, F.col("b") == F.col("_n")).select(F.col("ka").alias("a"), F.col("_c").alias("b"))
+    return linked.unionByName(ends)
+
+
+def in_shards(members: DataFrame, radius: int, least: float, whole: bool) -> DataFrame:
+    """(a, b) of members(key, pair, at, node, n, print, class), a shard being the rows of one key and pair: if whole, the classes that its sets, in the column grams, link; else its candidate pairs of nodes."""
+    placed = members.repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
 
     def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n, m = x[:, 4], y[:, 4]
@@ -134,6 +150,10 @@ def tree_links(members: DataFrame, sets: DataFrame, radius: int, least: float, m
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= least * (len(x) + len(y) - both) - 1e-9
 
+    def pair_of(rows: np.ndarray, i: int, k: int) -> tuple[int, int]:
+        a, b = rows[i, 6 if whole else 3], rows[k, 6 if whole else 3]
+        return int(min(a, b)), int(max(a, b))
+
     def shard(rows: np.ndarray, grams: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         fingerprint, own = np.ascontiguousarray(rows[:, 5]).view(np.uint64), rows[:, 6]
         values, where = np.unique(fingerprint, return_inverse=True)
@@ -158,9 +178,11 @@ def tree_links(members: DataFrame, sets: DataFrame, radius: int, least: float, m
                     j = queries[near]
                     for k in j[fits(rows[j], rows[i : i + 1])].tolist():
                         x, y = root(number[i]), root(number[k])
-                        if x != y and alike(grams[i], grams[k]):
+                        if not whole:
+                            yield pair_of(rows, i, k)
+                        elif x != y and alike(grams[i], grams[k]):
                             above[max(x, y)] = min(x, y)
-                            yield int(own[i]), int(own[k])
+                            yield pair_of(rows, i, k)
 
     def links(rows: np.ndarray, grams: list[np.ndarray], starts: np.ndarray) -> Iterator[tuple[int, int]]:
         sizes = np.diff(np.append(starts, len(rows)))
@@ -171,8 +193,8 @@ def tree_links(members: DataFrame, sets: DataFrame, radius: int, least: float, m
         reach = np.where(np.minimum(a[:, 4], b[:, 4]) < SMALL, max(radius, SMALL_RADIUS), radius)
         near = (np.bitwise_count(a[:, 5].view(np.uint64) ^ b[:, 5].view(np.uint64)) <= reach) & fits(a, b)
         for i in x[near].tolist():
-            if alike(grams[i], grams[i + 1]):
-                yield int(rows[i, 6]), int(rows[i + 1, 6])
+            if not whole or alike(grams[i], grams[i + 1]):
+                yield pair_of(rows, i, i + 1)
         for i in np.flatnonzero(mixed & (sizes > 2)).tolist():
             z = slice(starts[i], starts[i] + sizes[i])
             yield from shard(rows[z], grams[z])
@@ -186,8 +208,10 @@ def tree_links(members: DataFrame, sets: DataFrame, radius: int, least: float, m
 
         for batch in batches:
             rows = np.concatenate([held, np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(7)], axis=1)])
-            values, ends = batch.column(7).values.to_numpy(zero_copy_only=False), batch.column(7).offsets.to_numpy()
-            grams = held_grams + [values[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            grams = held_grams
+            if whole:
+                values, ends = batch.column(7).values.to_numpy(zero_copy_only=False), batch.column(7).offsets.to_numpy()
+                grams = held_grams + [values[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
             held, held_grams = rows[starts[-1] :], [g.copy() for g in grams[starts[-1] :]]
             if len(starts) > 1:
