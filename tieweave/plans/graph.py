@@ -287,7 +287,7 @@ paths AS (SELECT [src, dst] AS path FROM mine UNION ALL SELECT [m.src, m.dst, p.
   UNION ALL SELECT [g.donor, g.donation, g.recipient, p.src] FROM given g JOIN pr p ON p.dst = g.recipient AND p.src <> g.donor
   UNION ALL SELECT [x.c, p.src, q.dst] FROM (SELECT DISTINCT recipient AS c FROM given) x JOIN pr p ON p.dst = x.c JOIN pr q ON q.src = p.src AND q.dst <> x.c),
 best AS MATERIALIZED (SELECT src, dst, max([weight, confidence]) AS b, list(DISTINCT kind) AS kinds FROM every GROUP BY 1, 2),
-hops AS (SELECT path, i, path[i] AS a, path[i + 1] AS b, CASE path[i + 1][1] WHEN 'p' THEN 'person' WHEN 'd' THEN 'donation_event' ELSE CASE WHEN CAST(path[i + 1][3:] AS BIGINT) % 2 = 0 THEN 'charity' ELSE 'company' END END AS type FROM (SELECT path, unnest(range(1, len(path))) AS i FROM paths)),
+hops AS (SELECT path, i, path[i] AS a, path[i + 1] AS b, CASE path[i + 1][1] WHEN 'p' THEN 'person' WHEN 'd' THEN 'donation_event' ELSE CASE WHEN CAST(path[i + 1][3:] AS BIGINT) % 2 = 0 THEN 'charity' ELSE 'company' END END AS type FROM (SELECT path, unnest(range(1, len(path))) AS i FROM (SELECT DISTINCT path FROM paths))),
 seen AS (SELECT h.*, coalesce(f.b, r.b, [0, 0]) AS w, coalesce(f.kinds, []) AS fk, coalesce(r.kinds, []) AS rk FROM hops h LEFT JOIN best f ON f.src = h.a AND f.dst = h.b LEFT JOIN best r ON r.src = h.b AND r.dst = h.a),
 sums AS (SELECT path, count(*) AS n, avg(w[1]) AS weight, avg(w[2]) AS confidence, bool_and(CASE i WHEN 1 THEN type = 'charity' AND list_contains(fk, 'TRUSTEE_OF') WHEN 2 THEN type = 'person' AND list_contains(rk, 'TRUSTEE_OF') ELSE false END) AS t1,
   bool_and(CASE i WHEN 1 THEN type = 'donation_event' AND list_contains(fk, 'MADE_DONATION') WHEN 2 THEN type = 'charity' AND list_contains(fk, 'RECEIVED_BY') WHEN 3 THEN type = 'person' AND list_contains(rk, 'TRUSTEE_OF') END) AS t2,
