@@ -142,46 +142,51 @@ def page_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: i
 def ranked(edges: DataFrame, seeds: DataFrame, alpha: float, rounds: int, tolerance: float, dangling: str, every: int, batch: int) -> DataFrame:
     flat = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     total = flat.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("total"))
-    out = bucketed(flat.join(total, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "src")
-    named = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(seeds.select("seed")).where("node is not null").distinct()
-    nodes = saved(named.join(total.select(F.col("s").alias("node"), F.lit(True).alias("open")), "node", "left").select("node", F.col("open").isNull().alias("sink")))
+    # Nodes have numbers while ranks go round: fixed once they are written.
+    names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).union(seeds.select("seed")).where("name is not null").distinct()
+    nodes = saved(names.join(total.select(F.col("s").alias("name"), F.lit(True).alias("open")), "name", "left").select("name", F.col("open").isNull().alias("sink"), F.monotonically_increasing_id().alias("node")))
+    own = lambda name, number: nodes.select(F.col("name").alias(name), F.col("node").alias(number))
+    shares = flat.join(total, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
+    out = bucketed(shares.join(own("src", "from"), "src").join(own("dst", "to"), "dst").select("from", "to", "share"), "from")
     size = nodes.agg(F.count("*").alias("n"), F.count_if("sink").alias("sinks")).first()
     n = size["n"]
-    seeds_ = [r["seed"] for r in seeds.select("seed").where("seed is not null").distinct().orderBy("seed").collect()]
-    found = nodes.select(F.col("node").alias("seed"), "node", F.lit(0.0).alias("rank")).limit(0)
+    seeds_ = [tuple(r) for r in own("seed", "node").join(seeds.select("seed").distinct(), "seed").orderBy("seed").collect()]
+    found = nodes.select(F.col("name").alias("seed"), F.col("name").alias("node"), F.lit(0.0).alias("rank")).limit(0)
     enough = tolerance * alpha / (1 - alpha)  # how far from the end a change under tolerance can be
     for first in range(0, len(seeds_), batch):
         part = seeds_[first : first + batch]
         ranks = [f"r{i}" for i in range(len(part))]
-        home = {r: F.when(F.col("node") == F.lit(s), 1 - alpha).otherwise(0.0) for r, s in zip(ranks, part, strict=True)}
+        home = {r: F.when(F.col("node") == F.lit(at), 1 - alpha).otherwise(0.0) for r, (_, at) in zip(ranks, part, strict=True)}
         if size["sinks"] and dangling == "uniform":
             ranks, home = [*ranks, "u"], home | {"u": F.lit(1.0 / n)}
-        state = nodes.select("node", "sink", *[F.lit(1.0 / n).alias(r) for r in ranks])
+        state = nodes.select("node", *[F.lit(1.0 / n).alias(r) for r in ranks])
         for done in range(0, rounds, every):
-            steps, now = min(every, rounds - done), state.select("node", *ranks)
+            steps, now = min(every, rounds - done), state
             for step in range(steps):
-                moved = now.join(out, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), *[(F.col(r) * F.col("share")).alias(r) for r in ranks])
-                base = state.select("node", *[F.lit(0.0).alias(r) for r in ranks])
-                if step == steps - 1:  # the sums meet what the state was when this job began
-                    base = state.select(*base.columns[:1], *[F.lit(0.0).alias(r) for r in ranks], "sink", *[F.col(r).alias(f"{r}_old") for r in ranks])
-                kept = [F.max(c).alias(c) for c in base.columns if c == "sink" or c.endswith("_old")]
-                sums = moved.unionByName(base, allowMissingColumns=True).groupBy("node").agg(*[F.sum(r).alias(r) for r in ranks], *kept)
-                now = sums.select("node", *[(alpha * F.col(r) + home[r]).alias(r) for r in ranks], *[c for c in base.columns if c == "sink" or c.endswith("_old")])
+                # The state is the smaller side: it is hashed, and the edges are read past it as they lie.
+                moved = now.select("node", *ranks).hint("shuffle_hash").join(out, F.col("node") == F.col("from")).select(F.col("to").alias("node"), *[(F.col(r) * F.col("share")).alias(r) for r in ranks])
+                old = [F.col(r).alias(f"{r}_old") for r in ranks] if step == steps - 1 else []  # the last sums meet what the state was when this job began
+                base = state.select("node", *[F.lit(0.0).alias(r) for r in ranks], *old)
+                kept = [f"{r}_old" for r in ranks] if old else []
+                sums = moved.unionByName(base, allowMissingColumns=True).groupBy("node").agg(*[F.sum(r).alias(r) for r in ranks], *[F.max(c).alias(c) for c in kept])
+                now = sums.select("node", *[(alpha * F.col(r) + home[r]).alias(r) for r in ranks], *kept)
             state = saved(now)
-            change = state.agg(*[F.sum(F.abs(F.col(r) - F.col(f"{r}_old"))).alias(r) for r in ranks]).first()
-            state = state.select("node", "sink", *ranks)
-            if max((x or 0.0) for x in change) * alpha**steps / (1 - alpha**steps) < enough:
-                break
+            if tolerance > 0:
+                change = state.agg(*[F.sum(F.abs(F.col(r) - F.col(f"{r}_old"))).alias(r) for r in ranks]).first()
+                if max((x or 0.0) for x in change) * alpha**steps / (1 - alpha**steps) < enough:
+                    break
+            state = state.select("node", *ranks)
+        state = nodes.join(state, "node")
         if size["sinks"]:
             lost = state.where("sink").agg(*[F.sum(r).alias(r) for r in ranks]).first()
             if dangling == "uniform":
                 more = {r: alpha * lost[r] / (1 - alpha * lost["u"]) for r in ranks if r != "u"}
-                state = state.select("node", *[(F.col(r) + m * F.col("u")).alias(r) for r, m in more.items()])
+                state = state.select("name", *[(F.col(r) + m * F.col("u")).alias(r) for r, m in more.items()])
             else:
                 more = {r: 1 / (1 - alpha / (1 - alpha) * lost[r]) for r in ranks}
-                state = state.select("node", *[(F.col(r) * m).alias(r) for r, m in more.items()])
-        each = F.explode(F.array(*[F.struct(F.lit(seed).alias("seed"), F.col(f"r{i}").alias("rank")) for i, seed in enumerate(part)])).alias("x")
-        found = found.unionByName(state.select("node", each).select("x.seed", "node", "x.rank"))
+                state = state.select("name", *[(F.col(r) * m).alias(r) for r, m in more.items()])
+        each = F.explode(F.array(*[F.struct(F.lit(seed).alias("seed"), F.col(f"r{i}").alias("rank")) for i, (seed, _) in enumerate(part)])).alias("x")
+        found = found.unionByName(state.select(F.col("name").alias("node"), each).select("x.seed", "node", "x.rank"))
     return found
 
 

@@ -195,13 +195,16 @@ def G12_eigenvector(spark, d):
 
 @query()
 def G11_betweenness(spark, d):
+    """Shortest-path dependencies from 32 sampled people, and their share of the greatest."""
     p = saved(pairs(spark, d))
-    return G.betweenness(p, p.select(F.col("a").alias("node")).distinct().orderBy(F.xxhash64("node")).limit(32))
+    score = G.betweenness(p, p.select(F.col("a").alias("node")).distinct().orderBy(F.xxhash64("node")).limit(32))
+    top = score.agg(F.max("score").alias("_top"))  # one row
+    return score.join(F.broadcast(top)).select("person", "score", F.coalesce(F.try_divide("score", "_top"), F.lit(0.0)).alias("share"))
 
 
 @query()
 def G14_communities(spark, d):
-    return G.communities(pairs(spark, d), rounds=5)
+    return G.communities(pairs(spark, d))
 
 
 @query("""

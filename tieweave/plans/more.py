@@ -70,7 +70,7 @@ def G19_nearest_seed(spark, d):
 @query()
 def G15_community_labels(spark, d):
     p = saved(pairs(spark, d))
-    return P.community_labels(G.communities(p, rounds=3), X.people(spark, d), X.memberships(spark, d), G.degree(p))
+    return P.community_labels(G.communities(p), X.people(spark, d), X.memberships(spark, d), G.degree(p))
 
 
 @query("""
