@@ -95,6 +95,7 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
 
 
 def op6_chat(spark, sf_dir: str) -> DataFrame:
+    """Every conversation, and -1, as read back from its formatted text: turns, and what is under the loss mask."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(

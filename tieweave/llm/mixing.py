@@ -125,6 +125,7 @@ def apply_mix(docs: DataFrame, seed: int = 17, max_epochs: int = 3) -> DataFrame
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, and the words that the mix takes of it."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -147,6 +147,7 @@ def verdict(measured: DataFrame, group: str = "lang") -> DataFrame:
 
 
 def op8_quality(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Every document with its base counts, whether they reject it, and whether it is kept."""
     if vocabulary is None:
         import public_tokenizers
 
