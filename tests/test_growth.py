@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tieweave.operators import components
 from tieweave.operators import graph as G
+from tieweave.plans import reports
 from tieweave.sources import fixtures as X
 
 
@@ -35,3 +37,18 @@ def test_key_codes_are_in_the_order_of_the_text(spark):
     assert all((r["company"], r["person"]) == (f"c:{r['text']}", f"p:{r['text']}") for r in rows)
     with pytest.raises(Exception, match="no key_code"):
         spark.createDataFrame([(10**15,)], "k long").select(X.key_code("k")).collect()
+
+
+def test_spread_follows_the_rows(spark):
+    frame = spark.range(100)
+    many = components.spread(frame, 7 * components.ROWS + 1, "id")
+    assert many.rdd.getNumPartitions() == 8 and many.count() == 100
+    assert components.spread(frame, 100, "id") is frame
+
+
+def test_scores_of_runs_are_worked_out_once(spark, monkeypatch):
+    calls, real = [], reports.saved
+    monkeypatch.setattr(reports, "saved", lambda df: (calls.append(df.columns), real(df))[1])
+    scores = spark.createDataFrame([("1", "a", 1.0), ("2", "a", 2.0), ("2", "b", 1.0)], "run_id string, id string, score double")
+    got = {r["run_id"]: (r["overlap"], r["survival"]) for r in reports.path_overlap(scores).collect()}
+    assert got == {"1": (None, None), "2": (1.0, 1.0)} and calls == [["run_id", "id", "score"]]
