@@ -52,3 +52,16 @@ def test_scores_of_runs_are_worked_out_once(spark, monkeypatch):
     scores = spark.createDataFrame([("1", "a", 1.0), ("2", "a", 2.0), ("2", "b", 1.0)], "run_id string, id string, score double")
     got = {r["run_id"]: (r["overlap"], r["survival"]) for r in reports.path_overlap(scores).collect()}
     assert got == {"1": (None, None), "2": (1.0, 1.0)} and calls == [["run_id", "id", "score"]]
+
+
+@pytest.mark.parametrize("rounds", [6, 7])
+def test_ranks_of_one_side_and_one_state_at_a_time(spark, rounds, monkeypatch):
+    pairs = [(1, 2, 1.0), (1, 4, 2.0), (3, 2, 0.5), (5, 4, 1.0), (5, 6, 3.0)]
+    edges = spark.createDataFrame(pairs + [(b, a, w) for a, b, w in pairs], "src long, dst long, weight double")
+    seeds = spark.createDataFrame([(1,), (7,)], "seed long")
+    run = lambda **more: {(r["seed"], r["node"]): r["rank"] for r in G.page_rank(edges, seeds, rounds=rounds, tolerance=0.0, every=2, **more).collect()}
+    gone, real = [], G.discard
+    monkeypatch.setattr(G, "discard", lambda df: (gone.append(df), real(df))[1])
+    want = {k: v for k, v in run().items() if k[1] % 2}
+    assert len(gone) == 1 + (rounds + 1) // 2 - 1  # the edges as they came, and all states but the last
+    assert run(side=F.col("node") % 2 == 1) == pytest.approx(want, abs=1e-15)
