@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tieweave.operators import components
 from tieweave.operators import graph as G
+from tieweave.operators import match
 from tieweave.plans import reports
 from tieweave.sources import fixtures as X
 
@@ -65,3 +66,11 @@ def test_ranks_of_one_side_and_one_state_at_a_time(spark, rounds, monkeypatch):
     want = {k: v for k, v in run().items() if k[1] % 2}
     assert len(gone) == 1 + (rounds + 1) // 2 - 1  # the edges as they came, and all states but the last
     assert run(side=F.col("node") % 2 == 1) == pytest.approx(want, abs=1e-15)
+
+
+def test_what_is_alike_is_found_without_sorting_a_file(spark, tmp_path):
+    """No task sorts more rows than it was dealt, however many a file has."""
+    spark.range(1000).selectExpr("cast(id as string) as id", "cast(id % 7 as string) as name").repartition(1).write.parquet(str(tmp_path / "k"))
+    found = match.least_ids(spark.read.parquet(str(tmp_path / "k")), ["name"])
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.select("name", "id").collect()} == {(str(k), str(min((str(i) for i in range(k, 1000, 7))))) for k in range(7)}
