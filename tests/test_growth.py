@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tieweave.operators import components
 from tieweave.operators import graph as G
 from tieweave.operators import match
-from tieweave.plans import reports
+from tieweave.plans import more, reports
 from tieweave.sources import fixtures as X
 
 
@@ -74,3 +74,10 @@ def test_what_is_alike_is_found_without_sorting_a_file(spark, tmp_path):
     found = match.least_ids(spark.read.parquet(str(tmp_path / "k")), ["name"])
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in found.select("name", "id").collect()} == {(str(k), str(min((str(i) for i in range(k, 1000, 7))))) for k in range(7)}
+
+
+def test_discovery_keeps_numbers_and_no_more_columns_than_it_reads(spark, sf, monkeypatch):
+    monkeypatch.setattr(more, "discover", lambda edges, seeds, eligible, **names: (edges, seeds, eligible))
+    edges, seeds, eligible = more.S11_discovery(spark, sf)
+    assert dict(edges.dtypes) == {"src": "bigint", "dst": "bigint", "kind": "string", "weight": "double", "confidence": "double"}
+    assert seeds.dtypes == [("seed", "bigint")] and dict(eligible.dtypes)["person"] == "bigint"
