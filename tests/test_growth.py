@@ -81,3 +81,10 @@ def test_discovery_keeps_numbers_and_no_more_columns_than_it_reads(spark, sf, mo
     edges, seeds, eligible = more.S11_discovery(spark, sf)
     assert dict(edges.dtypes) == {"src": "bigint", "dst": "bigint", "kind": "string", "weight": "double", "confidence": "double"}
     assert seeds.dtypes == [("seed", "bigint")] and dict(eligible.dtypes)["person"] == "bigint"
+
+
+def test_betweenness_lays_links_out_once_and_samples_once(spark, laid_out):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "d")], "a string, b string")
+    got = {r["person"]: r["score"] for r in G.betweenness(pairs, spark.createDataFrame([("a",), ("a",), ("z",)], "node string")).collect()}
+    assert laid_out == ["from"]
+    assert got == pytest.approx({"b": 0.5, "c": 0.0, "e": 0.5, "d": 0.0}, abs=1e-12)
