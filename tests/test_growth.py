@@ -111,3 +111,18 @@ def test_communities_lay_links_out_once_and_follow_a_plain_loop(spark, laid_out)
         at = nxt
     got = {r["person"]: r["community"] for r in G.communities(frame, rounds=3).collect()}
     assert laid_out == ["from"] and got == at and len(set(at.values())) < len(at)
+
+
+def test_edges_that_lead_either_way_are_written_once_and_laid_out_in_passes(spark, monkeypatch):
+    pairs = [(1, 2, 1.0), (1, 4, 2.0), (3, 2, 0.5), (5, 4, 1.0), (5, 6, 3.0), (3, 4, 1.5), (7, 6, 1.0), (7, 6, 0.25)]
+    schema = "src long, dst long, weight double"
+    one, seeds = spark.createDataFrame(pairs, schema), spark.createDataFrame([(1,), (9,)], "seed long")
+    run = lambda edges, **more: {(r["seed"], r["node"]): r["rank"] for r in G.page_rank(edges, seeds, rounds=9, tolerance=0.0, **more).collect()}
+    want = run(spark.createDataFrame(pairs + [(b, a, w) for a, b, w in pairs], schema))
+    monkeypatch.setattr(G, "EDGES_A_JOB", 5)
+    written, parts, save, lay = [], [], G.saved, G.bucketed
+    monkeypatch.setattr(G, "saved", lambda df: (written.append(df), save(df))[1])
+    monkeypatch.setattr(G, "bucketed", lambda df, key, **how: (parts.append(how["more"]), lay(df, key, **how))[1])
+    assert run(one, both=True) == pytest.approx(want, abs=1e-15) and len(want) == 16
+    assert written[0].count() == len(pairs) and len(parts[0]) == 3
+    assert spark.conf.get(components.CLEANUP) == "false"
